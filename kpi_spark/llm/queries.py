@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe
+from kpi_spark.llm import bpe, decontam
 
 #: Name of the rank file of the byte-level encoder.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,39 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe}
+def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document repeats of the benchmark."""
+    found = decontam.search(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
+        decontam.contaminated().alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest_match"),
+    )
+
+
+QUERIES = {"op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_suffix_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS ws FROM benchmark),
+     bi AS (SELECT item, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0),
+     bw AS (SELECT item, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM bi),
+     di AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k),
+     h AS (SELECT doc_id, item, i, p, bw.k FROM (SELECT doc_id, p, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM di) AS dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+     n AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS w FROM h) GROUP BY doc_id),
+     t AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc_id),
+     r AS (SELECT doc_id, item, i - row_number() OVER (PARTITION BY doc_id, item, p - i ORDER BY i) AS run, p - i AS diagonal, i, k FROM (SELECT DISTINCT doc_id, item, i, p, k FROM h)),
+     m AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, max(i + k) - min(i) AS n FROM r GROUP BY doc_id, item, diagonal, run) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
