@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, decontam
+from kpi_spark.llm import bpe, decontam, neardup
+from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -52,11 +53,29 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+def op8_bbit_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates by three-word shingles at 85 percent."""
+    return neardup.groups(documents(spark, sf_dir), Tables(spark, "op8"), shingle=3, percent=85)
+
+
+QUERIES = {"op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_NONSPACE = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE: dict[str, str] = {
+    "op8_bbit_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_NONSPACE} AS ws FROM documents),
+     i AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 3 THEN range(1, len(ws) - 1) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM d),
+     s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM i),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY doc_id, n""",
     "op5_suffix_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
      b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS ws FROM benchmark),
