@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, decontam, neardup
+from kpi_spark.llm import bpe, decontam, neardup, quality
 from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
@@ -38,6 +38,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model learned from the labelled ones that aren't held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, keep_text=False).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document repeats of the benchmark."""
     found = decontam.search(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
@@ -58,7 +65,7 @@ def op8_bbit_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), Tables(spark, "op8"), shingle=3, percent=85)
 
 
-QUERIES = {"op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+QUERIES = {"op3_subword_quality": op3_subword_quality, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
