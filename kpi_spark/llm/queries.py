@@ -7,10 +7,10 @@ columns that its result is compared by.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, decontam, neardup, quality
+from kpi_spark.llm import bpe, decontam, neardup, pii, quality
 from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
@@ -45,6 +45,19 @@ def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep_text=False).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def _digest(spans: Column) -> Column:
+    """``kind:start:end`` of spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    plain = F.filter("pii", lambda s: s["plain"])
+    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_digest(plain).cast("binary"), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
+
+
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document repeats of the benchmark."""
     found = decontam.search(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
@@ -65,7 +78,7 @@ def op8_bbit_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), Tables(spark, "op8"), shingle=3, percent=85)
 
 
-QUERIES = {"op3_subword_quality": op3_subword_quality, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+QUERIES = {"op3_subword_quality": op3_subword_quality, "op4_pii": op4_pii, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
