@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, decontam, neardup, pii, quality
+from kpi_spark.llm import bpe, decontam, neardup, pii, quality, secrets
 from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
@@ -54,8 +54,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, plain and disguised."""
     found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
     plain = F.filter("pii", lambda s: s["plain"])
-    counts = [F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_digest(plain).cast("binary"), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
+    of = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(_digest(plain).cast("binary"), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
 
 
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,15 @@ def op8_bbit_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), Tables(spark, "op8"), shingle=3, percent=85)
 
 
-QUERIES = {"op3_subword_quality": op3_subword_quality, "op4_pii": op4_pii, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), Tables(spark, "op10")).drop("text")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, secrets.BASE), F.sha2(_digest(base).cast("binary"), 256).alias("base_sha256"), _digest(F.col("secrets")).alias("spans"))
+
+
+QUERIES = {"op10_secrets": op10_secrets, "op3_subword_quality": op3_subword_quality, "op4_pii": op4_pii, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
