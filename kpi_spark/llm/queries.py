@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, decontam, neardup, pii, quality, secrets
+from kpi_spark.llm import bpe, chat, decontam, licenses, neardup, pii, quality, secrets, urls
 from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
@@ -38,6 +38,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
 def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, by a model learned from the labelled ones that aren't held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -73,11 +78,34 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that no longer one extends, rendered."""
+    return chat.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"), Tables(spark, "op7"))
+
+
 def op8_bbit_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates by three-word shingles at 85 percent."""
     return neardup.groups(documents(spark, sf_dir), Tables(spark, "op8"), shingle=3, percent=85)
 
 
+#: Rules of op9, and the words in a host that put a page's canonical URL on its list.
+URL_RULES = (
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("allow", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+)
+LISTED_HOSTS = "casino|bets|pills|spam|ads-"
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL; the list holds the canonical URLs of hosts that look like spam."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = urls.with_parts(pages).where(F.col("host").rlike(LISTED_HOSTS)).select("canonical")
+    return urls.judge(pages, URL_RULES, listed).drop("url")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), Tables(spark, "op10")).drop("text")
@@ -86,7 +114,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, secrets.BASE), F.sha2(_digest(base).cast("binary"), 256).alias("base_sha256"), _digest(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {"op10_secrets": op10_secrets, "op3_subword_quality": op3_subword_quality, "op4_pii": op4_pii, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+QUERIES = {
+    "op2_licenses": op2_licenses,
+    "op7_chat_snapshots": op7_chat_snapshots,
+    "op9_url_filter": op9_url_filter,
+    "op10_secrets": op10_secrets,
+    "op3_subword_quality": op3_subword_quality, "op4_pii": op4_pii, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
