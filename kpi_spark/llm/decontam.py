@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpi_spark.llm import kernels as K
+from kpi_spark.llm.columns import hidden, shown
 
 #: Bytes of benchmark text sent to the tasks at once.
 BLOCK = 4 << 20
@@ -41,32 +42,39 @@ _RESULT = ("n_words", "n_hit", "matches")
 
 
 def suffix_array(words: np.ndarray, row_end: np.ndarray, depth: int) -> np.ndarray:
-    """Word positions in the order of their suffixes, by ``depth`` words at least.  row_end: where each position's row ends."""
+    """Word positions in the order of their suffixes, by ``depth`` words at least.  words: 32-bit; row_end: where each position's row ends.
+
+    Prefix doubling that starts from two words and from then on sorts only what is still tied.
+    """
     n = len(words)
-    order = np.argsort(words)
-    step = words[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([1], step[1:] != step[:-1]))) if n else 0
-    k = 1
-    while k < depth and n and rank[order[-1]] < n:
-        behind = np.zeros(n, np.int64)
-        behind[: n - k] = rank[k:]
-        behind[row_end - np.arange(n) <= k] = 0
-        key = rank * (n + 1) + behind
-        order = np.argsort(key)
-        step = key[order]
-        rank[order] = np.cumsum(np.concatenate(([1], step[1:] != step[:-1])))
+    left = row_end - np.arange(n)
+    pair = words.astype(np.uint64) << np.uint64(32)
+    pair[:-1] |= np.where(left[:-1] > 1, words[1:], 0).astype(np.uint64)
+    order = np.argsort(pair)
+    tied, key, rank, k = np.arange(n), pair[order], np.empty(n, np.int64), 2
+    while True:
+        head = np.ones(len(tied), bool)
+        head[1:] = (key[1:] != key[:-1]) | (tied[1:] != tied[:-1] + 1)
+        rank[order[tied]] = tied[np.maximum.accumulate(np.where(head, np.arange(len(tied)), 0))] + 1
+        alone = head & np.append(head[1:], True)
+        tied = tied[~alone]
+        if k >= depth or not len(tied):
+            return order
+        at = order[tied]
+        behind = np.where(left[at] > k, rank[np.minimum(at + k, n - 1)], 0)
+        key = rank[at] * (n + 1) + behind
+        by = np.argsort(key)
+        order[tied], key = at[by], key[by]
         k *= 2
-    return order
 
 
 class Shard:
-    """The words of some documents with their suffix array."""
+    """The words (64-bit hashes) of some documents with the suffix array of their upper halves."""
 
     def __init__(self, words: np.ndarray, first: np.ndarray, depth: int) -> None:
-        self.words, self.first = words, first
+        self.full, self.words, self.first = words, (words >> np.uint64(32)).astype(np.uint32), first
         self.row_end = np.repeat(first[1:], np.diff(first))
-        self.order = suffix_array(words, self.row_end, depth)
+        self.order = suffix_array(self.words, self.row_end, depth)
 
     def compare(self, at: np.ndarray, test: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Sign of (suffix at ``at``) against (``size`` test words from ``start``), by those words only."""
@@ -96,17 +104,23 @@ class Shard:
             high[live[~right]] = middle[~right]
         return low
 
-    def occurrences(self, test: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def occurrences(self, full: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the window, word position) of every place where a window stands."""
         if not len(self.words) or not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        test = (full >> np.uint64(32)).astype(np.uint32)
         low = self.bound(test, start, size, upper=False)
         maybe = np.flatnonzero(low < len(self.words))
         found = maybe[self.compare(self.order[low[maybe]], test, start[maybe], size[maybe]) == 0]
         high = self.bound(test, start[found], size[found], upper=True)
         n = high - low[found]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(found, n), self.order[np.repeat(low[found], n) + inside]
+        which, place = np.repeat(found, n), self.order[np.repeat(low[found], n) + inside]
+        same = np.ones(len(which), bool)  # by all 64 bits of the words' hashes
+        for d in range(int(size[which].max()) if len(which) else 0):
+            inner = size[which] > d
+            same[inner] &= self.full[place[inner] + d] == full[start[which[inner]] + d]
+        return which[same], place[same]
 
 
 class Test:
@@ -130,6 +144,8 @@ def matches(shard: Shard, test: Test) -> tuple[np.ndarray, ...]:
     which, place = shard.occurrences(test.words, test.start, test.size)
     item, at, size = test.item[which], test.at[which], test.size[which]
     row = np.searchsorted(shard.first, place, "right") - 1
+    if not len(which):
+        return (which,) * 5
     order = np.lexsort((at, place - at, item, row))
     item, at, size, place, row = (x[order] for x in (item, at, size, place, row))
     head = np.ones(len(at), bool)
@@ -193,4 +209,4 @@ def contaminated(share: int = 20) -> F.Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return search(docs, benchmark, **options).where(~contaminated(share)).select(*docs.columns)
+    return shown(search(hidden(docs, _RESULT), benchmark, **options).where(~contaminated(share)), docs.columns)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpi_spark.llm import kernels as K
+from kpi_spark.llm.columns import hidden, shown
 
 #: Learned vectors (a power of two) and their length.
 BUCKETS, DIM = 1 << 17, 8
@@ -156,3 +157,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.concatenate(out) if out else np.zeros(0))], [*keep, "score"])
 
     return docs.select(*given).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model doesn't reject, with their own columns."""
+    return shown(score(hidden(docs, ("score", "predicted")), model).where("predicted = 1"), docs.columns)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, chat, decontam, licenses, neardup, pii, quality, secrets, urls
+from kpi_spark.llm import bpe, chat, decontam, fingerprints, licenses, neardup, pii, quality, secrets, urls
 from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
@@ -38,6 +38,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.with_edits(documents(spark, sf_dir))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every document."""
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
@@ -115,6 +120,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
     "op7_chat_snapshots": op7_chat_snapshots,
     "op9_url_filter": op9_url_filter,
