@@ -111,14 +111,15 @@ def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.
     inside[:-1] = low != 0
     before = np.zeros(len(buf) + 1, dtype=bool)
     before[1:] = inside[:-1]
-    edges = off[(off > 0) & (off < len(buf))]
+    edges = off[:-1][np.diff(off) > 0]
+    edges = edges[edges > 0]
     glued = edges[inside[edges] & before[edges]]  # words that touch across two rows
     change = inside != before
     starts = np.flatnonzero(change & inside)
     ends = np.flatnonzero(change & before)
     if len(glued):
-        starts = np.union1d(starts, glued)
-        ends = np.union1d(ends, glued)
+        starts = np.sort(np.concatenate((starts, glued)))
+        ends = np.sort(np.concatenate((ends, glued)))
     return starts, ends, np.searchsorted(off, starts, "right") - 1, low
 
 
