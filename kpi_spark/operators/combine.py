@@ -39,7 +39,7 @@ def join_two(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "i
 def join_sizes(tables: Sequence[DataFrame], keys: Sequence[str], how: str = "inner") -> DataFrame:
     """(step, rows) that each step of the chained join would give: products of counts a key, summed."""
     counts = [t.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, t in enumerate(tables)]
-    out = merge(counts, keys, how)
+    out = merge(counts, keys, "outer")
     steps = []
     for i in range(1, len(tables)):
         names = [f"n{j}" for j in range(i + 1)]

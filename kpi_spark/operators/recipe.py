@@ -131,6 +131,8 @@ class TableRecipe:
                 if kind in ADDITIVE:
                     cell = F.coalesce(cell, F.lit(0))
                 out.append(cell.alias(f"{name} · {cat}" if len(split) > 1 else cat))
+        if not out:  # nothing to split by
+            return src.select(*self.rows).distinct()
         table = src.groupBy(*self.rows).agg(*out)
         order = self.order or [(r, "asc") for r in self.rows]
         return sorting.sort(table, order) if order else table

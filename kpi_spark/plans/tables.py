@@ -350,7 +350,7 @@ def _(spark, table):
 @query(
     "j03_join_preflight",
     """WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), o AS (SELECT n_nationkey AS k, count(*) AS n FROM nation GROUP BY 1)
-       SELECT 1 AS step, CAST(sum(c.n * s.n) AS BIGINT) AS rows FROM c JOIN s USING (k) JOIN o USING (k) UNION ALL SELECT 2, CAST(sum(c.n * s.n * o.n) AS BIGINT) FROM c JOIN s USING (k) JOIN o USING (k)""",
+       SELECT 1 AS step, CAST(sum(c.n * s.n) AS BIGINT) AS rows FROM c JOIN s USING (k) UNION ALL SELECT 2, CAST(sum(c.n * s.n * o.n) AS BIGINT) FROM c JOIN s USING (k) JOIN o USING (k)""",
 )
 def _(spark, table):
     keys = [table("customer").select(F.col("c_nationkey").alias("k")), table("supplier").select(F.col("s_nationkey").alias("k")), table("nation").select(F.col("n_nationkey").alias("k"))]
