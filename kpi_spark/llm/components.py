@@ -14,28 +14,29 @@ from pyspark.sql import functions as F
 from kpi_spark.llm.store import Tables
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node links to one other only, which links to none."""
+    several = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    chained = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
+    return not several.union(chained).limit(1).count()
 
 
-def components(links: DataFrame, tables: Tables, label: str = "cc") -> DataFrame:
+def components(links: DataFrame, tables: Tables, label: str = "cc", rows: int | None = None) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b: long); component is its smallest node.
 
     Nulls and loops are left out; repeated links count once; no links give no rows.
+    rows: about how many links there are, where that is known.
     """
-    links = tables.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
-    state, k = _state(links), 0
-    while state[0]:
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = tables.put(links, f"{label}-0", rows)
+    n, k = links.count(), 0
+    while not _stars(links):
         k += 1
         both = links.union(links.select("b", "a"))
-        least = tables.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), f"{label}-{k}m")
-        large = tables.put(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{label}-{k}l")
-        least = tables.put(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-{k}n")
+        least = tables.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), f"{label}-{k}m", n)
+        large = tables.put(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{label}-{k}l", n)
+        least = tables.put(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-{k}n", n)
         joined = large.join(least, "a")
-        links = tables.put(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m")).distinct(), f"{label}-{k}")
-        now = _state(links)
+        links = tables.put(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m")).distinct(), f"{label}-{k}", n)
         tables.drop(f"{label}-{k}m", f"{label}-{k}l", f"{label}-{k}n", f"{label}-{k - 1}")
-        if now == state:
-            break
-        state = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())

@@ -8,15 +8,15 @@ it belongs to; :func:`dedup` keeps one document of each group.
    Documents of equal sets form a class, represented by its smallest id; only
    representatives go on, so copies never meet each other.
 2. Band keys shared by several representatives are buckets.  Members are paired with
-   two hubs of their bucket; pairs whose collision-corrected similarity, by bit counts
-   of the packed bits, can reach the threshold are verified on the full sets (64-bit
-   hashes of all shingles, from a second pass that a Bloom filter of the ids narrows).
-   The verified links' components follow.
+   two hubs of their bucket; of the pairs whose collision-corrected similarity, by bit
+   counts of the packed bits, can reach the threshold the best ones of each member are
+   verified on the full sets (64-bit hashes of all shingles, from another pass that a
+   Bloom filter of the ids narrows).  The verified links' components follow.
 3. What hubs leave apart: in buckets that still hold several components, members are
-   compared across components (bits only, inside the join), the best pair of each
-   member and other component is verified, then the rest, until no pair is left open.  Pairs inside
-   a component are never formed, so a group of m near copies costs about m pairs, and
-   no link between different texts is given up.
+   compared across components (bits only, inside the join, each pair in the first bucket
+   that it shares) and verified like those.  Pairs inside a component are never
+   formed, and no link between different texts is given up.  Where very many pairs are
+   open, the best one of each member and other component goes first.
 
 Rows of ``b`` bands of ``ROWS`` minima: bands are as many as leave a link at the
 threshold unseen with a chance under ``MISS``; bits reject one with about 3e-6.
@@ -44,13 +44,13 @@ from kpi_spark.llm.components import components
 from kpi_spark.llm.store import Tables
 
 #: Minima of a sketch, of which two bits each are kept; minima of a band; chance to miss a link at the threshold.
-SLOTS, ROWS, MISS = 256, 5, 1e-6
+SLOTS, ROWS, MISS = 1024, 6, 1e-6
 #: Standard deviations below the threshold at which the bits still let a pair through.
 SLACK = 4.5
 _LONGS = SLOTS * 2 // 64
 _BITS = [f"s{i}" for i in range(_LONGS)]
 #: From this many open pairs on, only the best of each member and component is verified first.
-MANY = 100_000
+MANY = 150_000
 
 
 def bands_for(threshold: float) -> int:
@@ -129,9 +129,9 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets' similarity is at least ``share`` percent."""
-    ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids")
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str, rows: int) -> DataFrame:
+    """The pairs (a, b; ``rows`` of them) whose full sets' similarity is at least ``share`` percent."""
+    ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids", rows)
     sets = tables.put(_sets(docs, ids, shingle), f"{label}-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,63 +173,73 @@ def groups(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80,
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     threshold = percent / 100
     sketches = tables.put(_sketches(docs, shingle, bands_for(threshold)), "sketches")
-    classes = tables.put(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    n = sketches.count()
+    classes = tables.put(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", n)
     reps = tables.put(
         sketches.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]),
         "reps",
+        n,
     )
-    bits = reps.select(F.col("doc_id").alias("node"), *_BITS)
-    keys = tables.put(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "keys")
+    sketch = reps.select(F.col("doc_id").alias("node"), "bands", *_BITS)
+    keys = tables.put(reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("node")), "keys")
     # a bucket's hubs: its smallest id, and the id next to the key by XOR, which is another one in each band
     hubs = tables.put(
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("other"), F.max("node").alias("last")).where("hub < last").select("key", "hub", F.col("other").bitwiseXOR(F.col("key")).alias("other")),
         "hubs",
+        n * 2,
     )
-    members = tables.put(keys.join(hubs, "key"), "members")
+    members = tables.put(keys.join(hubs, "key"), "members", n * 2)
     tables.drop("keys", "hubs")
     enough = least_agreeing(threshold)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        x, y = (bits.select(F.col("node").alias(k), *_BITS).alias(k) for k in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", _agreeing("a", "b").alias("agreeing")).where(F.col("agreeing") >= enough)
-
+    m = members.count()
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     spokes = members.select(*pair("node", "hub")).union(members.select(*pair("node", "other"))).where("a < b").distinct()
-    tried = tables.put(close(spokes), "pairs-0")
-    links = _verified(tried, docs, shingle, percent, tables, "round-0")
+    x, y = (sketch.select(F.col("node").alias(k), *_BITS).alias(k) for k in "ab")
+    close = spokes.join(x, "a").join(y, "b").select("a", "b", _agreeing("a", "b").alias("agreeing")).where(F.col("agreeing") >= enough)
+    close = tables.put(close, "close", m)
+    # each end's best partner is enough to bring most of a group together
+    ends = close.union(close.select("b", "a", "agreeing")).groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
+    tried = tables.put(ends.select(*pair("a", "b")).distinct(), "tried-0", m)
+    links = _verified(tried, docs, shingle, percent, tables, "round-0", m)
+    found = tables.put(components(links, tables, "cc-0", m), "components-0", m)
+    # then the best pair of each member and each other component
+    place = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+    apart = close.join(place("a"), "a", "left").join(place("b"), "b", "left").select("a", "b", "agreeing", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
+    ends = apart.union(apart.select("b", "a", "agreeing", "of_b", "of_a")).groupBy("a", "of_b").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
+    more = tables.put(ends.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "more-0", m)
+    tried = tried.union(more)
+    links = links.union(_verified(more, docs, shingle, percent, tables, "round-0b", m))
     k = 0
     while True:
-        found = tables.put(components(links, tables, f"cc-{k}"), f"components-{k}")
+        found = tables.put(components(links, tables, f"cc-0b-{k}", m), f"components-0b-{k}", m)
         k += 1
-        placed = tables.put(
-            members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")),
-            f"placed-{k}",
-        )
-        spread = tables.put(placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key"), f"spread-{k}")
+        placed = tables.put(members.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), f"placed-{k}", m)
         # the component of most members of a bucket is compared with the others only
-        sizes = placed.join(spread, "key").groupBy("key", "component").count()
-        main = tables.put(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main")), f"main-{k}")
-        open_ = tables.put(placed.join(main, "key").join(bits, "node"), f"open-{k}")
+        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = tables.put(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"), f"main-{k}", m)
+        open_ = tables.put(placed.join(main, "key").join(sketch, "node"), f"open-{k}", m)
         x, y = open_.where("component <> main").alias("x"), open_.alias("y")
         across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        pairs = (
-            x.join(y, across & (_agreeing("x", "y") >= enough))
-            .select(*pair("x.node", "y.node"), F.least("x.component", "y.component").alias("p"), F.greatest("x.component", "y.component").alias("q"), _agreeing("x", "y").alias("agreeing"))
-            .distinct()
+        first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
+        pairs = x.join(y, across & (_agreeing("x", "y") >= enough) & first).select(
+            *pair("x.node", "y.node"), F.least("x.component", "y.component").alias("p"), F.greatest("x.component", "y.component").alias("q"), _agreeing("x", "y").alias("agreeing")
         )
-        pairs = tables.put(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"left-{k}")
-        n = pairs.count()
-        if not n:
+        pairs = tables.put(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"left-{k}", m)
+        rows = pairs.count()
+        if not rows:
+            break
+        if best := rows > MANY:
+            pairs = tables.put(pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")).select("a", "b"), f"best-{k}", rows)
+        links = links.union(_verified(pairs, docs, shingle, percent, tables, f"round-{k}", rows))
+        tables.drop(f"placed-{k}", f"main-{k}", f"open-{k}")
+        if not best:  # every pair across components has been tried
+            found = tables.put(components(links, tables, f"cc-{k}", m), f"components-{k}", m)
             break
-        if n > MANY:
-            best = pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
-            pairs = tables.put(best.select("a", "b"), f"best-{k}")
-        links = links.union(_verified(pairs, docs, shingle, percent, tables, f"round-{k}"))
-        tried = tables.put(tried.select("a", "b").union(pairs.select("a", "b")), f"tried-{k}")
-        tables.drop(f"placed-{k}", f"spread-{k}", f"main-{k}", f"open-{k}", f"left-{k}", f"best-{k}")
+        tried = tables.put(tried.select("a", "b").union(pairs.select("a", "b")), f"tried-{k}", m)
     labels = tables.put(
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")),
         "labels",
+        n,
     )
     out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")

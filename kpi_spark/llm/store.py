@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Small rows that a task takes.
+PER_TASK = 50_000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -31,8 +34,9 @@ class Tables:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root = spark, f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex[:12]}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns what was written."""
+    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes ``df`` and returns what was written.  rows: about how many there are, where that is known, so that few rows make few tasks."""
+        df = df if rows is None else df.coalesce(rows // PER_TASK + 1)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
