@@ -55,7 +55,9 @@ def path(url: Column) -> Column:
 
 
 def _part(url: Column, k: int) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)", k), F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3))
+    return F.coalesce(F.regexp_extract(rest, r"^([^/?#]*)([^?#]*)", k), F.lit(""))
 
 
 def canonical(host: Column, path: Column) -> Column:

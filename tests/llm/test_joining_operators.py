@@ -128,7 +128,7 @@ def test_urls(spark):
     hosts = ["com", "example.com", "a.Example.COM", "notexample.com", "x.net", "example.net", "b.example.net", "q.org", "spam.example.net", "www.spam.example.net:80", ""]
     paths = ["", "/", "/en/", "/en/7", "/en/75.html", "/de/", "/de/8/", "/de/80", "/es/1", "/EN/", "/x//", "/a\nb"]
     made = [f"{r.choice(['http', 'https'])}://{h}{p}{q}" for h in hosts for p in paths for q in ("", "?a=http://z/en/", "#top")]
-    made += [None, "", "no scheme", "example.com/en/", "://", "a://b://c/en/"]
+    made += ["x" * 50_000, "x" * 50_000 + "://a.net/de/" + "y" * 50_000, None, "", "no scheme", "example.com/en/", "://", "a://b://c/en/"]
     pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(made)], "page_id long, url string, rule string")
     listed = spark.createDataFrame([("spam.example.net/x",), ("spam.example.net",), (None,)], "canonical string")
     out = {q["page_id"]: q for q in urls.judge(pages, Q.URL_RULES, listed).collect()}
