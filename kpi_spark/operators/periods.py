@@ -165,6 +165,8 @@ def correlation_stability(pairs: DataFrame, by: list[str], x: str, y: str, order
     rows = numbered(pairs, by, order).withColumn("width", F.greatest(F.lit(6), F.floor(F.col("n") / 2).cast("int")))
     first = F.array_distinct(F.array(F.lit(0), F.greatest(F.lit(0), (F.col("n") - F.col("width")).cast("int")), F.greatest(F.lit(0), F.floor((F.col("n") - F.col("width")) / 2).cast("int"))))
     inside = rows.withColumn("start", F.explode(first)).where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + F.col("width")))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    inside = inside.withColumns({x: F.when(both, F.col(x)), y: F.when(both, F.col(y))})
     r = F.when((F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12) & (F.count(F.lit(1)) >= 4), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     each = inside.groupBy(*by, "start").agg(r.alias("r"))
     return each.groupBy(*by).agg((F.avg("r") - F.stddev_pop("r")).alias("stability"))

@@ -249,12 +249,12 @@ def _(spark, table):
 @query(
     "r06_curve_points",
     f"""WITH {_LEVELS}, f AS (SELECT level, channel, support, regr_intercept(vm, ln(im)) AS a, regr_slope(vm, ln(im)) AS b, min(im) AS lo, max(im) AS hi FROM smooth GROUP BY 1, 2, 3), g AS (SELECT *, lo + (hi - lo) * unnest(range(0, 50)) / 49.0 AS x FROM f)
-        SELECT level, channel, support, round(x, 4) AS investment, round(a + b * ln(x), 4) AS expected, round(b / x * 100, 6) AS marginal, round(abs(b) / x * 100, 6) AS marginal_size FROM g""",
+        SELECT level, channel, support, round(x, 6) AS investment, round(a + b * ln(x), 4) AS expected, round(b / x * 100, 6) AS marginal, round(abs(b) / x * 100, 6) AS marginal_size FROM g""",
 )
 def _(spark, table):
     smooth = response.smoothed(_curve_source(table))
     made = response.points(smooth, response.curves(smooth)).drop("kpi")
-    return rounded(rounded(made, 4, "investment", "expected"), 6, "marginal", "marginal_size")
+    return rounded(rounded(made, 4, "expected"), 6, "investment", "marginal", "marginal_size")
 
 
 # -- geo panels --------------------------------------------------------------------------

@@ -66,6 +66,14 @@ def _(spark, table):
     return sources.schema_table(table("lineitem"))
 
 
+@query("s09_full_load", "SELECT o_orderdate::DATE AS fecha, o_orderkey, round(o_totalprice, 2) AS price FROM orders")
+def _(spark, table):
+    """Dates and prices that come as text, read, cleaned and ordered by date."""
+    text = table("orders").select("o_orderkey", F.translate(F.format_number("o_totalprice", 2), ",.", ".,").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"))
+    loaded = sources.load(spark, sources.write_csv(text, scratch_path(spark, "load"), sep=";"), 2024)
+    return loaded.select(F.to_date("fecha").alias("fecha"), F.col("o_orderkey").cast("long").alias("o_orderkey"), "price")
+
+
 @query("s10_lazy_open", "SELECT count(*) AS n, least(200, count(*)) AS preview FROM events")
 def _(spark, table):
     events = table("events")
@@ -89,6 +97,17 @@ def _(spark, table):
     return spark.read.option("header", True).option("sep", "\t").schema("p_partkey long, p_brand string, p_size int").csv(path)
 
 
+@query("k01_csv_export", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, table):
+    path = sources.write_csv(table("orders").select("o_orderkey", "o_custkey", "o_totalprice"), scratch_path(spark, "csv"), "gzip")
+    return sources.read_csv(spark, path, sep=",", schema="o_orderkey long, o_custkey long, o_totalprice double")
+
+
+@query("k03_parquet_export", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
+def _(spark, table):
+    return spark.read.parquet(sources.write_parquet(table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), scratch_path(spark, "parquet")))
+
+
 @query("k04_filtered_export", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def _(spark, table):
     data = filters.Dataset(table("orders")).with_filters({"o_orderstatus": ["F"]}).with_columns(["o_orderkey", "o_totalprice"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kpi_spark.sources.readers import to_parquet
 
+#: zstd needs a Hadoop build with that codec.
 CSV_COMPRESSIONS = ("none", "gzip", "zstd")
 PARQUET_COMPRESSIONS = ("snappy", "zstd", "gzip", "lz4", "none")
 
