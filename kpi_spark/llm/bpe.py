@@ -21,10 +21,10 @@ existing ``ids`` (``decoded``) column is replaced.
 from __future__ import annotations
 
 import base64
-import struct
 import unicodedata
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,13 +70,14 @@ class RankQueue:
 
 
 class Encoder:
-    """Encodes pre-tokens by a rank table."""
+    """Encodes pre-tokens by a rank table and remembers up to ``cache`` of them, by their 64-bit hashes, in a few arrays."""
 
     def __init__(self, ranks: dict[bytes, int], cache: int = CACHE) -> None:
-        self.ranks, self.longest, self.limit = ranks, max(map(len, ranks)), cache // 2
+        self.ranks, self.longest, self.limit = ranks, max(map(len, ranks)), cache
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.keys = np.zeros(0, np.uint64)  # ascending; the ids of key k are flat[begin[k] : begin[k] + size[k]]
+        self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.clock = np.zeros(0, np.int32), 0
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -141,19 +142,37 @@ class Encoder:
             i = j
         return out
 
-    def ids(self, piece: bytes) -> bytes:
-        """The ids as packed 32-bit integers, from the cache if they are there."""
-        found = self.new.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                out = self.encode_piece(piece)
-                found = struct.pack(f"={len(out)}i", *out)
-            if len(piece) <= 64:
-                if len(self.new) >= self.limit:  # the older half goes
-                    self.old, self.new = self.new, {}
-                self.new[piece] = found
-        return found
+    def remembered(self, hashes: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) in ``flat`` of pre-tokens given by ascending hashes; ``piece(i)`` gives the bytes of the i-th where they are needed."""
+        self.clock += 1
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inner = at < len(self.keys)
+        known[inner] = self.keys[at[inner]] == hashes[inner]
+        self.used[at[known]] = self.clock
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.keys) + len(new) > self.limit or len(self.flat) > 16 * self.limit:
+                self._forget()
+            ids = [self.encode_piece(piece(i)) for i in new.tolist()]
+            size = np.array([len(x) for x in ids], np.int32)
+            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32)))
+            order = np.argsort(keys := np.concatenate((self.keys, hashes[new])), kind="stable")
+            self.keys = keys[order]
+            self.begin, self.size = np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+            self.used = np.concatenate((self.used, np.full(len(new), self.clock, np.int32)))[order]
+            at = np.searchsorted(self.keys, hashes)
+        return self.begin[at], self.size[at].astype(np.int64)
+
+    def _forget(self) -> None:
+        """Keeps what the current texts use and at most half of the limit of what was used last."""
+        recent = np.sort(self.used)[-min(len(self.used), self.limit // 2) :][0] if len(self.used) else 0
+        kept = np.flatnonzero((self.used == self.clock) | (self.used > recent))
+        size = self.size[kept].astype(np.int64)
+        begin = np.cumsum(size) - size
+        self.flat = self.flat[np.arange(size.sum()) - np.repeat(begin - self.begin[kept], size)]
+        self.keys, self.begin, self.size, self.used = self.keys[kept], begin, self.size[kept], self.used[kept]
 
 
 _CLASSES: list[np.ndarray] = []
@@ -216,11 +235,10 @@ def encode_rows(encoder: Encoder, buf: np.ndarray, off: np.ndarray) -> tuple[np.
     starts = at if byte_at is None else byte_at[at]
     ends = np.append(starts[1:], len(buf))
     hashes = K.span_hash(K.prefix_hash(buf), starts, ends)
-    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    known = [encoder.ids(whole[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-    size = np.array([len(x) // 4 for x in known], dtype=np.int64)
-    flat = np.frombuffer(b"".join(known), np.int32)
-    base = np.cumsum(size) - size
+    unique, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first, last = starts[one].tolist(), ends[one].tolist()
+    base, size = encoder.remembered(unique, lambda i: whole[first[i] : last[i]])
+    flat = encoder.flat
     n = size[which]
     total = np.concatenate(([0], np.cumsum(n)))
     ids = flat[np.arange(total[-1]) - np.repeat(total[:-1] - base[which], n)]

@@ -36,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kpi_spark.llm import bloom
 from kpi_spark.llm import kernels as K
