@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from kpi_spark.llm import bloom
 from kpi_spark.llm import kernels as K
 from kpi_spark.llm.components import components
-from kpi_spark.llm.store import Tables
+from kpi_spark.llm.store import Tables, small_batches
 
 #: Minima of a sketch, of which two bits each are kept; minima of a band; chance to miss a link at the threshold.
 SLOTS, ROWS, MISS = 1024, 6, 1e-6
@@ -48,6 +48,8 @@ SLOTS, ROWS, MISS = 1024, 6, 1e-6
 SLACK = 4.5
 _LONGS = SLOTS * 2 // 64
 _BITS = [f"s{i}" for i in range(_LONGS)]
+#: Rows (texts, or pairs of sets) that go to Python at once.
+BATCH = 1000
 #: From this many open pairs on, only the best of each member and component is verified first.
 MANY = 150_000
 
@@ -169,7 +171,15 @@ def least_agreeing(threshold: float) -> int:
 
 def groups(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; links are pairs of at least ``percent`` percent similarity."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession, BATCH):
+        sketches, labels = _labelled(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tables, shingle, percent)
+    out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written sketches, and the component of each class of equal sets."""
     threshold = percent / 100
     sketches = tables.put(_sketches(docs, shingle, bands_for(threshold)), "sketches")
     n = sketches.count()
@@ -240,9 +250,7 @@ def groups(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80,
         "labels",
         n,
     )
-    out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return sketches, labels
 
 
 def dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80) -> DataFrame:
