@@ -105,6 +105,7 @@ _NUMBERS = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})(?:[\x20,.-]{{1,2}}(?:{_NAME}
 _ONE_NAME = re.compile(f"(?i){_NAME}")
 _GAP = re.compile(r"[\x20,.-]{1,2}")
 _BRACKETED = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot)\x20?[\])}>]\x20?")
+_OPENING = "[({<"
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}((?:\x20dot\x20[A-Za-z0-9-]{1,63})+)(?![A-Za-z0-9-])")
 _DOT = re.compile(r"(?i)\x20dot\x20")
 
@@ -157,7 +158,8 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans, in the source, of what the patterns find in the rewritten text."""
     odd = not text.isascii() and _DISGUISED.search(text)
     low = text.lower()
-    spoken = ("dot" in low and (_BRACKETED.search(text) or _SPOKEN.search(text))) or ("at" in low and "(at)" in low or "[at]" in low)
+    bracketed = any(b in text for b in _OPENING) and _BRACKETED.search(text)
+    spoken = bracketed or ("dot" in low and _SPOKEN.search(text))
     if not (odd or spoken or _NUMBERS.search(text)):
         return []
     n = Normalised(text)

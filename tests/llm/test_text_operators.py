@@ -196,6 +196,13 @@ def test_disguised_spans(text, kind, found):
     assert [(k, text[a:b], plain) for k, a, b, plain in pii.spans(text)] == [(kind, found, False)]
 
 
+@pytest.mark.parametrize("sign", ["[at]", "(at)", "{at}", "<at>", "[ at ]", "( at )", "{ AT }", "< At >", " (at) ", " <at> ", " ( at ) "])
+def test_every_bracket_without_other_hints(sign):
+    found = f"john{sign}example.com"
+    assert pii.spans(f"mail {found}, now") == [("email", 5, 5 + len(found), False)]
+    assert pii.marked(found, pii.spans(found)) == "[EMAIL]"
+
+
 @pytest.mark.parametrize("text", ["the cat at home dot", "one two three", "at the dot", "plain ñandú é", "version 1.2.3"])
 def test_clean_text_stays(text):
     assert pii.spans(text) == [] and pii.marked(text, []) == text
