@@ -7,10 +7,14 @@ each span.  Both are per-row: no shuffle, whole texts, time linear in a text's l
 Plain spans come from the text itself by four patterns.  For disguised ones a chain of
 transducers rewrites the text and carries along which source characters each
 character of the result came from: look-alike letters and digits of other scripts become
-ASCII and invisible characters go; runs of spelled digits become digits; "at" and "dot",
-bracketed or between the parts of an address, become @ and full stops.  The patterns run
-over the result and their spans are mapped back to the source.  A disguised span is added
-where it doesn't overlap a plain one.
+ASCII and invisible characters go; spelled digits in runs or next to digits become digits;
+"at" and "dot", bracketed or (each by itself) between the parts of an address, become @ and
+full stops.  The patterns run over the result and their spans are mapped back to the
+source.  A disguised span is added where it doesn't overlap a plain one.
+
+Where a spoken "at" is an address's only disguise, as in "john at example.com", the host
+has to end in letters of one case, and the word before it must not be one that ordinary
+speech has there ("look at example.com").
 
 Spans are ordered by kind (email, ip, card, phone), then start.  Defined results: null
 and empty texts have none (a null text stays null in :func:`redact`); repeated rows are
@@ -101,14 +105,30 @@ def _characters() -> dict[str, str]:
 _CHARACTERS = _characters()
 _DISGUISED = re.compile("[" + "".join(map(re.escape, sorted(_CHARACTERS))) + "]")
 _NAME = "|".join(SPELLED)
-_NUMBERS = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})(?:[\x20,.-]{{1,2}}(?:{_NAME}))+(?![^\W_])")
+_NUMBERS = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})(?:[\x20,.-]{{1,2}}(?:{_NAME}))*(?![^\W_])")
+# whether a text has a run of names, or one with a digit before or behind it
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})[\x20,.-]{{1,2}}(?:[0-9]|(?:{_NAME})(?![^\W_]))|(?<=[0-9])[\x20,.-]{{1,2}}(?:{_NAME})(?![^\W_])")
 _ONE_NAME = re.compile(f"(?i){_NAME}")
 _GAP = re.compile(r"[\x20,.-]{1,2}")
+_DIGIT_BEFORE = re.compile(r"[0-9]([\x20,.-]{1,2})\Z")
+_DIGIT_BEHIND = re.compile(r"([\x20,.-]{1,2})[0-9]")
 _BRACKETED = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot)\x20?[\])}>]\x20?")
 _OPENING = "[({<"
-_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}((?:\x20dot\x20[A-Za-z0-9-]{1,63})+)(?![A-Za-z0-9-])")
+_SPOKEN = re.compile(
+    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}(?:\x20dot\x20[A-Za-z0-9._%+-]{1,64}){0,3})(\x20at\x20|@)"
+    r"((?>[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)+))(?![A-Za-z0-9._%+-]*+@)"
+)
 _DOT = re.compile(r"(?i)\x20dot\x20")
 
+_LAST_LABEL = re.compile(r"(?:[a-z]{2,}|[A-Z]{2,})\Z")
+#: Words that ordinary speech has before "at" and the name of a host.
+ORDINARY = frozenset(
+    "a about active all am an and anything are arrive arrived at available back based be been begin book browse but buy by check click code data date day details docs documentation documents download "
+    "everything example file files find for found free from get go had has have he help her here him home hosted i image in info information is it join just last learn library link links list listed live located look looked looking "
+    "made me meet met more news not now of off on one online only open or order out page pages paper photo photos pictures post posted project published read register released reviews see seen sell she shop sign site sold source "
+    "start stay stayed still stuff tested that the them there these they things this those time to today tutorial up us use version video videos view visit was watch we website were what where which who with work worked working works write you".split()
+)
+
 
 class Normalised:
     """A rewritten text, and for each of its characters the source span it stands for."""
@@ -136,22 +156,39 @@ def _look_alikes(n: Normalised) -> None:
 def _numbers(n: Normalised) -> None:
     edits = []
     for m in _NUMBERS.finditer(n.text):
-        for w in _ONE_NAME.finditer(n.text, m.start(), m.end()):
+        before, behind = _DIGIT_BEFORE.search(n.text, max(0, m.start() - 3), m.start()), _DIGIT_BEHIND.match(n.text, m.end())
+        names = list(_ONE_NAME.finditer(n.text, *m.span()))
+        if len(names) == 1 and not before and not behind:
+            continue
+        # what stands between digits and names stays if it is one sign, as in addresses and groups of digits
+        if before and before[1] not in (" ", "-", "."):
+            edits.append((*before.span(1), " "))
+        for w in names:
             edits.append((w.start(), w.end(), SPELLED[w[0].lower()]))
             gap = _GAP.match(n.text, w.end(), m.end())
             if gap:
                 edits.append((gap.start(), gap.end(), ""))
+        if behind and behind[1] not in (" ", "-", "."):
+            edits.append((*behind.span(1), " "))
     n.rewrite(edits)
 
 
+def _address(n: Normalised, m: re.Match[str]) -> bool:
+    """Whether what _SPOKEN found is an address, not speech about a host that is named as it is."""
+    disguised = m[2] == "@" or _DOT.search(m[1]) or _DOT.search(m[3]) or any(n.end[k] - n.start[k] > 1 for k in range(*m.span(3)) if n.text[k] == ".")
+    return bool(disguised or _LAST_LABEL.search(m[3]) and not m[1].isdigit() and m[1].lower().rstrip(".-") not in ORDINARY)
+
+
 def _signs(n: Normalised) -> None:
     sign = {"at": "@", "dot": "."}
     n.rewrite([(m.start(), m.end(), sign[m[1].lower()]) for m in _BRACKETED.finditer(n.text)])
     edits = []
     for m in _SPOKEN.finditer(n.text):
-        edits.append((*m.span(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(n.text, *m.span(2))]
-    n.rewrite(edits)
+        if _address(n, m):
+            edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(n.text, *m.span(1))]
+            edits.append((*m.span(2), "@"))
+            edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(n.text, *m.span(3))]
+    n.rewrite([e for e in edits if n.text[e[0] : e[1]] != e[2]])
 
 
 def disguised_spans(text: str) -> list[tuple[str, int, int]]:
@@ -159,8 +196,8 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     odd = not text.isascii() and _DISGUISED.search(text)
     low = text.lower()
     bracketed = any(b in text for b in _OPENING) and _BRACKETED.search(text)
-    spoken = bracketed or ("dot" in low and _SPOKEN.search(text))
-    if not (odd or spoken or _NUMBERS.search(text)):
+    spoken = bracketed or ((" at " in low or " dot " in low) and _SPOKEN.search(text))
+    if not (odd or spoken or _SPELLED.search(text)):
         return []
     n = Normalised(text)
     for step in (_look_alikes, _numbers, _signs):

@@ -203,6 +203,42 @@ def test_every_bracket_without_other_hints(sign):
     assert pii.marked(found, pii.spans(found)) == "[EMAIL]"
 
 
+@pytest.mark.parametrize(
+    ("found", "kind"),
+    [
+        ("john [at] example dot com", "email"),
+        ("john at example [dot] com", "email"),
+        ("john@example dot com", "email"),
+        ("john at mail.example dot com", "email"),
+        ("john at example.com", "email"),
+        ("john.smith at mail.example.com", "email"),
+        ("john dot smith at example dot com", "email"),
+        ("john dot smith {at} example.com", "email"),
+        ("+1 555 one 23 four 567 8", "phone"),
+        ("+one 555 123 4567", "phone"),
+        ("+1 555, one, 234 567", "phone"),
+        ("4111 1111 1111 111 one", "card"),
+        ("four 111 1111 1111 1111", "card"),
+        ("10.0.zero.1", "ip"),
+    ],
+)
+def test_mixed_disguises(found, kind):
+    text = f"write: {found}; later"
+    assert pii.spans(text) == [(kind, 7, 7 + len(found), False)]
+    assert pii.marked(text, pii.spans(text)) == f"write: [{kind.upper()}]; later"
+
+
+@pytest.mark.parametrize(
+    "text", ["look at example.com for more", "Available at example.com", "we met at home.Then it rained", "priced at 3.50", "look at john dot", "one 2 three", "in 1.2.3. One thing", "a dot at the end", "version 2 at example.com"]
+)
+def test_clean_text_with_words_of_disguises_stays(text):
+    assert pii.spans(text) == []
+
+
+def test_addresses_after_speech_stay_plain():
+    assert pii.spans("look at john.smith@example.com") == [("email", 8, 30, True)]
+
+
 @pytest.mark.parametrize("text", ["the cat at home dot", "one two three", "at the dot", "plain ñandú é", "version 1.2.3"])
 def test_clean_text_stays(text):
     assert pii.spans(text) == [] and pii.marked(text, []) == text
@@ -215,6 +251,12 @@ def test_long_texts_take_linear_time():
     pii.spans("one " * 50_000)
 
 
+def test_long_mixed_disguises_take_linear_time():
+    for piece in ("a dot ", "a at ", "a at b.", "a at b dot ", "a@b dot ", "one 1 ", "x at " + "b." * 99 + "@ "):
+        pii.spans(piece * (300_000 // len(piece)))
+        pii.spans("x at " + piece.replace(" ", "") * (300_000 // len(piece)) + "@")
+
+
 def test_detect_and_redact_frames(spark):
     texts = [None, "", "a@b.cc and 1.2.3.4", "a@b.cc and 1.2.3.4", "nothing"]
     df = frame(spark, texts, ["pii"])
