@@ -40,6 +40,17 @@ def _(spark, table):
     return rounded(periods.aggregate(few, "o_orderdate", "W", ["o_totalprice"], fill_gaps=True), 2, "o_totalprice")
 
 
+@query(
+    "a21_gaps_per_customer",
+    """WITH s AS (SELECT date_trunc('week', o_orderdate)::DATE AS p, o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+       g AS (SELECT unnest(generate_series(min(p), max(p), INTERVAL 7 DAY))::DATE AS period FROM s)
+       SELECT period, c.o_custkey, round(coalesce(v, 0), 2) AS o_totalprice FROM g CROSS JOIN (SELECT DISTINCT o_custkey FROM s) c LEFT JOIN s ON s.p = period AND s.o_custkey = c.o_custkey""",
+)
+def _(spark, table):
+    """All orders, where every customer's series has gaps."""
+    return rounded(periods.aggregate(table("orders"), "o_orderdate", "W", ["o_totalprice"], ["o_custkey"], fill_gaps=True), 2, "o_totalprice")
+
+
 @query(
     "a22_wide_matrix",
     """SELECT date_trunc('month', o_orderdate)::DATE AS period, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'), 0), 2) AS "F | 1-URGENT", round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O' AND o_orderpriority = '5-LOW'), 0), 2) AS "O | 5-LOW" FROM orders GROUP BY 1""",

@@ -176,6 +176,16 @@ def _(spark, table):
     return rows.select("m", to("mes").alias("by_month"), to("year").alias("by_year"), to("quarter").alias("by_quarter"), to("week").alias("by_week")).distinct()
 
 
+@query(
+    "t06_all_weeks",
+    "SELECT o_orderkey, weekofyear(o_orderdate) AS week, CASE WHEN weekofyear(o_orderdate) <= 52 THEN (DATE '2024-01-01' + ((weekofyear(o_orderdate) - 1) * 7)::INT)::DATE END AS by_week FROM orders",
+)
+def _(spark, table):
+    """Every order; week 53, which 2024 doesn't have, gives null."""
+    rows = table("orders").select("o_orderkey", F.weekofyear("o_orderdate").alias("week"))
+    return rows.withColumn("by_week", typ.coerce_date(F.col("week"), "week", True, 2024).cast("date"))
+
+
 @query("t07_parse_dates", "SELECT event_id, ts::DATE AS day FROM events")
 def _(spark, table):
     rows = table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("fecha"))
@@ -359,6 +369,13 @@ def _(spark, table):
     return combine.merge([table("orders").select("o_orderkey", "o_totalprice"), lines], ["o_orderkey"])
 
 
+@query("j01_all_lines", "SELECT o_orderkey, o_totalprice, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def _(spark, table):
+    """Every line of every order."""
+    lines = table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return combine.merge([table("orders").select("o_orderkey", "o_totalprice"), lines], ["o_orderkey"])
+
+
 @query("j02_left_join", "SELECT n_nationkey AS k, n_name AS name, s_name AS name_r FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey")
 def _(spark, table):
     left = table("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))

@@ -52,3 +52,14 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(plans.ORACLE))
 def test_query(spark, duck, name):
     assert values(plans.QUERIES[name](spark, SF).toPandas()) == values(duck.execute(plans.ORACLE[name]).df())
+
+
+def test_whole_tables(spark, duck):
+    """Queries over all orders and lines, with the cases that filtered ones leave out."""
+    n = lambda q: duck.execute(q).fetchone()[0]
+    gaps = plans.QUERIES["a21_gaps_per_customer"](spark, SF).toPandas()
+    assert gaps["o_custkey"].nunique() == n("SELECT count(DISTINCT o_custkey) FROM orders") and (gaps["o_totalprice"] == 0).any()
+    assert gaps["o_totalprice"].sum() == pytest.approx(n("SELECT sum(o_totalprice) FROM orders"))
+    assert plans.QUERIES["j01_all_lines"](spark, SF).count() == n("SELECT count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+    last = plans.QUERIES["t06_all_weeks"](spark, SF).where("week = 53")
+    assert last.count() == n("SELECT count(*) FROM orders WHERE weekofyear(o_orderdate) = 53") > 0 == last.where("by_week is not null").count()
