@@ -6,16 +6,16 @@ byte n-grams of 1 to 4, all hashed into ``BUCKETS`` learned vectors of ``DIM`` n
 The mean of the vectors goes through a softmax layer over the two labels.
 
 :func:`train` fits vectors and layer by numpy stochastic gradient descent, one document
-at a time, on at most ``ROWS`` labelled documents of at most ``LONGEST`` bytes each (those
-with the lowest hashes of their ids; longer ones are only left out of the training).
+at a time, on at most ``ROWS`` labelled documents of at most ``LONGEST`` bytes each (of
+those, the ones with the lowest hashes of their ids; longer ones are only left out of the training).
 :func:`score` reads whole texts of any length: with both layers linear, a feature adds
 one number to the difference of the two labels, so a document needs one table look-up a feature.
 
 Scores don't depend on ids, languages, sources or labels of the rows they are for.
 Defined results: a null or empty text has no features and gets the score of the layer's
 bias; labels that are null or other than 0 and 1 are not learned from; without any usable
-label every score is 0.5; repeated rows are scored one by one; other columns pass through
-and columns named like a result are replaced.
+label every score is 0.5, and :func:`good` keeps all documents; repeated rows are scored
+one by one; other columns pass through and columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -80,10 +80,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What scoring needs: what each bucket adds to the log-odds of label 1, and the bias."""
+    """What scoring needs: what each bucket adds to the log-odds of label 1, and the bias; examples: how many it was fitted on."""
 
-    def __init__(self, table: np.ndarray, bias: float) -> None:
-        self.table, self.bias = table, bias
+    def __init__(self, table: np.ndarray, bias: float, examples: int) -> None:
+        self.table, self.bias, self.examples = table, bias, examples
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each text of a buffer."""
@@ -125,7 +125,7 @@ def fit(examples: list[tuple[str, int]], seed: int = 7) -> Model:
             layer -= rate * np.outer(delta, mean)
             bias -= np.float32(0.2) * rate * delta
             vectors[buckets] -= (SPREAD * rate) * share[:, None] * down[None, :]
-    return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]), len(ready))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,8 +136,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Model:
     """A model fitted on the labelled documents that are not held out."""
     wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
-    chosen = wanted.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)  # at most ``rows`` small rows: broadcast
-    found = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("_text") <= LONGEST).join(F.broadcast(chosen), "_id")
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("_text") <= LONGEST)
+    usable = wanted.join(own.select("_id").distinct(), "_id", "left_semi")  # ids only: texts stay where they are
+    chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)  # at most ``rows`` small rows: broadcast
+    found = own.join(F.broadcast(chosen), "_id")
     got = sorted((r["_id"], r["_text"], r["_label"]) for r in found.dropDuplicates(["_id", "_label"]).collect())
     return fit([(t, y) for _, t, y in got])
 
@@ -146,7 +148,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``GOOD`` on)."""
     given = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     keep = [c for c in given if keep_text or c != text]
-    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.examples))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,5 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
 
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model doesn't reject, with their own columns."""
+    """The documents that the model doesn't reject, with their own columns; all of them where it was fitted on no usable label."""
+    if not model.examples:
+        return docs
     return shown(score(hidden(docs, ("score", "predicted")), model).where("predicted = 1"), docs.columns)

@@ -350,6 +350,24 @@ def test_quality_learns_and_ignores_all_but_text(spark):
     assert quality.score(empty(spark), model).count() == 0
 
 
+def test_quality_samples_usable_documents(spark):
+    """Ids with the lowest hashes belong to long, null or missing texts; the sample is still full."""
+    ids = [r["i"] for r in spark.range(200).where(~quality.held_out(F.col("id"))).select(F.col("id").alias("i")).orderBy(F.xxhash64("id")).collect()]
+    odd = {i: ("x" * (quality.LONGEST + 1), None)[k % 2] for k, i in enumerate(ids[:40])}
+    docs = spark.createDataFrame([(i, odd.get(i, f"some text {i}")) for i in ids if i != ids[40]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    assert quality.train(docs, labels, rows=30).examples == 30
+    assert quality.train(docs.where(F.col("doc_id").isin(ids[:40])), labels).examples == 0
+
+
+def test_quality_without_usable_labels_keeps_documents(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, None)], "doc_id long, text string")
+    for labels in ([], [(1, None)], [(9, 1)]):
+        model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        kept = quality.good(docs, model)
+        assert kept.columns == docs.columns and kept.count() == 3
+
+
 # -- fingerprints ------------------------------------------------------------------------
 
 
