@@ -5,8 +5,8 @@ universal hash permutations the smallest image of its distinct five-word shingle
 computed for many texts at once with numpy, 16 (mixed) bits of it as four hex digits.
 :func:`likeness` is the share of slots in which two of them agree, an estimate of the
 Jaccard similarity.  :func:`with_edits` also fingerprints each document with its last
-quarter replaced by the beginning of the next document.  :func:`similar_pairs` joins
-bands of the signatures in Spark and verifies the Jaccard similarity on the full sets.
+quarter replaced by the beginning of the next document.  :func:`similar_pairs`
+groups similar texts by the sketches of :mod:`neardup`, not by these fingerprints.
 
 The next document is the one of the next larger id (after the last one: the first).
 Ids are cut into ranges at quantiles; each range's rows, with one guest (the smallest row
@@ -148,6 +148,6 @@ def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per_
 def similar_pairs(docs: DataFrame, tables: Tables, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups under links of at least ``percent`` percent Jaccard similarity.
 
-    Signature bands are joined in Spark, candidates verified on their full shingle sets.
+    By the bands of neardup's own sketches, candidates verified on their full shingle sets.
     """
     return neardup.groups(docs, tables, SHINGLE, percent)
