@@ -101,24 +101,20 @@ def lossless(column: Column, parsed: Column) -> Column:
     return (F.count(column) == F.count(parsed)) & (codes == 0)
 
 
-def clean_numbers(df: DataFrame, at_least: float = 0.9, sample: int = 500) -> DataFrame:
-    """Text columns become doubles where enough of a sample parses and all of the column does without loss.
+def clean_numbers(df: DataFrame, at_least: float = 0.9) -> DataFrame:
+    """Text columns become doubles where enough of their values parse and all of the column does without loss.
 
-    One job votes on the sample's formats, a second one checks whole columns.
+    One job votes on the formats, a second one checks; both read whole columns.
     """
     names = [c for c in text_columns(df) if not is_date_name(c)]
     if not names:
         return df
-    head = df.select(*names).limit(sample)
-    forms = number_formats(head, names)
-    share = {c: F.count(parse_number(F.col(c), forms[c])) / F.nullif(F.count(F.col(c)), F.lit(0)) for c in names}
-    votes = head.agg(*(share[c].alias(f"s{i}") for i, c in enumerate(names))).first()
-    likely = [c for i, c in enumerate(names) if (votes[f"s{i}"] or 0) >= at_least]
-    if not likely:
-        return df
-    checks = df.agg(*(lossless(F.col(c), parse_number(F.col(c), forms[c])).alias(f"l{i}") for i, c in enumerate(likely))).first()
-    good = {c for i, c in enumerate(likely) if checks[f"l{i}"]}
-    return df.select(*(parse_number(F.col(c), forms[c]).alias(c) if c in good else F.col(c) for c in df.columns))
+    forms = number_formats(df, names)
+    parsed = {c: parse_number(F.col(c), forms[c]) for c in names}
+    share = {c: F.count(parsed[c]) / F.nullif(F.count(F.col(c)), F.lit(0)) for c in names}
+    checks = df.agg(*(((share[c] >= at_least) & lossless(F.col(c), parsed[c])).alias(f"l{i}") for i, c in enumerate(names))).first()
+    good = {c for i, c in enumerate(names) if checks[f"l{i}"]}
+    return df.select(*(parsed[c].alias(c) if c in good else F.col(c) for c in df.columns)) if good else df
 
 
 # -- dates -------------------------------------------------------------------------------
@@ -166,13 +162,13 @@ def parse_dates(df: DataFrame, year: int) -> DataFrame:
     return df.select(*(dates[c].alias(c) if c in good else F.col(c) for c in df.columns))
 
 
-def date_columns(df: DataFrame, sample: int = 500) -> list[str]:
-    """Columns of a date type, and text columns with a date's name whose sampled values parse."""
+def date_columns(df: DataFrame) -> list[str]:
+    """Columns of a date type, and text columns with a date's name whose values all parse."""
     typed = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     named = [c for c in text_columns(df) if is_date_name(c)]
     if named:
         parsed = {c: F.count(F.col(c).try_cast("timestamp")) for c in named}
-        row = df.select(*named).limit(sample).agg(*(((parsed[c] == F.count(F.col(c))) & (F.count(F.col(c)) > 0)).alias(f"p{i}") for i, c in enumerate(named))).first()
+        row = df.agg(*(((parsed[c] == F.count(F.col(c))) & (F.count(F.col(c)) > 0)).alias(f"p{i}") for i, c in enumerate(named))).first()
         typed += [c for i, c in enumerate(named) if row[f"p{i}"]]
     return [c for c in df.columns if c in typed]
 
@@ -182,13 +178,13 @@ def date_columns(df: DataFrame, sample: int = 500) -> list[str]:
 TYPES = ("auto", "fecha", "numero", "categorica", "texto", "ignorar")
 
 
-def detect_types(df: DataFrame, rows: int = 50_000) -> dict[str, str]:
+def detect_types(df: DataFrame) -> dict[str, str]:
     """fecha, numero, categorica (boolean, at most 50 values or under a fifth distinct) or texto."""
     dates = set(date_columns(df))
     out = {c: "fecha" for c in df.columns if c in dates} | dict.fromkeys(numeric_columns(df), "numero")
     rest = [c for c in df.columns if c not in out]
     if rest:
-        row = df.select(*rest).limit(rows).agg(*(F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(rest)), *(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(rest))).first()
+        row = df.agg(*(F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(rest)), *(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(rest))).first()
         for i, c in enumerate(rest):
             few = row[f"d{i}"] <= 50 or row[f"d{i}"] < 0.2 * row[f"n{i}"]
             out[c] = "categorica" if few or dict(df.dtypes)[c] == "boolean" else "texto"

@@ -162,7 +162,7 @@ def _(spark, table):
 @query("t05_last_chance_numbers", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size FROM part")
 def _(spark, table):
     rows = table("part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
-    return typ.clean_numbers(rows, at_least=0.5, sample=1000)
+    return typ.clean_numbers(rows, at_least=0.5)
 
 
 @query(

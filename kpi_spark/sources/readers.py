@@ -77,7 +77,7 @@ def load(spark: SparkSession, path: str, year: int) -> DataFrame:
 
     df = read_parquet(spark, path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
     df = typ.parse_dates(typ.clean_numbers(df), year)
-    return typ.clean_numbers(sorting.by_first_date(sorting.dates_first(df)), at_least=0.5, sample=1000)
+    return typ.clean_numbers(sorting.by_first_date(sorting.dates_first(df)), at_least=0.5)
 
 
 def to_parquet(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:

@@ -154,3 +154,13 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         assert rows(out) == [(k, k * 3 % 11) for k in range(7)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_kinds_follow_all_rows(spark):
+    """What stands behind the first rows of a sorted table counts."""
+    dates = spark.range(0, 600, 1, 1).select(F.when(F.col("id") < 550, "2024-01-02").otherwise("later").alias("fecha"))
+    assert typ.date_columns(dates) == []
+    numbers = spark.range(0, 5000, 1, 1).select(F.when(F.col("id") < 1000, "x").otherwise("7").alias("a"), F.when(F.col("id") < 600, F.lit(None)).otherwise("1.234,5").alias("importe"))
+    assert dict(typ.clean_numbers(numbers).dtypes) == {"a": "string", "importe": "double"}
+    names = spark.range(0, 150_000, 1, 1).select(F.when(F.col("id") < 60_000, "same").otherwise(F.col("id").cast("string")).alias("name"))
+    assert typ.detect_types(names) == {"name": "texto"}
