@@ -10,8 +10,8 @@ and skipped.  A pre-token of n bytes so costs about n log n, however long it is.
 
 Pre-tokens are cut for many texts at once with numpy by the rules of the split
 pattern (contractions; letters, numbers or other symbols with at most one space
-before; white space).  Encoded pre-tokens are kept in a cache of at most
-``CACHE`` entries per Python worker.
+before; white space).  Encoded pre-tokens are kept with their bytes in a cache of at most
+``CACHE`` entries per Python worker, found by hashes and used only where the bytes are equal.
 
 Defined results: null and empty texts give an empty id list; a null id list decodes
 to empty bytes; repeated rows are each encoded; other columns pass through, and an
@@ -70,14 +70,14 @@ class RankQueue:
 
 
 class Encoder:
-    """Encodes pre-tokens by a rank table and remembers up to ``cache`` of them, by their 64-bit hashes, in a few arrays."""
+    """Encodes pre-tokens by a rank table and remembers up to ``cache`` of them, bytes and ids, in a few arrays."""
 
     def __init__(self, ranks: dict[bytes, int], cache: int = CACHE) -> None:
         self.ranks, self.longest, self.limit = ranks, max(map(len, ranks)), cache
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.keys = np.zeros(0, np.uint64)  # ascending; the ids of key k are flat[begin[k] : begin[k] + size[k]]
-        self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.flat, self.clock = np.zeros(0, np.int32), 0
+        self.keys = np.zeros(0, np.uint64)  # ascending hashes; entry k's ids are ids.of(k), its bytes raw.of(k)
+        self.ids, self.raw = _Lists(np.int32), _Lists(np.uint8)
+        self.used, self.clock = np.zeros(0, np.int32), 0
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -142,8 +142,8 @@ class Encoder:
             i = j
         return out
 
-    def remembered(self, hashes: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, size) in ``flat`` of pre-tokens given by ascending hashes; ``piece(i)`` gives the bytes of the i-th where they are needed."""
+    def remembered(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of pre-tokens (spans of ``buf``, ascending distinct hashes); -1 where other bytes have the entry of that hash."""
         self.clock += 1
         at = np.searchsorted(self.keys, hashes)
         known = np.zeros(len(hashes), bool)
@@ -152,27 +152,62 @@ class Encoder:
         self.used[at[known]] = self.clock
         new = np.flatnonzero(~known)
         if len(new):
-            if len(self.keys) + len(new) > self.limit or len(self.flat) > 16 * self.limit:
+            if len(self.keys) + len(new) > self.limit or len(self.ids.flat) + len(self.raw.flat) > 24 * self.limit:
                 self._forget()
-            ids = [self.encode_piece(piece(i)) for i in new.tolist()]
-            size = np.array([len(x) for x in ids], np.int32)
-            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32)))
+            whole = buf.tobytes()
+            ids = [self.encode_piece(whole[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
             order = np.argsort(keys := np.concatenate((self.keys, hashes[new])), kind="stable")
             self.keys = keys[order]
-            self.begin, self.size = np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
             self.used = np.concatenate((self.used, np.full(len(new), self.clock, np.int32)))[order]
+            size = np.array([len(x) for x in ids], np.int64)
+            self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32), size, order)
+            n = ends[new] - starts[new]
+            self.raw.add(buf[_spread(starts[new], n)], n, order)
             at = np.searchsorted(self.keys, hashes)
-        return self.begin[at], self.size[at].astype(np.int64)
+        old = np.flatnonzero(known)
+        same = _equal(self.raw.flat, self.raw.begin[at[old]], self.raw.size[at[old]], buf, starts[old], ends[old] - starts[old])
+        at[old[~same]] = -1
+        return at
 
     def _forget(self) -> None:
         """Keeps what the current texts use and at most half of the limit of what was used last."""
         recent = np.sort(self.used)[-min(len(self.used), self.limit // 2) :][0] if len(self.used) else 0
         kept = np.flatnonzero((self.used == self.clock) | (self.used > recent))
-        size = self.size[kept].astype(np.int64)
-        begin = np.cumsum(size) - size
-        self.flat = self.flat[np.arange(size.sum()) - np.repeat(begin - self.begin[kept], size)]
-        self.keys, self.begin, self.size, self.used = self.keys[kept], begin, self.size[kept], self.used[kept]
+        self.keys, self.used = self.keys[kept], self.used[kept]
+        self.ids.keep(kept)
+        self.raw.keep(kept)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of spans, one after another."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(begin - before, size)
+
+
+def _equal(x: np.ndarray, x_begin: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_begin: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether the spans of two byte arrays are equal, pair by pair."""
+    same = x_size == y_size
+    n = np.where(same, x_size, 0)
+    bad = np.flatnonzero(x[_spread(x_begin, n)] != y[_spread(y_begin, n)])
+    same[np.searchsorted(np.cumsum(n), bad, "right")] = False
+    return same
+
+
+class _Lists:
+    """Lists of numbers in one flat array."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.begin, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
+        """More lists, and the order of all of them."""
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate((self.flat, flat))
+        self.begin, self.size = np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+
+    def keep(self, some: np.ndarray) -> None:
+        begin, size = self.begin[some], self.size[some]
+        self.flat, self.begin, self.size = self.flat[_spread(begin, size)], np.cumsum(size) - size, size
 
 
 _CLASSES: list[np.ndarray] = []
@@ -234,14 +269,22 @@ def encode_rows(encoder: Encoder, buf: np.ndarray, off: np.ndarray) -> tuple[np.
     at = split_starts(chars, char_off)
     starts = at if byte_at is None else byte_at[at]
     ends = np.append(starts[1:], len(buf))
-    hashes = K.span_hash(K.prefix_hash(buf), starts, ends)
+    hashes = K.span_hash(buf, starts, ends)
     unique, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    first, last = starts[one].tolist(), ends[one].tolist()
-    base, size = encoder.remembered(unique, lambda i: whole[first[i] : last[i]])
-    flat = encoder.flat
-    n = size[which]
+    entry = encoder.remembered(unique, buf, starts[one], ends[one])[which]
+    same = _equal(buf, starts, ends - starts, buf, starts[one][which], (ends - starts)[one][which])
+    entry[~same] = -1
+    n = np.where(entry >= 0, encoder.ids.size[entry], 0)
+    extra = {i: encoder.encode_piece(whole[starts[i] : ends[i]]) for i in np.flatnonzero(entry < 0).tolist()}  # other bytes under a hash in use
+    for i, x in extra.items():
+        n[i] = len(x)
     total = np.concatenate(([0], np.cumsum(n)))
-    ids = flat[np.arange(total[-1]) - np.repeat(total[:-1] - base[which], n)]
+    begin = np.where(entry >= 0, encoder.ids.begin[entry], 0)
+    ids = np.empty(total[-1], np.int32)
+    known = np.flatnonzero(entry >= 0)
+    ids[_spread(total[known], n[known])] = encoder.ids.flat[_spread(begin[known], n[known])]
+    for i, x in extra.items():
+        ids[total[i] : total[i + 1]] = x
     return ids, total[np.searchsorted(starts, off)]
 
 

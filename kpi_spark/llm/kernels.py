@@ -3,17 +3,24 @@
 They run inside ``mapInArrow`` tasks.  A batch's UTF-8 buffer is viewed as one
 byte array and cut into pieces of about ``PIECE`` bytes (a single longer text is
 a piece of its own), so memory follows the piece and not the partition.
+
+Hashes of spans have 64 bits.  Those of up to ``LONG`` bytes are polynomials modulo 2**64, which
+tell such short spans apart but for chance; longer ones, for which polynomials of that kind have
+collisions by construction, are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once.
 PIECE = 1 << 20
+#: Bytes of a span up to which the polynomial is its hash.
+LONG = 256
 
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -91,19 +98,17 @@ def pieces(off: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which :func:`span_hash` takes the hash of any span."""
-    up, _ = _POWERS.of(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum((values.astype(U) + U(1)) * up[: len(values)], dtype=U, out=out[1:])
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of a byte array."""
+    up, down = _POWERS.of(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum((values.astype(U) + U(1)) * up[: len(values)], dtype=U, out=prefix[1:])
+    out = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U) * U(_Q))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = _POWERS.of(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U) * U(_Q))
-
-
 def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, row) of each word, and the bytes as the table maps them."""
     low = table[buf]
@@ -126,8 +131,7 @@ def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.
 def word_hashes(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and the first word of each row (one more entry than rows)."""
     starts, ends, rows, low = word_spans(buf, off, table)
-    hashes = span_hash(prefix_hash(low), starts, ends)
-    return hashes, np.searchsorted(rows, np.arange(len(off)), "left")
+    return span_hash(low, starts, ends), np.searchsorted(rows, np.arange(len(off)), "left")
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
