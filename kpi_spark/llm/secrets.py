@@ -14,7 +14,11 @@ end exclusive, ordered by start, then by the order of the rules.  DataFrame func
 
 Matches are leftmost and don't overlap within a rule; those whose value is too short are
 dropped and the search goes on behind them.  Offsets come from the lengths of matches and
-of what lies between them, summed in blocks of ``BLOCK``.
+of what lies between them: their running sums are taken in blocks of ``BLOCK``, whose totals
+are summed the same way, so that a text takes time in proportion to its matches.
+
+A trigram is looked for by ``contains``, one pass over the text each: texts have no native
+list of their trigrams that would not copy or rescan a long text for each of them.
 
 Defined results: null and empty texts hold none; rows that repeat an id share their
 candidates but each text is verified by itself; rows with a null id are verified by all
@@ -23,7 +27,9 @@ rules; other columns pass through and an existing ``secrets`` column is replaced
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from re import _parser as pattern_parser
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +37,12 @@ from pyspark.sql import functions as F
 
 from kpi_spark.llm.store import Tables
 
-#: Candidates that are sent to all tasks at most (12 bytes each).
+#: Candidates that are sent to all tasks at most (an id and the numbers of a few rules each).
 BROADCAST = 500_000
-#: Lengths summed one by one.
-BLOCK = 128
+#: Lengths summed one by one, and levels of blocks of blocks (beyond BLOCK ** (LEVELS + 1) matches of a text the top level is longer).
+BLOCK, LEVELS = 32, 4
+#: Trigrams of one bit mask.
+BITS = 62
 
 
 @dataclass(frozen=True)
@@ -95,48 +103,68 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules: bit mask) of the documents that pass the query of an indexed rule."""
+    """(doc_id, rules: their numbers) of the documents that pass the query of an indexed rule."""
     queries = {i: q for i, r in enumerate(rules) if all(q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for need in q for t in need})
-    bit = {t: 1 << i for i, t in enumerate(trigrams)}
-    if len(trigrams) > 62:
-        raise ValueError("at most 62 mandatory trigrams")
-    held = postings(docs, trigrams).groupBy("doc_id").agg(F.bit_or(F.element_at(F.create_map(*(F.lit(x) for t in trigrams for x in (t, bit[t]))), F.col("trigram")).cast("long")).alias("held"))
-    mask = F.lit(0)
-    for i, query in queries.items():
-        passes = F.lit(False)
-        for need in query:
-            all_ = F.lit(sum(bit[t] for t in need)).cast("long")
-            passes = passes | (F.col("held").bitwiseAND(all_) == all_)
-        mask = mask.bitwiseOR(F.when(passes, F.lit(1 << i)).otherwise(F.lit(0)))
-    return held.select("doc_id", mask.alias("rules")).where("rules <> 0")
+    masks = [trigrams[i : i + BITS] for i in range(0, len(trigrams), BITS)] or [[]]
+    found = F.col("trigram")
+    bits = [reduce(lambda e, i, m=mask: F.when(found == m[i], F.lit(1 << i)).otherwise(e), range(len(mask)), F.lit(0)).cast("long") for mask in masks]
+    held = postings(docs, trigrams).groupBy("doc_id").agg(*(F.bit_or(b).alias(f"held{k}") for k, b in enumerate(bits)))
+
+    def holds(need: frozenset[str]) -> Column:
+        every = [sum(1 << i for i, t in enumerate(mask) if t in need) for mask in masks]
+        return reduce(lambda p, q: p & q, (F.col(f"held{k}").bitwiseAND(F.lit(m).cast("long")) == m for k, m in enumerate(every) if m))
+
+    passes = (F.when(reduce(lambda p, q: p | q, map(holds, query)), F.lit(i)) for i, query in queries.items())
+    return held.select("doc_id", F.array_compact(F.array(F.lit(None).cast("int"), *passes)).alias("rules")).where("size(rules) > 0")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _sum(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda acc, x: acc + x)
 
 
-def starts(lengths: Column) -> Column:
-    """Sums of all lengths before each one, in blocks, so that very many take no quadratic time."""
+def starts(lengths: Column, levels: int = LEVELS) -> Column:
+    """Sums of all lengths before each one."""
+
+    def before(part: Column, base: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(part) - 1), lambda j: base + _sum(F.slice(part, F.lit(1), j)))
 
-    def block(b: Column) -> Column:
-        before = _sum(F.slice(lengths, F.lit(1), b * BLOCK))
-        part = F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))
-        base = F.array(before)
-        return F.flatten(F.transform(base, lambda s: F.transform(F.sequence(F.lit(0), F.size(part) - 1), lambda j: s + _sum(F.slice(part, F.lit(1), j)))))
+    if not levels:
+        return before(lengths, F.lit(0))
 
-    blocks = F.floor((F.size(lengths) - 1) / BLOCK).cast("int")
-    return F.flatten(F.transform(F.sequence(F.lit(0), blocks), block))
+    def blocks(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
 
+    def summed(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, starts(F.transform(parts, _sum), levels - 1), before))
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """(start, rank, end) of the rule's matches in a text that has some."""
+    return _let(lengths, lambda values: F.when(F.size(values) <= BLOCK, before(values, F.lit(0))).otherwise(_let(blocks(values), summed)))
+
+
+def pieces(text: Column, rule: Rule, rank: int) -> Column:
+    """The lengths of a rule's matches, of their values and of what lies between them, in a text that has some."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
-    steps = F.zip_with(between, whole, lambda b, m: F.length(b) + F.length(m))
-    found = F.zip_with(F.arrays_zip(starts(steps).alias("before"), between.alias("between")), F.arrays_zip(whole.alias("whole"), value.alias("value")), lambda p, m: F.struct((p["before"] + F.length(p["between"])).alias("start"), F.lit(rank).alias("rank"), (p["before"] + F.length(p["between"]) + F.length(m["whole"])).alias("end"), F.length(m["value"]).alias("size")))
-    return F.transform(F.filter(found, lambda s: s["size"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    size = lambda texts: F.transform(texts, lambda t: F.length(t))
+    return F.struct(F.lit(rank).alias("rank"), F.lit(rule.least).alias("least"), size(F.split(text, rule.pattern, -1)).alias("between"), size(whole).alias("whole"), size(value).alias("value"))
+
+
+def spans(part: Column) -> Column:
+    """(start, rank, end) of the matches whose lengths :func:`pieces` gave."""
+
+    def placed(between: Column) -> Column:
+        steps = F.zip_with(between, part["whole"], lambda b, m: b + m)
+        rows = F.arrays_zip(starts(steps).alias("before"), between.alias("between"), part["whole"].alias("whole"), part["value"].alias("value"))
+        good = F.filter(rows, lambda r: r["value"] >= part["least"])
+        return F.transform(good, lambda r: F.struct((r["before"] + r["between"]).alias("start"), part["rank"].alias("rank"), (r["before"] + r["between"] + r["whole"]).alias("end")))
+
+    return _let(F.slice(part["between"], F.lit(1), F.size(part["whole"])), placed)
 
 
 def scan(docs: DataFrame, tables: Tables, rules: tuple[Rule, ...] = RULES, broadcast: int = BROADCAST) -> DataFrame:
@@ -147,12 +175,12 @@ def scan(docs: DataFrame, tables: Tables, rules: tuple[Rule, ...] = RULES, broad
     few = found.count() <= broadcast
     side = found.withColumnsRenamed({"doc_id": "_id", "rules": "_rules"})
     joined = docs.join(F.broadcast(side) if few else side, docs["doc_id"] == F.col("_id"), "left")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    all_ = []
+    parts = []
     for i, rule in enumerate(rules):
         full = not all(trigram_query(rule.pattern))
-        wanted = F.lit(True) if full else (F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) | F.col("doc_id").isNull()
-        all_.append(F.when(wanted & F.coalesce(F.col("text").rlike(rule.pattern), F.lit(False)), spans(F.col("text"), rule, i)).otherwise(none))
+        wanted = F.lit(True) if full else F.coalesce(F.array_contains("_rules", i), F.lit(False)) | F.col("doc_id").isNull()
+        parts.append(F.when(wanted & F.coalesce(F.col("text").rlike(rule.pattern), F.lit(False)), pieces(F.col("text"), rule, i)))
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     named = lambda s: F.struct(kinds[s["rank"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    return joined.withColumn("_found", F.array_sort(F.concat(*all_))).select(*keep, F.transform("_found", named).alias("secrets"))
+    placed = F.array_sort(F.flatten(F.transform(F.array_compact(F.array(*parts)), spans)))
+    return joined.withColumn("_found", placed).select(*keep, F.transform("_found", named).alias("secrets"))
