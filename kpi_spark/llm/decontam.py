@@ -2,17 +2,27 @@ r"""Benchmark decontamination with suffix arrays of the training texts.
 
 :func:`search` adds to each document what of a benchmark it repeats, :func:`clean`
 removes the documents that repeat too much.  The documents are read in shards of
-about ``kernels.PIECE`` bytes inside ``mapInArrow``; each shard's words get a suffix
-array (prefix doubling, no suffix crosses a document's end), in which every test
-suffix is found by binary search.  Occurrences on one diagonal join into the longest
-verbatim matches, given with their places.  No shuffle; whole texts.
+about ``SHARD`` bytes inside ``mapInArrow``; each shard's words get a suffix array (prefix
+doubling to the depth of a window; no suffix crosses a document's end), in which the first
+window of every test suffix is found by binary search, equal windows once.  Where one
+stands, the words are hit.  From there the longest verbatim match goes on: intervals of
+the suffix array of the test texts are narrowed by words doubled in number, so that
+a text that repeats itself takes no pairs of places.  Whole texts; no shuffle.
 
 Words: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.  A window is
 ``window`` consecutive words of an item; an item of fewer, but not none, is one window.
+Words are told apart by 64-bit hashes (see :mod:`kernels`).
+
+Results: ``n_words``; ``n_hit``, words inside occurring windows; ``items``, the ids that own one,
+sorted; ``matches``, ordered by their place: each stretch of the document that some item
+holds verbatim and that can't be made longer on either side (or a whole shorter
+item), with one of its places in the benchmark.
 
 The benchmark is measured before it is sent: up to ``BLOCK`` bytes of text go to the
-tasks at once, a larger one goes in as many blocks as needed, each with a pass of its
-own over all documents that extends the matches found so far.
+tasks at once and one pass does.  A larger one is dealt to blocks of about half of that
+(a block grows beyond only for a single longer item); one at a time is on the
+driver and in the tasks, what it finds is written, and the findings are joined to the
+documents by two hashes of their texts.
 
 Defined results: null and empty texts have no words and are clean; items with a null
 id or without words match nothing; items that repeat an id count as one; repeated
@@ -22,6 +32,7 @@ columns pass through and columns named like a result are replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +43,16 @@ from pyspark.sql import types as T
 
 from kpi_spark.llm import kernels as K
 from kpi_spark.llm.columns import hidden, shown
+from kpi_spark.llm.store import Tables
 
-#: Bytes of benchmark text sent to the tasks at once.
-BLOCK = 4 << 20
+#: Bytes of benchmark text sent to the tasks at once, bytes of a shard, and words whose longest matches are sought at once (a document at least).
+BLOCK, SHARD, STRETCH = 4 << 20, 8 << 20, 1 << 18
 
-MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.IntegerType()), T.StructField("doc_start", T.IntegerType()), T.StructField("length", T.IntegerType())])
 _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
-_RESULT = ("n_words", "n_hit", "matches")
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+MATCH = "array<struct<item_id:string,item_start:int,doc_start:int,length:int>>"
+SPANS = "array<struct<start:int,end:int>>"
+_RESULT = ("n_words", "n_hit", "items", "matches")
 
 
 def suffix_array(words: np.ndarray, row_end: np.ndarray, depth: int) -> np.ndarray:
@@ -73,8 +87,7 @@ class Shard:
 
     def __init__(self, words: np.ndarray, first: np.ndarray, depth: int) -> None:
         self.full, self.words, self.first = words, (words >> np.uint64(32)).astype(np.uint32), first
-        self.row_end = np.repeat(first[1:], np.diff(first))
-        self.order = suffix_array(self.words, self.row_end, depth)
+        self.row_end, self.depth = np.repeat(first[1:], np.diff(first)), depth
 
     def compare(self, at: np.ndarray, test: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Sign of (suffix at ``at``) against (``size`` test words from ``start``), by those words only."""
@@ -94,7 +107,7 @@ class Shard:
         return sign
 
     def bound(self, test: np.ndarray, start: np.ndarray, size: np.ndarray, *, upper: bool) -> np.ndarray:
-        """Binary search of all test suffixes at once: the first place whose suffix isn't smaller (upper: is larger)."""
+        """Binary search of all test windows at once: the first place whose suffix isn't smaller (upper: is larger)."""
         low, high = np.zeros(len(start), np.int64), np.full(len(start), len(self.words), np.int64)
         while len(live := np.flatnonzero(low < high)):
             middle = (low[live] + high[live]) // 2
@@ -105,10 +118,11 @@ class Shard:
         return low
 
     def occurrences(self, full: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the window, word position) of every place where a window stands."""
+        """(number of the window, word position) of every place where one of the (distinct) windows stands, ordered by position."""
         if not len(self.words) or not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         test = (full >> np.uint64(32)).astype(np.uint32)
+        self.order = suffix_array(self.words, self.row_end, self.depth)
         low = self.bound(test, start, size, upper=False)
         maybe = np.flatnonzero(low < len(self.words))
         found = maybe[self.compare(self.order[low[maybe]], test, start[maybe], size[maybe]) == 0]
@@ -120,86 +134,274 @@ class Shard:
         for d in range(int(size[which].max()) if len(which) else 0):
             inner = size[which] > d
             same[inner] &= self.full[place[inner] + d] == full[start[which[inner]] + d]
-        return which[same], place[same]
+        order = np.argsort(place[same], kind="stable")
+        return which[same][order], place[same][order]
+
+
+def _numbered(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): the first of each distinct span of words, and the number of the distinct one that each span is."""
+    codes = {1: np.unique(words, return_inverse=True)[1]}  # numbers of the spans of 1, 2, 4, ... words from each position
+    first, which, seen = [np.zeros(0, np.int64)], np.empty(len(start), np.int64), 0
+    for k in np.unique(size).tolist():
+        half = 1 << (k.bit_length() - 1)
+        for w in (1 << b for b in range(half.bit_length() - 1)):
+            if 2 * w not in codes:
+                behind = np.zeros(len(words), np.int64)
+                behind[:-w] = codes[w][w:]
+                codes[2 * w] = np.unique(codes[w] * (len(words) + 1) + behind, return_inverse=True)[1]
+        mine = np.flatnonzero(size == k)
+        key = codes[half][start[mine]] * (len(words) + 1) + codes[half][start[mine] + k - half]
+        _, one, number = np.unique(key, return_index=True, return_inverse=True)
+        first.append(mine[one])
+        which[mine] = number + seen
+        seen += len(one)
+    return np.concatenate(first), which
 
 
 class Test:
-    """The words and windows of a block of benchmark items."""
+    """A block of benchmark items: their distinct windows, who owns these, and the suffix array of the items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.ids = [i for i, _ in items]
+        items = sorted(items)
+        self.window, self.ids = window, sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.ids)}
         buf, off = K.text_buffer(pa.array([t for _, t in items], pa.string()))
-        self.words, first = K.word_hashes(buf, off, K.ALNUM)
-        count = np.diff(first)
+        self.words, self.first = K.word_hashes(buf, off, K.ALNUM)
+        self.owner = np.array([number[i] for i, _ in items], np.int64)
+        count = np.diff(self.first)
         own = np.where(count >= window, count - window + 1, (count > 0).astype(np.int64))
-        self.item = np.repeat(np.arange(len(items)), own)
-        self.at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)  # word of the item where the window starts
-        self.start = first[self.item] + self.at
-        self.size = np.minimum(count[self.item], window)
-        self.depth = int(count.max()) if len(count) else 1
-
-
-def matches(shard: Shard, test: Test) -> tuple[np.ndarray, ...]:
-    """(row, item, word of the item, word of the row, words) of each longest verbatim match, ordered by row."""
-    which, place = shard.occurrences(test.words, test.start, test.size)
-    item, at, size = test.item[which], test.at[which], test.size[which]
-    row = np.searchsorted(shard.first, place, "right") - 1
-    if not len(which):
-        return (which,) * 5
-    order = np.lexsort((at, place - at, item, row))
-    item, at, size, place, row = (x[order] for x in (item, at, size, place, row))
-    head = np.ones(len(at), bool)
-    head[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(head)
-    last = np.append(begin[1:], len(at)) - 1
-    return row[begin], item[begin], at[begin], place[begin] - shard.first[row[begin]], at[last] + size[last] - at[begin]
-
-
-def _covered(starts: list[int], lengths: list[int]) -> int:
-    """Words inside any of the spans."""
-    total, reach = 0, 0
-    for a, n in sorted(zip(starts, lengths, strict=True)):
-        total += max(0, a + n - max(a, reach))
-        reach = max(reach, a + n)
-    return total
-
-
-def _pass(df: DataFrame, items: list[tuple[str, str]], text: str, window: int, keep_text: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(items)
-    given = [c for c in df.columns if c.lower() not in _RESULT]
-    keep = [c for c in given if keep_text or c != text]
-    more = "matches" in df.columns
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))])
+        item = np.repeat(np.arange(len(items)), own)
+        start = self.first[item] + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        size = np.minimum(count[item], window)
+        one, which = _numbered(self.words, start, size)
+        self.start, self.size = start[one], size[one]
+        self.longest = int(count.max()) if len(count) else 1
+        # windows with the same owners share one set of these; the first sets are those of one owner
+        both = np.unique(which * (len(self.ids) + 1) + self.owner[item])
+        owners, begin = both % (len(self.ids) + 1), np.searchsorted(both // (len(self.ids) + 1), np.arange(len(one) + 1))
+        self.sets = [np.array([k]) for k in range(len(self.ids))]
+        self.set_of = owners[begin[:-1]] if len(one) else np.zeros(0, np.int64)
+        known: dict[bytes, int] = {}
+        for w in np.flatnonzero(np.diff(begin) > 1).tolist():
+            some = owners[begin[w] : begin[w + 1]]
+            k = known.setdefault(some.tobytes(), len(self.sets))
+            if k == len(self.sets):
+                self.sets.append(some)
+            self.set_of[w] = k
+        self._levels: list[np.ndarray] | None = None
+
+    def levels(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The items' suffixes in order, and for 1, 2, 4, ... words where in that order the suffixes begin that share a suffix's first so many."""
+        if self._levels is None:
+            m = len(self.words)
+            left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(m)
+            self.sorted = np.sort(self.words)
+            ranks, w = [np.searchsorted(self.sorted, self.words)], 1
+            order = np.argsort(ranks[0], kind="stable")
+            while w < self.longest:
+                key = self._pair(ranks[-1], w, left)
+                order = np.argsort(key, kind="stable")
+                ranks.append(np.searchsorted(key[order], key))
+                w *= 2
+            self._levels, self.order, self.left = ranks, order, left
+        return self.order, self._levels
+
+    def _pair(self, rank: np.ndarray, w: int, left: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Keys of the first 2 * w words, those of a suffix that ends before smaller."""
+        at = np.arange(len(rank)) if at is None else at
+        behind = np.where(left[at] > w, rank[np.minimum(at + w, len(rank) - 1)] + 1, 0)
+        return rank[at] * (len(rank) + 1) + behind
+
+    def longest_matches(self, words: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, place in the test words) of the longest match that begins at each ``at``; end: where each position's stretch ends."""
+        order, ranks = self.levels()
+        m, n = len(order), len(words)
+        here = [np.searchsorted(self.sorted, words)]
+        bounds = [self.sorted]
+        for j, rank in enumerate(ranks[:-1]):
+            w = 1 << j
+            keys = self._pair(rank, w, self.left, order)
+            bounds.append(keys)
+            key = np.full(n, -1)
+            far = np.minimum(np.arange(n) + w, n - 1)
+            whole = (np.arange(n) + w < end) & (here[j] >= 0) & (here[j][far] >= 0)
+            key[whole] = here[j][whole] * (m + 1) + here[j][far[whole]] + 1
+            place = np.searchsorted(keys, key)
+            here.append(np.where(whole & (keys[np.minimum(place, m - 1)] == key), place, -1))
+        low, high, length = np.zeros(len(at), np.int64), np.full(len(at), m), np.zeros(len(at), np.int64)
+        for j in reversed(range(len(ranks))):
+            x = at + length
+            some = np.flatnonzero(x < end[at])
+            some = some[here[j][x[some]] >= 0]
+            a = here[j][x[some]]
+            b = np.searchsorted(bounds[j], bounds[j][a], "right")
+            lo = self._bound(order, ranks[-1], low[some], high[some], length[some], a)
+            hi = self._bound(order, ranks[-1], low[some], high[some], length[some], b)
+            good = lo < hi
+            some = some[good]
+            low[some], high[some] = lo[good], hi[good]
+            length[some] += 1 << j
+        return length, order[low]
+
+    def _bound(self, order: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, length: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The first place from ``low`` on whose suffix, without its first ``length`` words, has at least that rank."""
+        low, high = low.copy(), high.copy()
+        while len(live := np.flatnonzero(low < high)):
+            middle = (low[live] + high[live]) // 2
+            t, d = order[middle], length[live]
+            value = np.where(self.left[t] > d, rank[np.minimum(t + d, len(rank) - 1)], -1)
+            right = value < least[live]
+            low[live[right]] = middle[right] + 1
+            high[live[~right]] = middle[~right]
+        return low
+
+
+class Found:
+    """What a shard repeats of a block: hit words, (row, set of owners) pairs, and matches (row, item, word of the item, word of the row, words) by row."""
+
+    def __init__(self, shard: Shard, test: Test) -> None:
+        which, place = shard.occurrences(test.words, test.start, test.size)
+        size, n = test.size[which], len(shard.full)
+        self.hit = _covered(n, place, size)
+        row = np.searchsorted(shard.first, place, "right") - 1
+        pairs = np.unique(row * len(test.sets) + test.set_of[which]) if len(which) else row
+        self.rows, self.sets = pairs // max(1, len(test.sets)), pairs % max(1, len(test.sets))
+        short = size < test.window
+        parts = [(place[short], test.start[which[short]], size[short])]
+        long = place[~short]
+        inside = np.flatnonzero(_covered(n, long, size[~short]))
+        stretch_row = np.searchsorted(shard.first, inside, "right") - 1
+        edges = np.append(np.flatnonzero(np.diff(stretch_row, prepend=-1)), len(inside))  # a document's covered words stay together
+        for i, j in K.pieces(edges, STRETCH):
+            begin, stop = edges[i], edges[j]
+            some = inside[begin:stop]
+            new = np.flatnonzero((np.diff(some, prepend=-2) != 1) | (np.diff(stretch_row[begin:stop], prepend=-1) != 0))
+            end = np.repeat(np.append(new[1:], len(some)), np.diff(np.append(new, len(some))))
+            mine = long[(long >= some[0]) & (long <= some[-1])]
+            at = np.searchsorted(some, mine)
+            length, target = test.longest_matches(shard.full[some], end, at)
+            grows = np.zeros(len(mine), bool)  # one that began a word earlier holds this one
+            grows[1:] = (mine[1:] == mine[:-1] + 1) & (length[:-1] == length[1:] + 1) & (end[at[1:]] == end[at[:-1]])
+            parts.append((mine[~grows], target[~grows], length[~grows]))
+        place, target, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((target, length, place))
+        place, target, self.length = place[order], target[order], length[order]
+        self.row = np.searchsorted(shard.first, place, "right") - 1
+        self.doc_start = place - shard.first[self.row]
+        item = np.searchsorted(test.first, target, "right") - 1
+        self.item, self.item_start = test.owner[item], target - test.first[item]
+
+
+def _covered(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each of ``n`` positions is inside a span."""
+    change = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
+_TESTS: dict[tuple, Test] = {}
+
+
+def _test(key: tuple, items: list[tuple[str, str]], window: int) -> Test:
+    """One per Python worker, so that several tasks share a block's arrays."""
+    if key not in _TESTS:
+        _TESTS.clear()
+        _TESTS[key] = Test(items, window)
+    return _TESTS[key]
+
+
+def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+    """Values as one list a row; row: the row of each, ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def _columns(shard: Shard, test: Test) -> dict[str, pa.Array]:
+    """Result columns of a shard's rows."""
+    f, rows = Found(shard, test), len(shard.first) - 1
+    hit = np.concatenate(([0], np.cumsum(f.hit)))[shard.first]
+    owned = [np.unique(np.concatenate([test.sets[s] for s in f.sets[a:b].tolist()])) for a, b in _runs(f.rows)]
+    owner_row = np.repeat(np.unique(f.rows), [len(x) for x in owned])
+    ids = pa.array(test.ids, pa.string())
+    inside = np.flatnonzero(f.hit)
+    row = np.searchsorted(shard.first, inside, "right") - 1
+    new = np.flatnonzero((np.diff(inside, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
+    last = np.append(new, len(inside))[1:] - 1
+    spans = pa.StructArray.from_arrays([pa.array((inside[k] - shard.first[row[k]] + extra).astype(np.int32)) for k, extra in ((new, 0), (last, 1))], fields=list(_SPAN))
+    found = pa.StructArray.from_arrays([ids.take(pa.array(f.item)), *(pa.array(x.astype(np.int32)) for x in (f.item_start, f.doc_start, f.length))], fields=list(_MATCH))
+    return {
+        "n_words": pa.array(np.diff(shard.first), pa.int64()),
+        "n_hit": pa.array(np.diff(hit), pa.int64()),
+        "items": _lists(owner_row, rows, ids.take(pa.array(np.concatenate(owned) if owned else np.zeros(0, np.int64)))),
+        "matches": _lists(f.row, rows, found),
+        "hits": _lists(row[new], rows, spans),
+    }
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    begin = np.flatnonzero(np.diff(values, prepend=-1)).tolist()
+    return list(zip(begin, [*begin[1:], len(values)]))
+
+
+def _searched(df: DataFrame, shared, window: int, text: str, keep: list[str], results: str, *, only_hits: bool = False) -> DataFrame:
+    """``keep`` of ``df`` and result columns (``results``: their schema) for a broadcast block of items."""
+    made = T.StructType.fromDDL(results)
+    names, key = made.names, (uuid.uuid4().hex, window)
+    schema = T.StructType([*(df.schema[c] for c in keep), *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Test(shared.value, window)
+        test = _TESTS.get(key) or _test(key, shared.value, window)
         for batch in batches:
             buf, off = K.text_buffer(batch.column(text))
-            for i, j in K.pieces(off):
+            for i, j in K.pieces(off, SHARD):
                 words, first = K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], K.ALNUM)
+                found = _columns(Shard(words, first, min(window, test.longest)), test)
                 part = batch.slice(i, j - i)
-                found: list[list[dict]] = part.column("matches").to_pylist() if more else [[] for _ in range(j - i)]
-                for r, *m in zip(*(x.tolist() for x in matches(Shard(words, first, test.depth), test)), strict=True):
-                    found[r].append({"item_id": test.ids[m[0]], "item_start": m[1], "doc_start": m[2], "length": m[3]})
-                hits = [_covered([m["doc_start"] for m in f], [m["length"] for m in f]) if f else 0 for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(np.diff(first), pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(_MATCH))], [*keep, *_RESULT])
+                out = pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [found[n] for n in names], [*keep, *names])
+                yield out.filter(pa.array(np.asarray(found["n_hit"]) > 0)) if only_hits else out
 
-    return df.select(*given, *(["matches"] if more else [])).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
-    """``docs`` with n_words, n_hit (words inside matches), matches (array of item_id, item_start, doc_start, length; in words).
+def _block(df: DataFrame) -> list[tuple[str, str]]:
+    return [(r["id"], r["text"]) for r in df.collect()]
 
-    keep_text: whether the text column stays.
+
+def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block: int = BLOCK, keep_text: bool = True, tables: Tables | None = None) -> DataFrame:
+    """``docs`` with n_words, n_hit, items and matches (array of item_id, item_start, doc_start, length; in words).
+
+    keep_text: whether the text column stays.  tables: where findings of blocks are written.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block) or 1
-    out = docs.drop(*[c for c in docs.columns if c.lower() in _RESULT])
+    given = [c for c in docs.columns if c.lower() not in _RESULT]
+    keep = [c for c in given if keep_text or c != text]
+    docs = docs.select(*given)
+    if size <= block:
+        return _searched(docs, spark.sparkContext.broadcast(_block(items)), window, text, keep, f"n_words long, n_hit long, items array<string>, matches {MATCH}")
+    tables = tables or Tables(spark, "decontam")
+    blocks = -(-2 * size // block)
+    dealt = tables.put(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), "items")
+    keys = (F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"))
+    parts = []
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        out = _pass(out, [(r[0], r[1]) for r in part.collect()], text, window, keep_text or k < blocks - 1)
-    return out
+        shared = spark.sparkContext.broadcast(_block(dealt.where(F.col("block") == k)))
+        found = _searched(docs.select(*keys, text), shared, window, text, ["_h1", "_h2"], f"items array<string>, matches {MATCH}, hits {SPANS}", only_hits=True)
+        parts.append(tables.put(found.dropDuplicates(["_h1", "_h2"]), f"found-{k}"))
+        shared.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    gather = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    merged = every.groupBy("_h1", "_h2").agg(F.array_distinct(gather("items")).alias("items"), gather("hits").alias("hits"), F.flatten(F.collect_list("matches")).alias("matches"))
+    step = lambda acc, h: F.struct((acc["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(h["start"], acc["reach"]))).alias("n"), F.greatest(acc["reach"], h["end"]).alias("reach"))
+    n_hit = F.aggregate("hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), step, lambda acc: acc["n"].cast("long"))
+    by_place = lambda x, y: F.when(x["doc_start"] < y["doc_start"], -1).when(x["doc_start"] > y["doc_start"], 1).otherwise(F.when(x["length"] < y["length"], -1).when(x["length"] > y["length"], 1).otherwise(0))
+    merged = merged.select(F.col("_h1").alias("_m1"), F.col("_h2").alias("_m2"), n_hit.alias("n_hit"), "items", F.array_sort("matches", by_place).alias("matches"))
+    nothing = spark.sparkContext.broadcast([])
+    counted = _searched(docs.select(*given, *keys), nothing, window, text, [*keep, "_h1", "_h2"], "n_words long")
+    joined = counted.join(merged, (F.col("_h1") == F.col("_m1")) & (F.col("_h2") == F.col("_m2")), "left")
+    return joined.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("matches", F.array().cast(MATCH)).alias("matches"))
 
 
 def contaminated(share: int = 20) -> F.Column:
