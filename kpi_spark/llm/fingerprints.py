@@ -5,8 +5,9 @@ universal hash permutations the smallest image of its distinct five-word shingle
 computed for many texts at once with numpy, 16 (mixed) bits of it as four hex digits.
 :func:`likeness` is the share of slots in which two of them agree, an estimate of the
 Jaccard similarity.  :func:`with_edits` also fingerprints each document with its last
-quarter replaced by the beginning of the next document.  :func:`similar_pairs`
-groups similar texts by the sketches of :mod:`neardup`, not by these fingerprints.
+quarter replaced by the beginning of the next document.  :func:`similar_groups` joins bands
+of four slots of these fingerprints in Spark and verifies the Jaccard similarity of what
+meets there on the full shingle sets.
 
 The next document is the one of the next larger id (after the last one: the first).
 Ids are cut into ranges at quantiles; each range's rows, with one guest (the smallest row
@@ -17,7 +18,8 @@ once and no task holds more than a batch.
 Defined results: null and empty texts have no shingles, all slots ``ffff``, and are like each
 other (1) and unlike all else (0); rows that repeat an id follow each other in the order of
 their texts; rows with a null id get fingerprints of their own text, and no edited or next
-one (null); an only document is its own next one; other columns are left out.
+one (null); an only document is its own next one; ids are whole numbers (other types are cast
+to long, and an id that is none is an error); other columns are left out.
 """
 
 from __future__ import annotations
@@ -145,9 +147,10 @@ def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per_
     return out.unionByName(nameless.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint"), allowMissingColumns=True)
 
 
-def similar_pairs(docs: DataFrame, tables: Tables, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): groups under links of at least ``percent`` percent Jaccard similarity.
+#: Fingerprints as sketches to be banded: 16 bits of each slot, bands of four.
+SIGNATURE = neardup.Scheme(SLOTS, 16, 4, shift=48)
 
-    By the bands of neardup's own sketches, candidates verified on their full shingle sets.
-    """
-    return neardup.groups(docs, tables, SHINGLE, percent)
+
+def similar_groups(docs: DataFrame, tables: Tables, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) under links of at least ``percent`` percent Jaccard similarity; see :mod:`neardup` for how buckets of bands are searched."""
+    return neardup.groups(docs, tables, SHINGLE, percent, text, doc_id, SIGNATURE)

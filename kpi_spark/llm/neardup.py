@@ -4,26 +4,28 @@
 it belongs to; :func:`dedup` keeps one document of each group.
 
 1. One pass over the texts makes each document's sketch: the digest of its shingle set,
-   band hashes of its minima, and the low two bits of ``SLOTS`` (mixed) minima, packed in longs.
+   band hashes of its minima, and the low two bits of 512 (mixed) minima, packed in longs.
    Documents of equal sets form a class, represented by its smallest id; only
    representatives go on, so copies never meet each other.
 2. Band keys shared by several representatives are buckets.  Members are paired with
    two hubs of their bucket; of the pairs whose collision-corrected similarity, by bit
    counts of the packed bits, can reach the threshold the best ones of each member are
    verified on the full sets (64-bit hashes of all shingles, from another pass that a
-   Bloom filter of the ids narrows).  The verified links' components follow.
+   Bloom filter of the ids narrows; intersected by Spark).  The verified links' components follow.
 3. What hubs leave apart: in buckets that still hold several components, members are
    compared across components (bits only, inside the join, each pair in the first bucket
    that it shares) and verified like those.  Pairs inside a component are never
-   formed, and no link between different texts is given up.  Where very many pairs are
+   formed, and no link between different texts is given up.  A bucket of very many open
+   members is shared out by member in parts of ``PART``.  Where very many pairs are
    open, the best one of each member and other component goes first.
 
-Rows of ``b`` bands of ``ROWS`` minima: bands are as many as leave a link at the
-threshold unseen with a chance under ``MISS``; bits reject one with about 3e-6.
+Bands are as many as leave a link at the threshold unseen with a chance under ``MISS``;
+bits reject one with about 3e-6.
 
 Defined results: texts that are null or have no words have an empty set and are linked
 with nothing; a null id belongs to no group (component null) and stays in
 :func:`dedup`; rows that repeat an id are one document, linked if any of its texts is;
+ids are whole numbers (other types are cast to long, and an id that is none is an error);
 other columns pass through :func:`dedup` untouched.
 """
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +43,72 @@ from pyspark.sql import functions as F
 from kpi_spark.llm import bloom
 from kpi_spark.llm import kernels as K
 from kpi_spark.llm.components import components
-from kpi_spark.llm.store import Tables, small_batches
-
-#: Minima of a sketch, of which two bits each are kept; minima of a band; chance to miss a link at the threshold.
-SLOTS, ROWS, MISS = 1024, 6, 1e-6
-#: Standard deviations below the threshold at which the bits still let a pair through.
-SLACK = 4.5
-_LONGS = SLOTS * 2 // 64
-_BITS = [f"s{i}" for i in range(_LONGS)]
-#: Rows (texts, or pairs of sets) that go to Python at once.
-BATCH = 1000
+from kpi_spark.llm.store import Tables
+
+#: Chance to miss a link at the threshold by all bands; standard deviations below it at which the bits still let a pair through.
+MISS, SLACK = 1e-6, 4.5
 #: From this many open pairs on, only the best of each member and component is verified first.
 MANY = 150_000
-
-
-def bands_for(threshold: float) -> int:
-    return min(SLOTS // ROWS, math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS)))
+#: Open members of a bucket that one task compares with the rest of it.
+PART = 2000
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Sketches of ``slots`` minima: ``bits`` bits of each (mixed) one from bit ``shift`` on, and bands of ``rows`` of them."""
+
+    slots: int
+    bits: int
+    rows: int
+    shift: int = 0
+
+    @property
+    def names(self) -> list[str]:
+        """The columns of the packed bits."""
+        return [f"s{i}" for i in range(self.slots * self.bits // 64)]
+
+    def bands(self, threshold: float) -> int:
+        return min(self.slots // self.rows, math.ceil(math.log(MISS) / math.log(1 - threshold**self.rows)))
+
+    def least(self, threshold: float) -> int:
+        """Slots that must agree: the collision-corrected expectation at the threshold, less the slack."""
+        c = threshold + (1 - threshold) / 2**self.bits
+        return math.floor(self.slots * c - SLACK * math.sqrt(self.slots * c * (1 - c)))
+
+    def lanes(self, minima: np.ndarray) -> np.ndarray:
+        """The bits kept of each minimum."""
+        return (K.mix(minima) >> np.uint64(self.shift)) & np.uint64(2**self.bits - 1)
+
+    def packed(self, lanes: np.ndarray) -> np.ndarray:
+        """Lanes side by side in longs; rows x longs."""
+        each = 64 // self.bits
+        parts = lanes.reshape(len(lanes), len(self.names), each)
+        return np.bitwise_or.reduce(parts << (np.arange(each, dtype=np.uint64) * np.uint64(self.bits)), axis=2)
+
+    def keys(self, minima: np.ndarray, bands: int) -> np.ndarray:
+        """Band hashes: of the lanes where these tell minima apart, else of the minima."""
+        parts = (self.lanes(minima) if self.bits >= 16 else minima)[:, : bands * self.rows].reshape(len(minima), bands, self.rows)
+        out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2])
+        for r in range(self.rows):
+            out = K.mix(out * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, r])
+        return out
+
+    def agreeing(self, x: str, y: str) -> Column:
+        """Slots in which two packed sketches agree, by bit counts."""
+        ones = sum(1 << i for i in range(0, 64, self.bits))  # the lowest bit of each lane
+        differ = F.lit(0)
+        for s in self.names:
+            z = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
+            fold = self.bits
+            while fold > 1:
+                fold //= 2
+                z = z.bitwiseOR(F.shiftrightunsigned(z, fold))
+            differ = differ + F.bit_count(z.bitwiseAND(F.lit(ones)))
+        return F.lit(self.slots) - differ
+
+
+#: b-bit MinHash: two bits of each of 512 minima, bands of six.
+B_BIT = Scheme(512, 2, 6)
 
 
 def row_sets(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,42 +132,28 @@ def digests(values: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def pack(minima: np.ndarray) -> np.ndarray:
-    """Low two bits of each mixed minimum, 32 to a long; rows x _LONGS."""
-    two = (K.mix(minima) & np.uint64(3)).reshape(len(minima), _LONGS, 32)
-    return np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
-
-
-def band_hashes(minima: np.ndarray, bands: int) -> np.ndarray:
-    parts = minima[:, : bands * ROWS].reshape(len(minima), bands, ROWS)
-    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2])
-    for r in range(ROWS):
-        out = K.mix(out * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, r])
-    return out
-
-
-def _sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in _BITS) + ", bands array<long>"
+def _sketches(docs: DataFrame, shingle: int, bands: int, scheme: Scheme) -> DataFrame:
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in scheme.names) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permutations = K.Permutations(SLOTS)
+        permutations = K.Permutations(scheme.slots)
         for batch in batches:
             buf, off = K.text_buffer(batch.column("text"))
             for i, j in K.pieces(off):
                 values, begin = row_sets(*K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], K.NONSPACE), shingle)
                 minima = permutations.minima(values, begin)
-                bits, keys = pack(minima).view(np.int64), band_hashes(minima, bands).view(np.int64)
+                bits, keys = scheme.packed(scheme.lanes(minima)).view(np.int64), scheme.keys(minima, bands).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(begin)), *(pa.array(digests(values, begin, s).view(np.int64)) for s in (0, 0x5BD1E995)), *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(_LONGS)), lists],
-                    ["doc_id", "n_shingles", "d1", "d2", *_BITS, "bands"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(begin)), *(pa.array(digests(values, begin, s).view(np.int64)) for s in (0, 0x5BD1E995)), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), lists],
+                    ["doc_id", "n_shingles", "d1", "d2", *scheme.names, "bands"],
                 )
 
     return docs.mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles: binary, sorted 64-bit hashes) of the documents whose id may be among ``ids``."""
+    """(doc_id, shingles: distinct 64-bit hashes) of the documents whose id may be among ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(F.col("node"), ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,132 +163,98 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             buf, off = K.text_buffer(batch.column("text"))
             for i, j in K.pieces(off):
                 values, begin = row_sets(*K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], K.NONSPACE), shingle)
-                out = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(values)])
+                out = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), out], ["doc_id", "shingles"])
 
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str, rows: int) -> DataFrame:
-    """The pairs (a, b; ``rows`` of them) whose full sets' similarity is at least ``share`` percent."""
-    ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids", rows)
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str) -> DataFrame:
+    """The pairs (a, b) whose full sets' similarity is at least ``share`` percent."""
+    ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids")
     sets = tables.put(_sets(docs, ids, shingle), f"{label}-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if 100 * min(len(x), len(y)) >= share * max(len(x), len(y)):
-                    both = np.concatenate((x, y))
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[k] = 100 * common >= share * (len(x) + len(y) - common) > 0
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
     side = lambda key, name: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name))
-    joined = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
-    out = tables.put(joined.mapInArrow(run, "a long, b long").distinct(), f"{label}-links")
+    n, m = F.size("x"), F.size("y")
+    possible = 100 * F.least(n, m) >= share * F.greatest(n, m)
+    common = F.when(possible, F.size(F.array_intersect("x", "y"))).alias("common")
+    joined = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", (n + m).alias("both"), common)
+    out = tables.put(joined.where((F.col("common") > 0) & (100 * F.col("common") >= share * (F.col("both") - F.col("common")))).select("a", "b").distinct(), f"{label}-links")
     tables.drop(f"{label}-sets", f"{label}-ids")
     return out
 
 
-def _agreeing(x: str, y: str) -> Column:
-    """Slots in which two packed sketches agree."""
-    differ = F.lit(0)
-    for s in _BITS:
-        z = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
-        differ = differ + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return F.lit(SLOTS) - differ
-
-
-def least_agreeing(threshold: float) -> int:
-    """Slots that must agree: the collision-corrected expectation at the threshold, less the slack."""
-    c = threshold + (1 - threshold) / 4
-    return math.floor(SLOTS * c - SLACK * math.sqrt(SLOTS * c * (1 - c)))
-
-
-def groups(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def groups(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", scheme: Scheme = B_BIT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; links are pairs of at least ``percent`` percent similarity."""
-    with small_batches(docs.sparkSession, BATCH):
-        sketches, labels = _labelled(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tables, shingle, percent)
+    sketches, labels = _labelled(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tables, shingle, percent, scheme)
     out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """The written sketches, and the component of each class of equal sets."""
-    threshold = percent / 100
-    sketches = tables.put(_sketches(docs, shingle, bands_for(threshold)), "sketches")
-    n = sketches.count()
-    classes = tables.put(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", n)
-    reps = tables.put(
-        sketches.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]),
-        "reps",
-        n,
-    )
-    sketch = reps.select(F.col("doc_id").alias("node"), "bands", *_BITS)
+    threshold, bits = percent / 100, scheme.names
+    sketches = tables.put(_sketches(docs, shingle, scheme.bands(threshold), scheme), "sketches")
+    classes = tables.put(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = tables.put(sketches.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]), "reps")
+    sketch = reps.select(F.col("doc_id").alias("node"), "bands", *bits)
     keys = tables.put(reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("node")), "keys")
     # a bucket's hubs: its smallest id, and the id next to the key by XOR, which is another one in each band
     hubs = tables.put(
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("other"), F.max("node").alias("last")).where("hub < last").select("key", "hub", F.col("other").bitwiseXOR(F.col("key")).alias("other")),
         "hubs",
-        n * 2,
     )
-    members = tables.put(keys.join(hubs, "key"), "members", n * 2)
+    members = tables.put(keys.join(hubs, "key"), "members")
     tables.drop("keys", "hubs")
-    enough = least_agreeing(threshold)
-    m = members.count()
+    enough = scheme.least(threshold)
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     spokes = members.select(*pair("node", "hub")).union(members.select(*pair("node", "other"))).where("a < b").distinct()
-    x, y = (sketch.select(F.col("node").alias(k), *_BITS).alias(k) for k in "ab")
-    close = spokes.join(x, "a").join(y, "b").select("a", "b", _agreeing("a", "b").alias("agreeing")).where(F.col("agreeing") >= enough)
-    close = tables.put(close, "close", m)
+    x, y = (sketch.select(F.col("node").alias(k), *bits).alias(k) for k in "ab")
+    close = spokes.join(x, "a").join(y, "b").select("a", "b", scheme.agreeing("a", "b").alias("agreeing")).where(F.col("agreeing") >= enough)
+    close = tables.put(close, "close")
     # each end's best partner is enough to bring most of a group together
     ends = close.union(close.select("b", "a", "agreeing")).groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
-    tried = tables.put(ends.select(*pair("a", "b")).distinct(), "tried-0", m)
-    links = _verified(tried, docs, shingle, percent, tables, "round-0", m)
-    found = tables.put(components(links, tables, "cc-0", m), "components-0", m)
+    tried = tables.put(ends.select(*pair("a", "b")).distinct(), "tried-0")
+    links = _verified(tried, docs, shingle, percent, tables, "round-0")
+    found = tables.put(components(links, tables, "cc-0"), "components-0")
     # then the best pair of each member and each other component
     place = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
     apart = close.join(place("a"), "a", "left").join(place("b"), "b", "left").select("a", "b", "agreeing", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
     ends = apart.union(apart.select("b", "a", "agreeing", "of_b", "of_a")).groupBy("a", "of_b").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
-    more = tables.put(ends.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "more-0", m)
+    more = tables.put(ends.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "more-0")
     tried = tried.union(more)
-    links = links.union(_verified(more, docs, shingle, percent, tables, "round-0b", m))
+    links = links.union(_verified(more, docs, shingle, percent, tables, "round-0b"))
     k = 0
     while True:
-        found = tables.put(components(links, tables, f"cc-0b-{k}", m), f"components-0b-{k}", m)
+        found = tables.put(components(links, tables, f"cc-0b-{k}"), f"components-0b-{k}")
         k += 1
-        placed = tables.put(members.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), f"placed-{k}", m)
+        placed = tables.put(members.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), f"placed-{k}")
         # the component of most members of a bucket is compared with the others only
         sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = tables.put(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"), f"main-{k}", m)
-        open_ = tables.put(placed.join(main, "key").join(sketch, "node"), f"open-{k}", m)
-        x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        shared = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"))
+        open_keys = shared.where("parts > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("deal"))
+        open_ = tables.put(placed.join(tables.put(open_keys, f"main-{k}"), "key").join(sketch, "node"), f"open-{k}")
+        x = open_.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")).alias("x")
+        y = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).alias("y")
+        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
-        pairs = x.join(y, across & (_agreeing("x", "y") >= enough) & first).select(
-            *pair("x.node", "y.node"), F.least("x.component", "y.component").alias("p"), F.greatest("x.component", "y.component").alias("q"), _agreeing("x", "y").alias("agreeing")
+        pairs = x.join(y, across & (scheme.agreeing("x", "y") >= enough) & first).select(
+            *pair("x.node", "y.node"), F.least("x.component", "y.component").alias("p"), F.greatest("x.component", "y.component").alias("q"), scheme.agreeing("x", "y").alias("agreeing")
         )
-        pairs = tables.put(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"left-{k}", m)
+        pairs = tables.put(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"left-{k}")
         rows = pairs.count()
         if not rows:
             break
         if best := rows > MANY:
-            pairs = tables.put(pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")).select("a", "b"), f"best-{k}", rows)
-        links = links.union(_verified(pairs, docs, shingle, percent, tables, f"round-{k}", rows))
+            pairs = tables.put(pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")).select("a", "b"), f"best-{k}")
+        links = links.union(_verified(pairs, docs, shingle, percent, tables, f"round-{k}"))
         tables.drop(f"placed-{k}", f"main-{k}", f"open-{k}")
         if not best:  # every pair across components has been tried
-            found = tables.put(components(links, tables, f"cc-{k}", m), f"components-{k}", m)
+            found = tables.put(components(links, tables, f"cc-{k}"), f"components-{k}")
             break
-        tried = tables.put(tried.select("a", "b").union(pairs.select("a", "b")), f"tried-{k}", m)
-    labels = tables.put(
-        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")),
-        "labels",
-        n,
-    )
+        tried = tables.put(tried.select("a", "b").union(pairs.select("a", "b")), f"tried-{k}")
+    labels = tables.put(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "labels")
+    tables.keep("sketches", "labels")
     return sketches, labels
 
 

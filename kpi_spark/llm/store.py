@@ -1,22 +1,17 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 A table written here cuts a plan's lineage and survives the loss of executors.
-The folder is the session's ``spark.checkpoint.dir``; where that is unset, as in
-tests, a local folder of this session's own takes its place.
+The folder is the session's ``spark.checkpoint.dir``; where that is unset and everything
+runs in one process, as in tests, a local folder of this session's own takes its place.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Small rows that a task takes.
-PER_TASK = 50_000
-
 _LOCAL: dict[str, str] = {}
 
 
@@ -24,40 +19,35 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _LOCAL[app]
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Tables that are written meanwhile pass at most so many rows at once to Python, which bounds what their long values take."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return _LOCAL[context.applicationId]
 
 
 class Tables:
     """The intermediate tables of one run of an operator, each under a name."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.root = spark, f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.names = spark, f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex[:12]}", set()
 
-    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Writes ``df`` and returns what was written.  rows: about how many there are, where that is known, so that few rows make few tasks."""
-        df = df if rows is None else df.coalesce(rows // PER_TASK + 1)
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and returns what was written."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more (all of them without names)."""
+        """Deletes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, which the result still reads."""
+        self.drop(*(self.names - set(names)))
