@@ -6,8 +6,8 @@ byte n-grams of 1 to 4, all hashed into ``BUCKETS`` learned vectors of ``DIM`` n
 The mean of the vectors goes through a softmax layer over the two labels.
 
 :func:`train` fits vectors and layer by numpy stochastic gradient descent, one document
-at a time, on at most ``ROWS`` labelled documents of at most ``LONGEST`` bytes each (of
-those, the ones with the lowest hashes of their ids; longer ones are only left out of the training).
+at a time, on at most ``ROWS`` labelled documents of at most ``BYTES`` together (in the
+order of the hashes of their ids; one that no longer fits is left out of the training).
 :func:`score` reads whole texts of any length: with both layers linear, a feature adds
 one number to the difference of the two labels, so a document needs one table look-up a feature.
 
@@ -15,7 +15,7 @@ Scores don't depend on ids, languages, sources or labels of the rows they are fo
 Defined results: a null or empty text has no features and gets the score of the layer's
 bias; labels that are null or other than 0 and 1 are not learned from; without any usable
 label every score is 0.5, and :func:`good` keeps all documents; repeated rows are scored
-one by one; other columns pass through and columns named like a result are replaced.
+one by one, and of several texts of one id the shortest (then the first in order) is learned from; other columns pass through and columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from kpi_spark.llm.columns import hidden, shown
 
 #: Learned vectors (a power of two) and their length.
 BUCKETS, DIM = 1 << 17, 8
-#: Labelled documents learned from at most, and the bytes of each at most.
-ROWS, LONGEST = 3000, 20_000
+#: Labelled documents learned from at most, and their bytes together at most.
+ROWS, BYTES = 3000, 8 << 20
 #: Passes over them, and the first learning rate, which falls linearly to 0.
 EPOCHS, RATE = 8, 0.5
 #: Learning rate of the vectors over that of the layer: a vector only moves by its small share in a mean.
@@ -133,15 +133,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, bytes_: int = BYTES) -> Model:
     """A model fitted on the labelled documents that are not held out."""
     wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
-    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("_text") <= LONGEST)
-    usable = wanted.join(own.select("_id").distinct(), "_id", "left_semi")  # ids only: texts stay where they are
-    chosen = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)  # at most ``rows`` small rows: broadcast
-    found = own.join(F.broadcast(chosen), "_id")
-    got = sorted((r["_id"], r["_text"], r["_label"]) for r in found.dropDuplicates(["_id", "_label"]).collect())
-    return fit([(t, y) for _, t, y in got])
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where("_text is not null")
+    sizes = own.groupBy("_id").agg(F.min(F.octet_length("_text")).alias("_size")).where(F.col("_size") <= bytes_)  # ids and sizes only: texts stay where they are
+    usable = wanted.join(sizes, "_id").orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
+    chosen, total = [], 0
+    for r in usable.collect():  # at most ``rows`` small rows
+        if total + r["_size"] <= bytes_:
+            total += r["_size"]
+            chosen.append((r["_id"], r["_size"], r["_label"]))
+    if not chosen:
+        return fit([])
+    side = docs.sparkSession.createDataFrame(chosen, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _size int, _label int")
+    found = own.join(F.broadcast(side.select("_id", "_size").distinct()), "_id").where(F.octet_length("_text") == F.col("_size"))
+    texts = {r["_id"]: r["_text"] for r in found.groupBy("_id").agg(F.min("_text").alias("_text")).collect()}
+    return fit([(texts[i], y) for i, _, y in sorted(chosen, key=lambda c: (c[0], c[2]))])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
