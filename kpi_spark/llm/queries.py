@@ -6,6 +6,8 @@ columns that its result is compared by.
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +73,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document repeats of the benchmark."""
     found = decontam.search(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         decontam.contaminated().alias("contaminated"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest_match"),
     )
@@ -108,7 +109,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL; the list holds the canonical URLs of hosts that look like spam."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     listed = urls.with_parts(pages).where(F.col("host").rlike(LISTED_HOSTS)).select("canonical")
-    return urls.judge(pages, URL_RULES, listed).drop("url")
+    return urls.judge(pages, URL_RULES, listed, Tables(spark, "op9")).drop("url")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,16 +123,78 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
+    "op3_subword_quality": op3_subword_quality,
+    "op4_pii": op4_pii,
+    "op5_suffix_decontamination": op5_suffix_decontamination,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_snapshots": op7_chat_snapshots,
+    "op8_bbit_near_dedup": op8_bbit_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_secrets": op10_secrets,
-    "op3_subword_quality": op3_subword_quality, "op4_pii": op4_pii, "op8_bbit_near_dedup": op8_bbit_near_dedup, "op5_suffix_decontamination": op5_suffix_decontamination, "op6_byte_bpe": op6_byte_bpe}
+}
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _NONSPACE = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _licenses_sql() -> str:
+    """Every phrase looked for at every word."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    phrases = sorted({p for t in licenses.TEMPLATES for p in t.phrases})
+    places = ", ".join(f"[i FOR i IN range(len(ws) - {len(p.split()) - 1}) IF ws[i + 1] = {quoted(p.split()[0])} AND ws[i + 1:i + {len(p.split())}] = [{', '.join(map(quoted, p.split()))}]] AS p{k}" for k, p in enumerate(phrases))
+    share = {t.label: "(" + " + ".join(f"(len(p{phrases.index(p)}) > 0)::INT" for p in t.phrases) + f") / {len(t.phrases)}.0" for t in licenses.TEMPLATES}
+    labels = lambda some: "coalesce(array_to_string(list_sort([x FOR x IN [" + ", ".join(f"CASE WHEN {share[t.label]} = 1 THEN {quoted(t.label)} END" for t in some) + "] IF x IS NOT NULL]), ','), '')"
+    base = [t for t in licenses.TEMPLATES if t.base]
+    starts = "flatten([" + ", ".join(f"p{phrases.index(p)}" for t in base for p in t.phrases) + "])"
+    return f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents), f AS (SELECT doc_id, len(ws) AS n, {places} FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len({starts}) AS BIGINT) AS n_base, CAST(list_min({starts}) AS BIGINT) AS first_word, CAST(list_max({starts}) AS BIGINT) AS last_word,
+       {labels(base)} AS base_labels, {labels(licenses.TEMPLATES)} AS labels, CAST(greatest({", ".join(share.values())}) AS DOUBLE) AS score FROM f"""
+
+
+def _secrets_sql() -> str:
+    """Every pattern over every text; offsets by running sums of lengths."""
+    caseless = lambda p: re.sub(r"\(\?i:(\([^)]*\))\)", lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]), p)
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS rank, {quoted(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(t, {quoted(caseless(r.pattern))}) AS m, regexp_extract_all(t, {quoted(caseless(r.pattern))}, {r.group}) AS v, regexp_split_to_array(t, {quoted(caseless(r.pattern))}) AS b FROM d" for k, r in enumerate(secrets.RULES)
+    )
+    text = "kind || ':' || a || ':' || e"
+    kinds = ", ".join(f"CAST(coalesce(count(*) FILTER (kind = '{k}'), 0) AS BIGINT) AS n_{k}" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT * FROM ({parts}) WHERE len(m) > 0),
+     u AS (SELECT doc_id, rank, kind, least, unnest(range(len(m))) AS i, length(unnest(m)) AS m, length(unnest(v)) AS v, length(unnest(b[1:len(m)])) AS b FROM p),
+     s AS (SELECT *, CAST(sum(b + m) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS e FROM u), g AS (SELECT *, e - m AS a FROM s WHERE v >= least)
+SELECT d.doc_id, {kinds}, sha256(coalesce(string_agg({text}, ',' ORDER BY a, rank) FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY a, rank), '') AS spans
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _urls_sql() -> str:
+    """Rules by strings, the list by a plain join."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rules = sorted(URL_RULES, key=lambda r: -len(str(r)))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in rules)
+    return rf"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+     c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(?:www|m)\.', ''), ':(?:80|443)$', '') || regexp_replace(path, '(?:\.html)?/*$', '') END AS canonical FROM h),
+     l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{LISTED_HOSTS}'))
+SELECT page_id, host, path, {case(str)} END AS rule, {case(lambda r: r.verdict)} WHEN canonical IN (SELECT canonical FROM l WHERE canonical IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+
+
 ORACLE: dict[str, str] = {
+    "op2_licenses": _licenses_sql(),
+    "op9_url_filter": _urls_sql(),
+    "op10_secrets": _secrets_sql(),
+    "op7_chat_snapshots": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+     c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS l FROM t GROUP BY conv_id),
+     p AS (SELECT DISTINCT md5(CAST(l[1:i] AS VARCHAR)) AS h FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c)),
+     u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, l FROM c GROUP BY l)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, n_copies, array_to_string(['<|' || coalesce(x.role, 'unknown') || '|>' || chr(10) || coalesce(x.text, '') || chr(10) FOR x IN l], '') AS chat
+FROM u WHERE md5(CAST(l AS VARCHAR)) NOT IN (SELECT h FROM p)""",
     "op8_bbit_near_dedup": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_NONSPACE} AS ws FROM documents),
      i AS (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 3 THEN range(1, len(ws) - 1) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM d),

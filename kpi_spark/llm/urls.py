@@ -3,7 +3,9 @@
 :func:`judge` gives each row host, path, the rule that decides and a verdict.  Where no
 rule fits, the list does: a filter of its canonical URLs, of bounded size, lets
 possible hits through to an exact join, which takes out false positives; what the
-filter stops needs no join.
+filter stops needs no join.  A list of up to ``BROADCAST`` bytes is sent to all tasks,
+so that one pass over the pages does; for a longer one the tested pages are written,
+and only possible hits are shuffled.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
 from there up to ``?``, ``#`` or the end.  A canonical URL is the host without a leading
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpi_spark.llm import bloom
+from kpi_spark.llm.store import Tables
 
+#: Bytes of listed URLs that are sent to all tasks at most.
+BROADCAST = 16 << 20
 RESULT = ("host", "path", "rule", "verdict", "canonical")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,10 +78,11 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return parts.withColumn("canonical", canonical(F.col("host"), F.col("path")))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...], listed: DataFrame, url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...], listed: DataFrame, tables: Tables, url: str = "url", broadcast: int = BROADCAST) -> DataFrame:
     """``pages`` with host, path, rule and verdict.  listed: a DataFrame with a column ``canonical``, the blocked URLs."""
     parts = with_parts(pages, url)
-    listed = listed.select("canonical").where("canonical is not null").distinct()
+    listed = tables.put(listed.select("canonical").where("canonical is not null").distinct(), "listed")
+    size = listed.agg(F.sum(F.octet_length("canonical") + 16)).first()[0] or 0
     filter_ = pages.sparkSession.sparkContext.broadcast(bloom.build(F.col("canonical"), listed))  # bounded, see bloom
     hashed = parts.withColumn("_h", F.xxhash64("canonical"))
     names = hashed.columns
@@ -88,8 +94,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], listed: DataFrame, url: str
 
     tested = hashed.mapInArrow(run, T.StructType([*hashed.schema.fields, T.StructField("_maybe", T.BooleanType())]))
     known = listed.select(F.col("canonical").alias("_listed"))
-    hits = tested.where("_maybe").join(known, F.col("canonical") == F.col("_listed"), "left")
-    both = hits.unionByName(tested.where("not _maybe").withColumn("_listed", F.lit(None).cast("string")))
+    if size <= broadcast:
+        both = tested.join(F.broadcast(known), F.when(F.col("_maybe"), F.col("canonical")) == F.col("_listed"), "left")
+    else:
+        tested = tables.put(tested, "tested")
+        hits = tested.where("_maybe").join(known, F.col("canonical") == F.col("_listed"), "left")
+        both = hits.unionByName(tested.where("not _maybe").withColumn("_listed", F.lit(None).cast("string")))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("_listed").isNotNull(), "block").otherwise("allow")
     for r in sorted(rules, key=lambda r: len(str(r))):  # the longest is asked first
         fits = r.fits(F.col("host"), F.col("path"))
