@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kpi_spark.llm import bloom, chat, components, neardup, urls
+from kpi_spark.llm import bloom, chat, components, neardup, store, urls
 from kpi_spark.llm import queries as Q
 from kpi_spark.llm.store import Tables
 
@@ -80,8 +80,32 @@ def test_groups_of_odd_tables(spark):
     assert [(r["doc_id"], r["component_id"], r["kept"]) for r in out] == [(1, 1, True), (2, 2, True), (3, 1, False), (3, 1, False), (None, None, True)]
 
 
+def test_large_buckets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 3)
+    docs = list(enumerate(near_copies(9, groups=3, size=12)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(df, Tables(spark, "t"), 3, 85).collect()}
+    assert out == brute_groups(docs, 3, 85)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.folder(Session())
+
+
 def test_collision_correction():
-    assert neardup.bands_for(0.85) * neardup.ROWS <= neardup.SLOTS and neardup.least_agreeing(0.85) < neardup.SLOTS * 0.8875
+    scheme = neardup.B_BIT
+    assert scheme.bands(0.85) * scheme.rows <= scheme.slots and scheme.least(0.85) < scheme.slots * 0.8875
 
 
 def test_components(spark):
@@ -131,15 +155,16 @@ def test_urls(spark):
     made += ["x" * 50_000, "x" * 50_000 + "://a.net/de/" + "y" * 50_000, None, "", "no scheme", "example.com/en/", "://", "a://b://c/en/"]
     pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(made)], "page_id long, url string, rule string")
     listed = spark.createDataFrame([("spam.example.net/x",), ("spam.example.net",), (None,)], "canonical string")
-    out = {q["page_id"]: q for q in urls.judge(pages, Q.URL_RULES, listed).collect()}
-    assert len(out) == len(made)
+    tables = Tables(spark, "t")
+    out = {q["page_id"]: q for q in urls.judge(pages, Q.URL_RULES, listed, tables).collect()}
+    assert len(out) == len(made) and out == {q["page_id"]: q for q in urls.judge(pages, Q.URL_RULES, listed, tables, broadcast=0).collect()}
     for i, u in enumerate(made):
         rule, (host, path) = brute_rule(u), split(u)
         bare = re.sub(r":(80|443)$", "", re.sub(r"^(www|m)\.", "", host)) + re.sub(r"(\.html)?/*\Z", "", path)
         verdict = rule.verdict if rule else "block" if bare in ("spam.example.net/x", "spam.example.net") else "allow"
         assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) == (host, path, str(rule) if rule else None, verdict), u
-    assert urls.judge(pages.limit(0), Q.URL_RULES, listed).count() == 0
-    free = urls.judge(pages, (), listed.limit(0))
+    assert urls.judge(pages.limit(0), Q.URL_RULES, listed, tables).count() == 0
+    free = urls.judge(pages, (), listed.limit(0), tables)
     assert free.where("verdict <> 'allow' or rule is not null").count() == 0
 
 
@@ -163,7 +188,7 @@ def test_chat(spark):
         n = r.randint(1, 6)
         rows += [(c, t, ("user", "assistant")[t % 2], f"text {base} {t}" if t < 5 or c % 7 else f"end {c}") for t in range(n)]
     rows += [rows[0], (None, 0, "user", "x"), (500, 0, None, None), (501, 0, None, ""), (502, 0, None, None), (502, 1, "user", "")]
-    df = spark.createDataFrame([(*q, "own") for q in rows], "conv_id long, turn long, role string, text string, chat string")
+    df = spark.createDataFrame([(*q, "own") for q in rows], "conv_id long, turn long, role string, text string, chat string").withColumns({"n_turns": F.lit("own"), "n_copies": F.lit(1)})
     out = {q["conv_id"]: q for q in chat.collapse(df, Tables(spark, "t")).collect()}
     kept, turns = brute_chat(rows)
     assert set(out) == kept

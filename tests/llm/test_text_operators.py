@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -95,6 +96,41 @@ def test_long_pre_tokens_and_full_caches(reference):
     _check([long, "a" * 5000, "=" * 3000, " " * 999 + "x", long[:300]], ranks)
 
 
+def thue_morse(n):
+    """A word and its complement whose polynomials modulo 2**64 are equal for every odd base."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_pre_tokens_of_colliding_polynomials(reference, n):
+    ranks, _ = reference
+    x, y = thue_morse(n)
+    _check([x, y], ranks)
+    encoder = bpe.Encoder(ranks)
+    for texts in ([x], [y], [y, x, y]):
+        _check(texts, ranks, encoder)
+
+
+def test_pre_tokens_under_one_hash(reference, monkeypatch):
+    """Ids are right whatever the hashes are, in a batch and after others filled the cache."""
+    ranks, _ = reference
+    whole = K.span_hash
+    monkeypatch.setattr(K, "span_hash", lambda v, a, b: whole(v, a, b) & K.U(7))
+    r, encoder = random.Random(1), bpe.Encoder(ranks, 8)
+    for _ in range(20):
+        _check(["".join(r.choice("ab c'd1é") for _ in range(60)) for _ in range(5)] + [""], ranks, encoder)
+
+
+def test_words_of_colliding_polynomials():
+    words_ = [w for n in (1024, 2048) for w in thue_morse(n)]
+    for table in (K.ALNUM, K.NONSPACE):
+        hashes, _ = K.word_hashes(*K.text_buffer(pa.array([" ".join(words_)])), table)
+        assert len(set(hashes.tolist())) == 4
+
+
 def test_encode_and_decode_frames(spark, reference):
     _, library = reference
     texts = some_texts()
@@ -134,17 +170,69 @@ def test_decontamination(spark, block):
     items = [(str(i), " ".join(r.choice(WORDS[:6]) for _ in range(r.choice([0, 1, 4, 13, 14, 30])))) for i in range(25)]
     items += [("7", items[3][1]), ("99", "word"), ("100", "…")]
     texts += [" ".join([items[k][1], *words(texts[k])[:5], items[k + 1][1].upper()]) for k in range(10)]
-    bench = spark.createDataFrame([*items, (None, "the of"), ("5", None)], "item_id string, text string")
-    out = decontam.search(frame(spark, texts, ["matches", "n_hit"]), bench, block=block).collect()
-    got = {row["doc_id"]: (row["n_words"], row["n_hit"], sorted({m["item_id"] for m in row["matches"]})) for row in out}
+    texts += [texts[-1], " ".join(thue_morse(2048))]
+    items += [("101", " ".join(reversed(thue_morse(2048))))]
+    bench = spark.createDataFrame([*items, *items[:3], (None, "the of"), ("5", None)], "item_id string, text string")
+    df = frame(spark, texts, ["matches", "n_hit"]).union(frame(spark, texts[-2:], ["matches", "n_hit"]).withColumn("doc_id", F.col("doc_id") + len(texts) - 2))
+    out = decontam.search(df, bench, block=block, tables=Tables(spark, "t")).collect()
+    assert len(out) == len(texts) + 2
+    got = {row["doc_id"]: (row["n_words"], row["n_hit"], row["items"]) for row in out}
     assert [got[i] for i in range(len(texts))] == brute_decontam(texts, items)
     for row in out:
+        longest = max((m["length"] for m in row["matches"]), default=0)
+        assert (longest > 0) == (row["n_hit"] > 0) and longest <= row["n_hit"]
         for m in row["matches"]:
             same = [words(t) for i, t in items if i == m["item_id"]]
             part = words(texts[row["doc_id"]])[m["doc_start"] : m["doc_start"] + m["length"]]
             assert any(part == v[m["item_start"] : m["item_start"] + m["length"]] for v in same)
 
 
+def found_in(texts, items, window):
+    test = decontam.Test(items, window)
+    hashes, first = K.word_hashes(*K.text_buffer(pa.array(texts, pa.string())), K.ALNUM)
+    columns = decontam._columns(decontam.Shard(hashes, first, min(window, test.longest)), test)
+    return [dict(zip(columns, row, strict=True)) for row in zip(*(c.to_pylist() for c in columns.values()), strict=True)]
+
+
+def brute_matches(text, items, window):
+    """(place, words) of the longest match from each word that no earlier one holds, and of whole short items."""
+    w, longest, out = words(text), {}, set()
+    for v in (words(t) for _, t in items):
+        for i in range(len(w)):
+            for j in range(len(v)):
+                k = 0
+                while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                    k += 1
+                if k >= window:
+                    longest[i] = max(longest.get(i, 0), k)
+        out |= {(i, len(v)) for i in range(len(w) - len(v) + 1) if 0 < len(v) < window and w[i : i + len(v)] == v}
+    return out | {(i, k) for i, k in longest.items() if longest.get(i - 1) != k + 1}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("pqr"), st.text(alphabet="abc ", max_size=24)), max_size=5), st.lists(st.text(alphabet="abcz ", max_size=40), max_size=4), st.integers(1, 5), st.sampled_from([1, 5, 1 << 18]))
+def test_longest_matches(items, texts, window, stretch):
+    items = [(i, " ".join(t)) for i, t in items]
+    texts, before = [" ".join(t) for t in texts], decontam.STRETCH
+    decontam.STRETCH = stretch
+    try:
+        got = found_in(texts, items, window)
+    finally:
+        decontam.STRETCH = before
+    for t, g, expected in zip(texts, got, brute_decontam(texts, items, window), strict=True):
+        assert (g["n_words"], g["n_hit"], g["items"]) == expected
+        assert {(m["doc_start"], m["length"]) for m in g["matches"]} == brute_matches(t, items, window)
+        assert sum(h["end"] - h["start"] for h in g["hits"]) == g["n_hit"]
+
+
+def test_repeated_words_make_no_pairs():
+    one = found_in(["a " * 40_000, "b"], [("1", "a " * 40_000)], 13)
+    assert [len(g["matches"]) for g in one] == [1, 0] and one[0]["matches"][0]["length"] == one[0]["n_hit"] == 40_000
+    phrase = " ".join(f"w{i}" for i in range(13))
+    many = found_in([" x ".join([phrase] * 2000)], [(str(k), " y ".join([phrase] * 20)) for k in range(100)], 13)
+    assert len(many[0]["matches"]) == 2000 and len(many[0]["items"]) == 100 and many[0]["n_hit"] == 26_000
+
+
 def test_clean_keeps_columns_of_any_name(spark):
     docs = frame(spark, ["a b c", "d e f", None], ["n_hit", "matches"])
     bench = spark.createDataFrame([("1", "d e f")], "item_id string, text string")
@@ -257,6 +345,31 @@ def test_long_mixed_disguises_take_linear_time():
         pii.spans("x at " + piece.replace(" ", "") * (300_000 // len(piece)) + "@")
 
 
+def test_many_spans_take_linear_time():
+    for piece in ("a@b.cc é ", "а@b.cc ", "john [at] b.cc, "):
+        text = piece * 100_000
+        found = pii.spans(text)
+        n = len(piece)
+        assert len(found) == 100_000 and {b - a for _, a, b, _ in found} == {found[0][2] - found[0][1]} and [a for _, a, _, _ in found] == list(range(found[0][1], n * 100_000, n))
+
+
+_PIECES = ["john", " at ", " dot ", "example", "com", ".", "@", "[at]", "(dot)", "{ at }", "one", "two ", "1", "23", " ", "-", ", ", "+", "а", "е", "１", "\u200b", "4111 1111 1111 111", "10.0.", "é", "\n", "Seven"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=14).map("".join))
+def test_texts_without_hints_have_no_spans(text):
+    assert not pii.spans(text) or pii.hinted(pa.array([text])) == [0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["john{at}example.com", "john at example.com", "john [at] mail dot org", "+1 555 one 23 four 567 8", "a@b.cc", "10.0.0.1"]), st.sampled_from(["Ａ", "an anecdote", "пример", "ñandú – é", "one two", "(at)"]))
+def test_unrelated_characters_change_nothing(disguise, other):
+    alone = pii.spans(f"{disguise} ;; ")
+    shift = len(other) + 4
+    assert len(alone) == 1 and alone == pii.spans(f"{disguise} ;; {other}") == [(k, a - shift, b - shift, p) for k, a, b, p in pii.spans(f"{other} ;; {disguise} ;; ")]
+
+
 def test_detect_and_redact_frames(spark):
     texts = [None, "", "a@b.cc and 1.2.3.4", "a@b.cc and 1.2.3.4", "nothing"]
     df = frame(spark, texts, ["pii"])
@@ -296,6 +409,20 @@ def test_secrets(spark, broadcast):
     assert len(secrets.scan(nameless, Tables(spark, "t")).first()["secrets"]) == 1
 
 
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"token=abcdef{i}" for i in range(50_000))
+    begin = time.perf_counter()
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), Tables(spark, "t")).first()["secrets"]
+    assert [(s["kind"], s["start"], s["end"]) for s in found] == brute_base(text) and time.perf_counter() - begin < 60
+
+
+def test_more_trigrams_than_bits(spark):
+    rules = tuple(secrets.Rule(f"r{i}", f"q{i:03}w[0-9]+") for i in range(80))
+    df = spark.createDataFrame([(1, "Q012W5 q012w77"), (2, "q079w1 q000w2"), (3, "none")], "doc_id long, text string")
+    out = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["secrets"]] for r in secrets.scan(df, Tables(spark, "t"), rules).collect()}
+    assert out == {1: [("r12", 7, 14)], 2: [("r79", 0, 6), ("r0", 7, 13)], 3: []}
+
+
 def test_trigram_queries():
     q = lambda p: [sorted(x) for x in secrets.trigram_query(p)]
     assert q("abcd") == [["abc", "bcd"]] and q("(?i:AB[xy]cde|fgh)") == [["cde"], ["fgh"]]
@@ -351,13 +478,21 @@ def test_quality_learns_and_ignores_all_but_text(spark):
 
 
 def test_quality_samples_usable_documents(spark):
-    """Ids with the lowest hashes belong to long, null or missing texts; the sample is still full."""
+    """Ids with the lowest hashes belong to null, missing or too long texts; the sample is still full."""
     ids = [r["i"] for r in spark.range(200).where(~quality.held_out(F.col("id"))).select(F.col("id").alias("i")).orderBy(F.xxhash64("id")).collect()]
-    odd = {i: ("x" * (quality.LONGEST + 1), None)[k % 2] for k, i in enumerate(ids[:40])}
+    odd = {i: ("x" * 5001, None)[k % 2] for k, i in enumerate(ids[:40])}
     docs = spark.createDataFrame([(i, odd.get(i, f"some text {i}")) for i in ids if i != ids[40]], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
-    assert quality.train(docs, labels, rows=30).examples == 30
-    assert quality.train(docs.where(F.col("doc_id").isin(ids[:40])), labels).examples == 0
+    assert quality.train(docs, labels, rows=30, bytes_=5000).examples == 30
+    assert 100 // 13 <= quality.train(docs, labels, bytes_=100).examples <= 100 // 11  # as many as fit together
+    assert quality.train(docs.where(F.col("doc_id").isin(ids[:40])), labels, bytes_=5000).examples == 0
+
+
+def test_quality_of_repeated_ids_is_learned_alike(spark):
+    rows_ = [(i, f"{'good' if i % 2 else 'bad'} text {i} {'x' * k}") for i in range(60) for k in (3, 0, 5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one, two = (quality.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows_, 1), (rows_[::-1], 7)))
+    assert one.examples == two.examples and (one.table == two.table).all() and one.bias == two.bias
 
 
 def test_quality_without_usable_labels_keeps_documents(spark):
