@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from kpi_spark.llm import kernels as K
 
-#: Pre-tokens whose ids one Python worker remembers.
-CACHE = 800_000
+#: Pre-tokens whose ids one Python worker remembers, and bytes of text worked on at once.
+CACHE, PIECE = 800_000, 1 << 19
 
 # fixed values: the split pattern's contractions and Unicode's White_Space characters
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -180,8 +180,11 @@ class Encoder:
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions of spans, one after another."""
+    size = size.astype(np.int64)
     before = np.cumsum(size) - size
-    return np.arange(int(size.sum())) + np.repeat(begin - before, size)
+    out = np.repeat(begin - before, size)
+    out += np.arange(len(out))
+    return out
 
 
 def _equal(x: np.ndarray, x_begin: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_begin: np.ndarray, y_size: np.ndarray) -> np.ndarray:
@@ -197,17 +200,18 @@ class _Lists:
     """Lists of numbers in one flat array."""
 
     def __init__(self, kind: type) -> None:
-        self.flat, self.begin, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.begin, self.size = np.zeros(0, kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def add(self, flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
         """More lists, and the order of all of them."""
         begin = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate((self.flat, flat))
-        self.begin, self.size = np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+        self.begin = np.concatenate((self.begin, begin.astype(np.int32)))[order]
+        self.size = np.concatenate((self.size, size.astype(np.int32)))[order]
 
     def keep(self, some: np.ndarray) -> None:
         begin, size = self.begin[some], self.size[some]
-        self.flat, self.begin, self.size = self.flat[_spread(begin, size)], np.cumsum(size) - size, size
+        self.flat, self.begin, self.size = self.flat[_spread(begin, size)], (np.cumsum(size) - size).astype(np.int32), size
 
 
 _CLASSES: list[np.ndarray] = []
@@ -318,7 +322,7 @@ def encode(df: DataFrame, rank_lines: str, text: str = "text", keep_text: bool =
         encoder = _ENCODERS.get(key) or _encoder(key, load_ranks(shared.value))
         for batch in batches:
             buf, off = K.text_buffer(batch.column(text))
-            for i, j in K.pieces(off):
+            for i, j in K.pieces(off, PIECE):
                 ids, begin = encode_rows(encoder, buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(i, j - i)

@@ -46,7 +46,7 @@ from kpi_spark.llm.columns import hidden, shown
 from kpi_spark.llm.store import Tables
 
 #: Bytes of benchmark text sent to the tasks at once, bytes of a shard, and words whose longest matches are sought at once (a document at least).
-BLOCK, SHARD, STRETCH = 4 << 20, 8 << 20, 1 << 18
+BLOCK, SHARD, STRETCH = 4 << 20, 2 << 20, 1 << 18
 
 _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])

@@ -41,7 +41,7 @@ class _Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * PIECE)
+            size = max(n, PIECE + LONG + 1)
             self.up, self.down = _powers(_P, size), _powers(pow(_P, -1, 1 << 64), size)
         return self.up[:n], self.down
 
@@ -99,13 +99,22 @@ def pieces(off: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span of a byte array."""
-    up, down = _POWERS.of(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum((values.astype(U) + U(1)) * up[: len(values)], dtype=U, out=prefix[1:])
-    out = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U) * U(_Q))
-    for i in np.flatnonzero(ends - starts > LONG).tolist():
-        out[i] = int.from_bytes(blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    """Hash of each span of a byte array; the spans are ordered and apart, and about ``PIECE`` bytes are worked on at once."""
+    out = np.empty(len(starts), dtype=U)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = int(np.searchsorted(starts, base + PIECE))
+        short = i + np.flatnonzero(ends[i:j] - starts[i:j] <= LONG)
+        part = values[base : base + PIECE + LONG]
+        up, down = _POWERS.of(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum((part.astype(U) + U(1)) * up[: len(part)], dtype=U, out=prefix[1:])
+        a, b = starts[short] - base, ends[short] - base
+        out[short] = mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(U) * U(_Q))
+        i = j
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(values[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 

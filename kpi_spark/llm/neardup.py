@@ -11,7 +11,7 @@ it belongs to; :func:`dedup` keeps one document of each group.
    two hubs of their bucket; of the pairs whose collision-corrected similarity, by bit
    counts of the packed bits, can reach the threshold the best ones of each member are
    verified on the full sets (64-bit hashes of all shingles, from another pass that a
-   Bloom filter of the ids narrows; intersected by Spark).  The verified links' components follow.
+   Bloom filter of the ids narrows).  The verified links' components follow.
 3. What hubs leave apart: in buckets that still hold several components, members are
    compared across components (bits only, inside the join, each pair in the first bucket
    that it shares) and verified like those.  Pairs inside a component are never
@@ -49,6 +49,8 @@ from kpi_spark.llm.store import Tables
 MISS, SLACK = 1e-6, 4.5
 #: From this many open pairs on, only the best of each member and component is verified first.
 MANY = 150_000
+#: Rows (texts, or pairs of sets) that go to Python at once.
+BATCH = 1000
 #: Open members of a bucket that one task compares with the rest of it.
 PART = 2000
 
@@ -153,7 +155,7 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, scheme: Scheme) -> Data
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles: distinct 64-bit hashes) of the documents whose id may be among ``ids``."""
+    """(doc_id, shingles: binary, sorted 64-bit hashes) of the documents whose id may be among ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(F.col("node"), ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,22 +165,32 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             buf, off = K.text_buffer(batch.column("text"))
             for i, j in K.pieces(off):
                 values, begin = row_sets(*K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], K.NONSPACE), shingle)
-                out = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
+                out = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(values)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), out], ["doc_id", "shingles"])
 
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str) -> DataFrame:
     """The pairs (a, b) whose full sets' similarity is at least ``share`` percent."""
     ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids")
-    sets = tables.put(_sets(docs, ids, shingle), f"{label}-sets")
+    sets = tables.put(_sets(docs, ids, shingle), f"{label}-sets", BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                if 100 * min(len(x), len(y)) >= share * max(len(x), len(y)):
+                    both = np.concatenate((x, y))
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[k] = 100 * common >= share * (len(x) + len(y) - common) > 0
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
     side = lambda key, name: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name))
-    n, m = F.size("x"), F.size("y")
-    possible = 100 * F.least(n, m) >= share * F.greatest(n, m)
-    common = F.when(possible, F.size(F.array_intersect("x", "y"))).alias("common")
-    joined = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", (n + m).alias("both"), common)
-    out = tables.put(joined.where((F.col("common") > 0) & (100 * F.col("common") >= share * (F.col("both") - F.col("common")))).select("a", "b").distinct(), f"{label}-links")
+    joined = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    out = tables.put(joined.mapInArrow(run, "a long, b long").distinct(), f"{label}-links", BATCH)
     tables.drop(f"{label}-sets", f"{label}-ids")
     return out
 
@@ -194,7 +206,7 @@ def groups(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 80,
 def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """The written sketches, and the component of each class of equal sets."""
     threshold, bits = percent / 100, scheme.names
-    sketches = tables.put(_sketches(docs, shingle, scheme.bands(threshold), scheme), "sketches")
+    sketches = tables.put(_sketches(docs, shingle, scheme.bands(threshold), scheme), "sketches", BATCH)
     classes = tables.put(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = tables.put(sketches.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]), "reps")
     sketch = reps.select(F.col("doc_id").alias("node"), "bands", *bits)

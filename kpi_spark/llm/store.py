@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +29,29 @@ def folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile passes at most so many rows at once to Python.  The setting is the session's: keep such a stretch to the writing of one table."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Tables:
     """The intermediate tables of one run of an operator, each under a name."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.names = spark, f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex[:12]}", set()
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns what was written."""
+    def put(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Writes ``df`` and returns what was written.  batch: rows that go to Python at once, where the session's number is too many."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark, batch) if batch else nullcontext():
+            df.write.mode("overwrite").parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
