@@ -101,6 +101,17 @@ def lossless(column: Column, parsed: Column) -> Column:
     return (F.count(column) == F.count(parsed)) & (codes == 0)
 
 
+def suspicious(df: DataFrame, at_least: float = 0.5) -> dict[str, float]:
+    """Text columns that stay text although at least that share of their values are numbers, and the share."""
+    names = [c for c in text_columns(df) if not is_date_name(c)]
+    if not names:
+        return {}
+    forms = number_formats(df, names)
+    parsed = {c: parse_number(F.col(c), forms[c]) for c in names}
+    row = df.agg(*(F.struct((F.count(parsed[c]) / F.nullif(F.count(F.col(c)), F.lit(0))).alias("share"), lossless(F.col(c), parsed[c]).alias("whole")).alias(f"c{i}") for i, c in enumerate(names))).first()
+    return {c: row[f"c{i}"]["share"] for i, c in enumerate(names) if (row[f"c{i}"]["share"] or 0) >= at_least and not row[f"c{i}"]["whole"]}
+
+
 def clean_numbers(df: DataFrame, at_least: float = 0.9) -> DataFrame:
     """Text columns become doubles where enough of their values parse and all of the column does without loss.
 

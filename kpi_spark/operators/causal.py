@@ -128,7 +128,9 @@ def backtest(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     cross products of its train rows.
     """
     by = [*keys, "combo"]
-    folds = periods.pseudo_cuts(rows, by, "period", 4)
+    folds = periods.pseudo_cuts(rows, by, "period", F.size("combo"))
+    several = folds.groupBy(*by).agg(F.count_distinct("fold").alias("_folds")).where("_folds > 1").select(*by)
+    folds = folds.join(several, by, "left_semi")
     cells = F.transform(F.concat("xs", F.array(F.col("y").cast("double"))), lambda v: v)
     wide = folds.withColumn("v", cells)
     # sums and cross products of each fold's train rows, element by element

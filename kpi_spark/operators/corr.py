@@ -5,11 +5,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpi_spark.functions.typing import numeric_columns
 from kpi_spark.operators.periods import average_rank
+from kpi_spark.operators.ranking import with_average_rank
 
 
 def pearson(x: str, y: str) -> Column:
@@ -45,20 +47,50 @@ def spread(df: DataFrame, columns: list[str], least: float = 1e-12) -> list[str]
 
 
 def by_method(df: DataFrame, columns: list[str], method: str = "pearson", by: list[str] = (), digits: int = 3) -> DataFrame:
-    """Pearson, Spearman (average ranks) or Kendall (tau-b; for series short enough to compare all rows of one ``by`` group)."""
+    """Pearson, Spearman (average ranks) or Kendall (tau-b).
+
+    Kendall sorts one period-aggregated series in one task and counts inversions by merging, without pairs of rows.
+    """
     if method == "pearson":
         return pairs(df, columns, digits)
     if method == "spearman":
         whole = df.dropna(subset=columns)
+        if not by:
+            for i, c in enumerate(columns):
+                whole = with_average_rank(whole, c, f"_r{i}")
+            return pairs(whole.select(*(F.col(f"_r{i}").alias(c) for i, c in enumerate(columns))), columns, digits)
         return pairs(whole.select(*(average_rank(c, list(by)).alias(c) for c in columns)), columns, digits)
-    rows = df.dropna(subset=columns).select(*columns).withColumn("_id", F.monotonically_increasing_id())
-    a, b = rows.alias("a"), rows.alias("b")
-    signs = a.join(b, F.col("a._id") < F.col("b._id")).select(*(F.signum(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(c) for c in columns))
     both = list(combinations(columns, 2))
-    tau = lambda x, y: F.try_divide(F.sum(F.col(x) * F.col(y)), F.sqrt(F.sum(F.abs(x)) * F.sum(F.abs(y))))
-    wide = signs.agg(*(tau(x, y).alias(f"r{i}") for i, (x, y) in enumerate(both)))
-    out = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.round(F.col(f"r{i}"), digits).alias("r")) for i, (x, y) in enumerate(both)))
-    return wide.select(F.explode(out).alias("p")).select("p.*")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(x, y, kendall(frame[x].to_numpy(float), frame[y].to_numpy(float))) for x, y in both], columns=["x", "y", "r"])
+
+    found = df.dropna(subset=columns).select(*columns).groupBy().applyInPandas(run, "x string, y string, r double")
+    return found.withColumn("r", F.round(F.nanvl("r", F.lit(None)), digits))
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> float:
+    """tau-b of two columns; NaN where one of them is constant."""
+
+    def ties(values: np.ndarray) -> int:
+        n = np.unique(values, return_counts=True)[1].astype(np.int64)
+        return int((n * (n - 1) // 2).sum())
+
+    def inversions(values: np.ndarray) -> int:
+        if len(values) < 2:
+            return 0
+        half = len(values) // 2
+        left, right = values[:half], values[half:]
+        below = inversions(left) + inversions(right)
+        return below + int((half - np.searchsorted(np.sort(left), right, "right")).sum())
+
+    n = len(x)
+    ranks = np.unique(y, return_inverse=True)[1]
+    order = np.lexsort((ranks, x))
+    pairs_ = n * (n - 1) // 2
+    both = ties(np.unique(x, return_inverse=True)[1].astype(np.int64) * (n + 1) + ranks)
+    scale = float(pairs_ - ties(x)) * float(pairs_ - ties(y))
+    return (pairs_ - ties(x) - ties(y) + both - 2 * inversions(ranks[order])) / scale**0.5 if scale > 0 else float("nan")
 
 
 def with_target(df: DataFrame, target: str, columns: list[str]) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpi_spark.functions.typing import NUMERIC
+from kpi_spark.operators.ranking import value_counts
 
 Values = Mapping[str, Iterable | None]
 
@@ -30,6 +32,24 @@ def combined(p: Column, q: Column) -> Column:
     return p & q
 
 
+def typed_literals(values: Iterable, kind: T.DataType) -> list[Column]:
+    """Numbers as literals of a numeric column's own type, so that the test stays on the bare column; what the type can't hold is left out."""
+    out = []
+    for v in values:
+        number = Decimal(str(v).strip())
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            out.append(F.lit(float(number)))
+        elif isinstance(kind, T.DecimalType):
+            if number.is_finite() and number == round(number, kind.scale) and abs(number) < Decimal(10) ** (kind.precision - kind.scale):
+                out.append(F.lit(str(number)).cast(kind))
+        elif number.is_finite() and number == number.to_integral_value() and -(1 << (_BITS[type(kind)] - 1)) <= number < 1 << (_BITS[type(kind)] - 1):
+            out.append(F.lit(int(number)).cast(kind))
+    return out
+
+
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
 def in_values(column: str, values: Iterable | None, kind: T.DataType | None = None) -> Column:
     """``column`` has one of the values, converted to its type; no values: no rows; None: no filter."""
     if values is None:
@@ -38,8 +58,9 @@ def in_values(column: str, values: Iterable | None, kind: T.DataType | None = No
     if not values:
         return F.lit(False)
     if isinstance(kind, NUMERIC):
-        values = [float(v) for v in values]
-    elif isinstance(kind, T.StringType):
+        literals = typed_literals(values, kind)
+        return F.col(column).isin(literals) if literals else F.lit(False)
+    if isinstance(kind, T.StringType):
         values = [str(v) for v in values]
     return F.col(column).isin(values)
 
@@ -52,12 +73,12 @@ def value_filter(df: DataFrame, filters: Values) -> DataFrame:
 def tolerant_filter(df: DataFrame, filters: Values) -> DataFrame:
     """Numeric columns ignore values that aren't numbers; with none left such a column isn't filtered."""
 
-    def parsed(values: Iterable) -> list[float]:
+    def parsed(values: Iterable) -> list[Decimal]:
         out = []
         for v in values:
             try:
-                out.append(float(v))
-            except (TypeError, ValueError):
+                out.append(Decimal(str(v).strip()))
+            except InvalidOperation:
                 continue
         return out
 
@@ -67,7 +88,7 @@ def tolerant_filter(df: DataFrame, filters: Values) -> DataFrame:
             continue
         if isinstance(df.schema[c].dataType, NUMERIC):
             numbers = parsed(values)
-            tests += [F.col(c).isin(numbers)] if numbers else []
+            tests += [in_values(c, numbers, df.schema[c].dataType)] if numbers else []
         else:
             tests.append(in_values(c, [str(v) for v in values]))
     return df.where(reduce(combined, tests, F.lit(True)))
@@ -170,6 +191,19 @@ def systematic_sample(df: DataFrame, key: str, step: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
 
 
+def every_kth(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, one in k by their place in the order of a numeric key, from the first one on; k is the least that is enough.
+
+    Rows of one key stay in one range of the count that finds the places.
+    """
+    counts = value_counts(df, key)
+    total = counts.agg(F.sum("n").alias("_rows"))
+    numbered = df.withColumn("_among", F.row_number().over(Window.partitionBy(key).orderBy(*(c for c, t in df.dtypes if c != key and not t.startswith("map")))))
+    placed = numbered.join(counts.select(F.col("value").alias("_value"), F.col("before").alias("_before")), F.col(key).cast("double") == F.col("_value")).crossJoin(F.broadcast(total))
+    place = F.col("_before") + F.col("_among") - 1
+    return placed.where(place % F.greatest(F.lit(1), F.ceil(F.col("_rows") / most)) == 0).select(*df.columns)
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows at random; the same ones for the same seed."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

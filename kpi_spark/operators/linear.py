@@ -292,6 +292,28 @@ def durbin_watson(residuals: DataFrame, e: str, order: str, by: Sequence[str] =
     return rows.groupBy(*by).agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col(e) * F.col(e))).alias("durbin_watson"))
 
 
+def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
+    """(bin, low, high, n) of equal bins from the least to the greatest value, empty ones too; the greatest is in the last one."""
+    v = F.col(column).cast("double")
+    span = rows.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")).where("_lo is not null").withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(v - F.col("_lo"), F.col("_w"))), F.lit(0))).cast("int")
+    counts = rows.where(v.isNotNull()).crossJoin(F.broadcast(span)).groupBy(place.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = span.select("_lo", "_w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    joined = grid.join(counts, F.col("bin") == F.col("_bin"), "left")
+    return joined.select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("high"), F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def with_normal_quantile(df: DataFrame, share: str, name: str) -> DataFrame:
+    """``df`` with the standard normal quantile of a share between 0 and 1."""
+    from statistics import NormalDist
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        return p.map(NormalDist().inv_cdf, na_action="ignore")
+
+    return df.withColumn(name, quantile(share))
+
+
 def out_of_sample(scored: DataFrame, y: str, predicted: str, baseline: str, by: Sequence[str] = ()) -> DataFrame:
     """rmse, baseline_rmse, mae, wape, bias, r2 of test rows, and whether the baseline is beaten."""
     e, b = F.col(y) - F.col(predicted), F.col(y) - F.col(baseline)
@@ -308,7 +330,10 @@ def out_of_sample(scored: DataFrame, y: str, predicted: str, baseline: str, by:
 
 
 def validated(folds: DataFrame, xs: Sequence[str], y: str, by: Sequence[str], model: str = "ols", alpha: float | None = None) -> DataFrame:
-    """Test rows of each fold with ``predicted`` by a model of its train rows and ``baseline``, their mean."""
+    """Test rows of each fold with ``predicted`` by a model of its train rows and ``baseline``, their mean.
+
+    Linear models of all folds are solved in one job; Huber's and the trees are Spark ML's, a fit after another (at most 5 folds).
+    """
     by = list(by)
     if model in LINEAR:
         train = folds.where("not test")

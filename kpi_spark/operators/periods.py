@@ -7,12 +7,18 @@ raw rows only meet grouped aggregates.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpi_spark.functions.typing import NULL_LABEL, filled
 
+# fixed values: shares of a series at which pseudo-interventions cut it, and the least that comes before a cut
+CUTS, LEAST_SHARE, LEAST_TRAIN = (0.55, 0.7, 0.82), 0.45, 8
+# fixed values: median days between periods up to which a series is daily, weekly, monthly, quarterly
+GAPS = ((2, "D"), (10, "W"), (45, "M"), (120, "Q"))
+
 UNITS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 _STEP = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}
 
@@ -138,7 +144,7 @@ def granularity(df: DataFrame, date: str, by: list[str] = ()) -> DataFrame:
     gaps = days.withColumn("gap", F.datediff("day", F.lag("day").over(Window.partitionBy(*by).orderBy("day"))))
     out = gaps.groupBy(*by).agg(F.count(F.lit(1)).alias("days"), F.median("gap").alias("median_gap"))
     g = F.col("median_gap")
-    return out.withColumn("granularity", F.when(F.col("days") < 3, "Original").when(g <= 2, "D").when(g <= 10, "W").when(g <= 45, "M").when(g <= 120, "Q").otherwise("Y"))
+    return out.withColumn("granularity", reduce(lambda e, gap: e.when(g <= gap[0], gap[1]), GAPS, F.when(F.col("days") < 3, "Original")).otherwise("Y"))
 
 
 def consecutive(df: DataFrame, date: str) -> DataFrame:
@@ -182,12 +188,12 @@ def expanding_folds(df: DataFrame, by: list[str], order: str, predictors: int) -
     return out.where(F.col("i") < F.col("cut") + F.col("size")).withColumn("test", F.col("i") >= F.col("cut")).drop("size", "folds")
 
 
-def pseudo_cuts(df: DataFrame, by: list[str], order: str, controls: int = 1) -> DataFrame:
+def pseudo_cuts(df: DataFrame, by: list[str], order: str, controls: int | Column = 1) -> DataFrame:
     """Rows of each pseudo-intervention with ``fold`` and ``test``: cuts at 55, 70 and 82 percent, tests of a tenth (2 at least)."""
     rows = numbered(df, by, order).where("n >= 15")
     n = F.col("n")
-    least = F.greatest(F.lit(8), F.lit(controls + 4), F.floor(n * F.lit(0.45)).cast("int"))
-    cuts = F.array_distinct(F.array(*(F.least((n - 2).cast("int"), F.greatest(least, F.floor(n * F.lit(s)).cast("int"))) for s in (0.55, 0.7, 0.82))))
+    least = F.greatest(F.lit(LEAST_TRAIN), controls + F.lit(4), F.floor(n * F.lit(LEAST_SHARE)).cast("int"))
+    cuts = F.array_distinct(F.array(*(F.least((n - 2).cast("int"), F.greatest(least, F.floor(n * F.lit(s)).cast("int"))) for s in CUTS)))
     out = rows.select("*", F.posexplode(cuts).alias("fold", "cut")).withColumn("size", F.greatest(F.lit(2), F.floor(n * F.lit(0.1)).cast("int")))
     return out.where(F.col("i") < F.col("cut") + F.col("size")).withColumn("test", F.col("i") >= F.col("cut")).drop("size")
 

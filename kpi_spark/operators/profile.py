@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpi_spark.functions.typing import detect_types, numeric_columns, text_columns
 from kpi_spark.operators.filters import any_null
+from kpi_spark.operators.ranking import quantiles
 
 
 def per_column(df: DataFrame, columns: Iterable[str], **measures) -> DataFrame:
@@ -86,21 +88,21 @@ def distinct_estimate(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, count, nulls, null_pct, mean, std, min, q1, median, q3, max) of numeric columns, quartiles exact."""
     d = lambda c: F.col(c).cast("double")
-    q = lambda p: lambda c: F.percentile(d(c), F.lit(p))
-    return per_column(
+    columns = list(columns or numeric_columns(df))
+    plain = per_column(
         df,
-        columns or numeric_columns(df),
+        columns,
         count=lambda c: F.count(c),
         nulls=nulls,
         null_pct=lambda c: nulls(c) * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0)),
         mean=lambda c: F.avg(d(c)),
         std=lambda c: F.stddev_samp(d(c)),
         min=lambda c: F.min(d(c)),
-        q1=q(0.25),
-        median=q(0.5),
-        q3=q(0.75),
         max=lambda c: F.max(d(c)),
     )
+    each = [quantiles(df, c, (0.25, 0.5, 0.75)).agg(F.lit(c).alias("column"), *(F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))) for c in columns]
+    joined = plain.join(F.broadcast(reduce(DataFrame.unionByName, each)), "column")
+    return joined.select("column", "count", "nulls", "null_pct", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def describe_text(df: DataFrame, columns: Iterable[str]) -> DataFrame:
