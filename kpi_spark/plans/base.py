@@ -12,11 +12,15 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, table), where ``table(name)`` opens one of the tables."""
+    """Registers a function of (spark, table), where ``table(name)`` opens one of the tables and ``table.path(name)`` says where it is."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+            def table(name: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+            table.path = lambda name: f"{sf_dir}/{name}.parquet"
+            return f(spark, table)
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run

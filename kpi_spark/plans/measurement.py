@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpi_spark.operators import causal, corr, its, linear, periods
+from kpi_spark.operators import causal, corr, its, linear, periods, preparation
 from kpi_spark.plans.base import query, rounded, two
+from kpi_spark.sources.scratch import scratch_path
+from kpi_spark.sources.writers import materialise
 
 _LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -75,13 +77,26 @@ def _regularised(name, model):
         return linear.fit(months, ["x1", "x2"], "y", model).coef_table(months)
 
 
+@query(
+    "m07_ridge_rounded",
+    f"""WITH s AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM ({_MONTHS})),
+        b AS (SELECT *, ((n + 1) * n * c1 / s1 - n * r * n * c2 / s2) / ((n + 1) ** 2 - (n * r) ** 2) / s1 AS b1, ((n + 1) * n * c2 / s2 - n * r * n * c1 / s1) / ((n + 1) ** 2 - (n * r) ** 2) / s2 AS b2 FROM s)
+        SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, 2) AS coef FROM b UNION ALL SELECT 'x1', round(b1, 3) FROM b UNION ALL SELECT 'x2', round(b2, 3) FROM b""",
+)
+def _(spark, table):
+    """Ridge of two standardised predictors, by its closed form."""
+    months = _months(table)
+    made = linear.fit(months, ["x1", "x2"], "y", "ridge").coef_table(months)
+    return made.withColumn("coef", F.when(F.col("term") == "intercept", F.round("coef", 2)).otherwise(F.round("coef", 3)))
+
+
 for _name, _model in (("m07_ridge", "ridge"), ("m08_lasso", "lasso"), ("m09_elastic_net", "elastic_net"), ("m10_bayesian_ridge", "bayesian_ridge"), ("m11_huber", "huber")):
     _regularised(_name, _model)
 
 
 @query("m12_random_forest")
 def _(spark, table):
-    return linear.importances(_months(table), ["x1", "x2"], "y", "random_forest", 20)
+    return linear.importances(_months(table), ["x1", "x2"], "y", "random_forest", 300)
 
 
 @query("m13_gradient_boosting")
@@ -91,7 +106,7 @@ def _(spark, table):
 
 @query("m15_bootstrap")
 def _(spark, table):
-    return linear.bootstrap(_months(table), ["x1"], "y", "period", replicates=100)
+    return linear.bootstrap(_months(table), ["x1"], "y", "period", replicates=500)
 
 
 _OLS = f"WITH m AS ({_MONTHS}), f AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM m), s AS (SELECT m.*, a, b, a + b * x1 AS f FROM m, f)"
@@ -131,13 +146,19 @@ def _(spark, table):
     return rounded(linear.durbin_watson(linear.fit(months, ["x1"], "y").augmented(months), "residual", "period"), 6, "durbin_watson")
 
 
+@query("w14_residual_histogram", f"{_OLS}, e AS (SELECT y - f AS e FROM s), r AS (SELECT min(e) AS lo, max(e) AS hi FROM e), b AS (SELECT least(29, floor((e - lo) / ((hi - lo) / 30)))::INT AS bin FROM e, r) SELECT g.bin::INT AS bin, count(b.bin) AS n FROM range(30) AS g(bin) LEFT JOIN b ON b.bin = g.bin GROUP BY 1")
+def _(spark, table):
+    months = _months(table)
+    return linear.histogram(linear.fit(months, ["x1"], "y").augmented(months), "residual").select("bin", "n")
+
+
 @query("w14_residual_quantiles")
 def _(spark, table):
-    """Residuals in order beside their plotting positions."""
+    """Residuals in order beside their plotting positions and the normal quantiles of these."""
     months = _months(table)
     scored = linear.fit(months, ["x1"], "y").augmented(months).select("residual")
     placed = periods.numbered(scored, [], "residual")
-    return placed.select("residual", ((F.col("i") + 0.5) / F.col("n")).alias("p"))
+    return linear.with_normal_quantile(placed.select("residual", ((F.col("i") + 0.5) / F.col("n")).alias("p")), "p", "normal")
 
 
 @query("m19_coef_table")
@@ -172,7 +193,8 @@ def _(spark, table):
 @query("m22_model_comparison")
 def _(spark, table):
     folds = periods.expanding_folds(_months(table), [], "period", 2)
-    return linear.compare_models(folds, ["x1", "x2"], "y", ("ols", "ridge", "elastic_net"))
+    compared = materialise(linear.compare_models(folds, ["x1", "x2"], "y", ("ols", "ridge", "lasso", "elastic_net", "bayesian_ridge", "huber")), scratch_path(spark, "compared"))
+    return compared.withColumn("chosen", F.col("model") == linear.choose_model(compared))
 
 
 def _its(table):
@@ -185,6 +207,28 @@ def _(spark, table):
     return _its(table).coefficients()
 
 
+_LINES_OF_ITS = """WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE AS period, sum(o_totalprice) AS y FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS t FROM w), b AS (SELECT min(t) AS start FROM r WHERE period >= DATE '2000-01-03'),
+        c AS (SELECT regr_intercept(y, t) FILTER (t < start) AS a0, regr_slope(y, t) FILTER (t < start) AS b0, regr_intercept(y, t) FILTER (t >= start) AS a1, regr_slope(y, t) FILTER (t >= start) AS b1 FROM r, b),
+        e AS (SELECT period, (a1 + b1 * t) - (a0 + b0 * t) AS effect FROM r, b, c WHERE t >= start)"""
+
+
+@query("m23_its_effect_points", f"{_LINES_OF_ITS} SELECT period, round(effect, 0) AS effect, round(sum(effect) OVER (ORDER BY period), 0) AS cumulative FROM e")
+def _(spark, table):
+    """A level and a slope change are the difference of two lines."""
+    return rounded(_its(table).effects().select("period", "effect", "cumulative"), 0, "effect", "cumulative")
+
+
+@query(
+    "m24_augmented",
+    f"{_LINES_OF_ITS}, x AS (SELECT date_trunc('week', o_orderdate)::DATE AS period, count(*)::DOUBLE AS n, sum(o_totalprice) AS o_totalprice FROM orders GROUP BY 1), f AS (SELECT regr_slope(o_totalprice, n) AS b, regr_intercept(o_totalprice, n) AS a FROM x) SELECT x.period, round(a + b * n, 2) AS predicted, round(o_totalprice - a - b * n, 2) AS residual, round(b * n, 2) AS contribution_n, round(effect, 0) AS event_effect FROM x CROSS JOIN f LEFT JOIN e ON e.period = x.period",
+)
+def _(spark, table):
+    """Prediction, residual and contributions beside the effect of an event."""
+    weekly = table("orders").groupBy(periods.period("o_orderdate", "W").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("o_totalprice").alias("o_totalprice"))
+    made = preparation.with_event_effect(linear.fit(weekly, ["n"], "o_totalprice"), weekly, _its(table), "period")
+    return rounded(rounded(made.select("period", "predicted", "residual", "contribution_n", "event_effect"), 2, "predicted", "residual", "contribution_n"), 0, "event_effect")
+
+
 @query("m23_its_effects")
 def _(spark, table):
     return _its(table).effects()
@@ -225,10 +269,13 @@ def _(spark, table):
     return rounded(causal.screened(_split(table).where("phase = 'pre'")), 6, "r")
 
 
+_BACKTEST = f"""{_SPLIT}, r AS (SELECT series, x, y, row_number() OVER (PARTITION BY series ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM s WHERE phase = 'pre'), c AS (SELECT *, unnest([0.55, 0.7, 0.82]) AS share FROM r), k AS (SELECT *, least(n - 2, greatest(8, floor(n * 0.45)::BIGINT, floor(n * share)::BIGINT)) AS cut, greatest(2, floor(n * 0.1)::BIGINT) AS size FROM c),
+        f AS (SELECT series, cut, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS cxy, count(*) AS m FROM k WHERE i < cut GROUP BY 1, 2), z AS (SELECT k.series, y, my, my + (m * cxy / sx) / (m + 1e-3) / sx * (x - mx) AS f FROM k JOIN f ON k.series = f.series AND k.cut = f.cut WHERE i >= k.cut AND i < k.cut + size)"""
+
+
 @query(
     "c04_backtest_single",
-    f"""{_SPLIT}, r AS (SELECT series, x, y, row_number() OVER (PARTITION BY series ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM s WHERE phase = 'pre'), c AS (SELECT *, unnest([0.55, 0.7, 0.82]) AS share FROM r), k AS (SELECT *, least(n - 2, greatest(8, floor(n * 0.45)::BIGINT, floor(n * share)::BIGINT)) AS cut, greatest(2, floor(n * 0.1)::BIGINT) AS size FROM c),
-        f AS (SELECT series, cut, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS cxy, count(*) AS m FROM k WHERE i < cut GROUP BY 1, 2), z AS (SELECT k.series, y, my, my + (m * cxy / sx) / (m + 1e-3) / sx * (x - mx) AS f FROM k JOIN f ON k.series = f.series AND k.cut = f.cut WHERE i >= k.cut AND i < k.cut + size)
+    f"""{_BACKTEST}
         SELECT series, count(*) AS n_test, round(sqrt(avg((y - f) ** 2)), 3) AS rmse, round(sqrt(avg((y - my) ** 2)), 3) AS baseline_rmse, round(avg(abs(y - f)), 3) AS mae, round(avg(y - f), 3) AS bias FROM z GROUP BY 1""",
 )
 def _(spark, table):
@@ -271,10 +318,11 @@ def _(spark, table):
     return rounded(made.select("series", "period", "effect", "cumulative", "cumulative_low"), 2, "effect", "cumulative", "cumulative_low")
 
 
-@query("c10_winner", "SELECT c_nationkey AS g, arg_min(c_custkey, (c_acctbal, c_custkey)) AS combo FROM customer GROUP BY 1")
+@query("c10_winner", f"{_BACKTEST} SELECT arg_min(series, (rmse, mae)) AS combo FROM (SELECT series, sqrt(avg((y - f) ** 2)) AS rmse, avg(abs(y - f)) AS mae FROM z GROUP BY 1)")
 def _(spark, table):
-    models = table("customer").select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("rmse"), F.lit(0.0).alias("mae"), F.col("c_custkey").alias("combo"))
-    return causal.winners(models, ["g"]).select("g", "combo")
+    """The control whose model errs least before the campaign."""
+    tested = causal.backtest_single(_split(table).where("phase = 'pre'")).withColumnRenamed("series", "combo")
+    return causal.winners(tested).select("combo")
 
 
 def _analysis(table):
@@ -309,6 +357,22 @@ def _(spark, table):
     return causal.check_split(_split(table).where("series = '2-HIGH'"), "y").select("pre", "post", "ok")
 
 
+def _declared():
+    from kpi_spark.operators import registry
+
+    return registry.Analysis("needs much", lambda df: {}, dates=1, metrics=4, dimensions=2)
+
+
+@query("x02_declared_input", "SELECT DISTINCT 'metrics: 4 needed, 3 found' AS problem FROM orders")
+def _(spark, table):
+    return spark.createDataFrame([(p,) for p in _declared().problems(table("orders"))], "problem string")
+
+
+@query("x03_parameter_options", "SELECT * FROM (VALUES ('dates', 'o_orderdate'), ('metrics', 'o_orderkey'), ('metrics', 'o_custkey'), ('metrics', 'o_totalprice'), ('dimensions', 'o_orderstatus'), ('dimensions', 'o_orderpriority')) AS t(parameter, \"column\")")
+def _(spark, table):
+    return spark.createDataFrame([(k, c) for k, cs in _declared().options(table("orders")).items() for c in cs], "parameter string, column string")
+
+
 @query("x01_registered_analysis", "SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders")
 def _(spark, table):
     from kpi_spark.operators import registry

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kpi_spark.operators import filters, geo, periods, response
+from kpi_spark.operators import filters, geo, periods, preparation, ranking, response
 from kpi_spark.plans.base import query, rounded, two
 
 
@@ -31,13 +31,12 @@ for _name, _unit, _freq in (("a20_daily", "day", "D"), ("a20_weekly", "week", "W
 
 @query(
     "a21_gaps_filled",
-    """WITH s AS (SELECT date_trunc('week', o_orderdate)::DATE AS p, sum(o_totalprice) AS v FROM orders WHERE o_custkey % 97 = 0 AND o_orderstatus = 'P' GROUP BY 1),
+    """WITH s AS (SELECT date_trunc('week', o_orderdate)::DATE AS p, o_orderstatus, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
        g AS (SELECT unnest(generate_series(min(p), max(p), INTERVAL 7 DAY))::DATE AS period FROM s)
-       SELECT period, round(coalesce(v, 0), 2) AS o_totalprice FROM g LEFT JOIN s ON p = period""",
+       SELECT period, c.o_orderstatus, round(coalesce(v, 0), 2) AS o_totalprice FROM g CROSS JOIN (SELECT DISTINCT o_orderstatus FROM s) c LEFT JOIN s ON s.p = period AND s.o_orderstatus = c.o_orderstatus""",
 )
 def _(spark, table):
-    few = table("orders").where("o_custkey % 97 = 0 and o_orderstatus = 'P'")
-    return rounded(periods.aggregate(few, "o_orderdate", "W", ["o_totalprice"], fill_gaps=True), 2, "o_totalprice")
+    return rounded(periods.aggregate(table("orders"), "o_orderdate", "W", ["o_totalprice"], ["o_orderstatus"], fill_gaps=True), 2, "o_totalprice")
 
 
 @query(
@@ -96,6 +95,27 @@ def _(spark, table):
     return periods.event_columns(table("orders").select("o_orderkey", "o_orderdate"), _events(spark), "o_orderdate", ["promo", "strike"]).drop("o_orderdate")
 
 
+@query(
+    "m25_event_columns",
+    f"SELECT event_id, value, coalesce((SELECT sum(w) FROM {_EVENT_SQL} WHERE label = 'promo' AND ts::DATE BETWEEN a AND b), 0)::DOUBLE AS promo, coalesce((SELECT sum(w) FROM {_EVENT_SQL} WHERE label = 'strike' AND ts::DATE BETWEEN a AND b), 0)::DOUBLE AS strike FROM events",
+)
+def _(spark, table):
+    return preparation.for_regression(table("events").select("event_id", "value", "ts"), _events(spark), "ts")[0].drop("ts")
+
+
+@query(
+    "m26_causal_data",
+    f"""SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN 'area ' || substr(o_orderpriority, 3) ELSE 'otros' END AS destination, round(o_totalprice, 2) AS kpi,
+        coalesce((SELECT sum(w) FROM {_EVENT_SQL} WHERE label = 'promo' AND o_orderdate::DATE BETWEEN a AND b), 0)::DOUBLE AS promo, coalesce((SELECT sum(w) FROM {_EVENT_SQL} WHERE label = 'strike' AND o_orderdate::DATE BETWEEN a AND b), 0)::DOUBLE AS strike FROM orders""",
+)
+def _(spark, table):
+    """Destinations by code, a KPI that comes as text, and event columns."""
+    orders = table("orders")
+    mapping = orders.where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("code"), F.concat(F.lit("area "), F.substring("o_orderpriority", 3, 100)).alias("destination")).distinct()
+    rows = orders.select("o_orderkey", "o_orderdate", "o_orderpriority", F.round("o_totalprice", 2).cast("string").alias("kpi"))
+    return preparation.for_impact(rows, _events(spark), "o_orderdate", ["kpi"], mapping, "o_orderpriority").drop("o_orderdate", "o_orderpriority")
+
+
 @query(
     "j07_covariates",
     "WITH m AS (SELECT date_trunc('month', l_shipdate)::DATE AS p, avg(l_discount) AS d FROM lineitem WHERE month(l_shipdate) <> 6 GROUP BY 1), o AS (SELECT date_trunc('month', o_orderdate)::DATE AS period FROM orders GROUP BY 1) SELECT period, round(coalesce(d, (SELECT avg(d) FROM m)), 8) AS l_discount FROM o LEFT JOIN m ON p = period",
@@ -145,12 +165,12 @@ def _(spark, table):
     return periods.consecutive(table("events"), "ts")
 
 
-_PAIRS = "SELECT date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS y, sum(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS x, o_orderstatus AS g FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL"
+_PAIRS = "SELECT date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS y, sum(o_totalprice) FILTER (o_orderpriority = '2-HIGH') AS x, o_orderstatus AS g FROM orders GROUP BY ALL"
 
 
 def _pairs(table):
     price = lambda p: F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice")))
-    return table("orders").where("o_orderstatus <> 'P'").groupBy(periods.period("o_orderdate", "M").alias("period"), F.col("o_orderstatus").alias("g")).agg(price("1-URGENT").alias("y"), price("2-HIGH").alias("x"))
+    return table("orders").groupBy(periods.period("o_orderdate", "M").alias("period"), F.col("o_orderstatus").alias("g")).agg(price("1-URGENT").alias("y"), price("2-HIGH").alias("x"))
 
 
 @query(
@@ -196,18 +216,18 @@ def _(spark, table):
 
 @query(
     "w11_seasonality",
-    """WITH s AS (SELECT o_orderstatus AS g, date_trunc('week', o_orderdate)::DATE AS p, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM s),
+    """WITH s AS (SELECT o_orderstatus AS g, date_trunc('week', o_orderdate)::DATE AS p, sum(o_totalprice) AS v FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM s),
        t AS (SELECT g, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM r GROUP BY 1), e AS (SELECT r.*, v - a - b * i AS e FROM r JOIN t USING (g)), c AS (SELECT *, unnest([4, 52]) AS season FROM e), k AS (SELECT * FROM c WHERE n >= 3 * season AND i < (n // season) * season),
        f AS (SELECT *, avg(e) OVER (PARTITION BY g, season, i % season) AS m FROM k) SELECT g, season, round(greatest(0, 1 - sum((e - m) ** 2) / sum(e ** 2)), 6) AS strength FROM f GROUP BY 1, 2""",
 )
 def _(spark, table):
-    weekly = periods.aggregate(table("orders").where("o_orderstatus <> 'P'"), "o_orderdate", "W", ["o_totalprice"], ["o_orderstatus"]).withColumnRenamed("o_orderstatus", "g")
+    weekly = periods.aggregate(table("orders"), "o_orderdate", "W", ["o_totalprice"], ["o_orderstatus"]).withColumnRenamed("o_orderstatus", "g")
     return rounded(periods.seasonality(weekly, ["g"], "o_totalprice", "period", [4, 52]), 6, "strength")
 
 
 @query("w12_average_ranks", "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS r FROM part")
 def _(spark, table):
-    return table("part").select("p_partkey", periods.average_rank("p_size").alias("r"))
+    return ranking.with_average_rank(table("part").select("p_partkey", "p_size"), "p_size", "r").select("p_partkey", "r")
 
 
 @query("w15_position_window", "WITH d AS (SELECT o_orderdate::DATE AS day, row_number() OVER (ORDER BY o_orderdate::DATE) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderdate::DATE AS o_orderdate FROM orders)) SELECT min(day) FILTER (i = 5) AS first, max(day) FILTER (i = least(900, n - 1)) AS last FROM d")
@@ -312,7 +332,7 @@ def _(spark, table):
 def _(spark, table):
     panel = geo.panel(table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("place", F.col("c_nationkey").cast("string")), "o_orderdate", "place", "o_totalprice")
     monthly = panel.groupBy(F.trunc("date", "month").alias("date"), "location").agg(F.sum("conversions").alias("conversions"))
-    return geo.candidates(monthly, geo.eligible(monthly), n=200, most_share=0.6, least_r2=0.0, slope_tolerance=10.0)
+    return geo.candidates(monthly, geo.eligible(monthly), n=1000, most_share=0.6)
 
 
 @query("w13_cumulative_effect", f"SELECT channel, support, date, round(sum(value) OVER w, 2) AS total, round(1.959963984540054 * sqrt(sum(investment) OVER w), 2) AS half_width FROM ({_SUPPORT}) WINDOW w AS (PARTITION BY channel, support ORDER BY date)")

@@ -16,7 +16,8 @@ from kpi_spark.sources.scratch import scratch_path
 
 @query("s01_column_subset", "SELECT l_orderkey, l_quantity, l_shipdate::DATE AS day FROM lineitem")
 def _(spark, table):
-    return table("lineitem").select("l_orderkey", "l_quantity", F.to_date("l_shipdate").alias("day"))
+    rows = sources.read_parquet(spark, table.path("lineitem"), ["l_orderkey", "l_quantity", "l_shipdate"])
+    return rows.select("l_orderkey", "l_quantity", F.to_date("l_shipdate").alias("day"))
 
 
 @query("s02_csv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -28,11 +29,11 @@ def _(spark, table):
 @query("s03_tolerant_csv", "SELECT s_suppkey, s_acctbal FROM supplier")
 def _(spark, table):
     """Rows that don't fit the schema are left out."""
-    good = table("supplier").select(F.concat_ws(",", "s_suppkey", "s_acctbal").alias("value"))
-    bad = table("supplier").select(F.concat(F.lit("x"), F.col("s_suppkey"), F.lit(",not a number")).alias("value"))
-    path = scratch_path(spark, "tolerant")
-    good.unionByName(bad).write.text(path)
-    return spark.read.option("mode", "DROPMALFORMED").schema("s_suppkey long, s_acctbal double").csv(path).select("s_suppkey", "s_acctbal")
+    text = lambda key, balance: table("supplier").select(key.alias("s_suppkey"), balance.alias("s_acctbal"))
+    key = F.col("s_suppkey").cast("string")
+    rows = text(key, F.col("s_acctbal").cast("string")).unionByName(text(F.concat(F.lit("x"), key), F.lit("not a number")))
+    path = sources.write_csv(rows, scratch_path(spark, "tolerant"))
+    return sources.read_csv(spark, path, ",", strict=False, schema="s_suppkey long, s_acctbal double").select("s_suppkey", "s_acctbal")
 
 
 @query("s04_split_csv_rows", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
@@ -61,7 +62,7 @@ def _(spark, table):
     return sources.sql(spark, "SELECT n_name, count(*) AS customers FROM kpi_customer JOIN kpi_nation ON c_nationkey = n_nationkey GROUP BY 1")
 
 
-@query("s08_schema_table")
+@query("s08_schema_table", "SELECT CAST(ordinal_position - 1 AS INT) AS position, column_name AS \"column\", CASE WHEN data_type = 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE replace(replace(lower(data_type), 'varchar', 'string'), 'integer', 'int') END AS type FROM information_schema.columns WHERE table_name = 'lineitem'")
 def _(spark, table):
     return sources.schema_table(table("lineitem"))
 
@@ -76,8 +77,8 @@ def _(spark, table):
 
 @query("s10_lazy_open", "SELECT count(*) AS n, least(200, count(*)) AS preview FROM events")
 def _(spark, table):
-    events = table("events")
-    return events.agg(F.count(F.lit(1)).alias("n")).crossJoin(events.limit(200).agg(F.count(F.lit(1)).alias("preview")))
+    opened = sources.open_lazy(spark, table.path("events"))
+    return opened.preview.agg(F.count(F.lit(1)).alias("preview")).select(F.lit(opened.rows).cast("long").alias("n"), "preview")
 
 
 @query("s11_csv_to_parquet", "SELECT c_nationkey, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
@@ -88,7 +89,7 @@ def _(spark, table):
 
 @query("s12_row_count", "SELECT count(*) AS n FROM lineitem")
 def _(spark, table):
-    return table("lineitem").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(sources.row_count(table("lineitem")),)], "n long")
 
 
 @query("k02_tsv_export", "SELECT p_partkey, p_brand, p_size FROM part")
@@ -167,11 +168,11 @@ def _(spark, table):
 
 @query(
     "t06_date_coercion",
-    "SELECT DISTINCT month(o_orderdate) AS m, make_date(2024, month(o_orderdate)::INT, 1) AS by_month, make_date(year(o_orderdate)::INT, 1, 1) AS by_year, make_date(2024, (quarter(o_orderdate)::INT - 1) * 3 + 1, 1) AS by_quarter, (DATE '2024-01-01' + ((weekofyear(o_orderdate) - 1) * 7)::INT)::DATE AS by_week FROM orders WHERE weekofyear(o_orderdate) <= 52",
+    "SELECT DISTINCT month(o_orderdate) AS m, make_date(2024, month(o_orderdate)::INT, 1) AS by_month, make_date(year(o_orderdate)::INT, 1, 1) AS by_year, make_date(2024, (quarter(o_orderdate)::INT - 1) * 3 + 1, 1) AS by_quarter, CASE WHEN weekofyear(o_orderdate) <= 52 THEN (DATE '2024-01-01' + ((weekofyear(o_orderdate) - 1) * 7)::INT)::DATE END AS by_week FROM orders",
 )
 def _(spark, table):
     d = F.col("o_orderdate")
-    rows = table("orders").where(F.weekofyear(d) <= 52).select(F.month(d).cast("long").alias("m"), F.month(d).alias("mes"), F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.weekofyear(d).alias("week"))
+    rows = table("orders").select(F.month(d).cast("long").alias("m"), F.month(d).alias("mes"), F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.weekofyear(d).alias("week"))
     to = lambda c: typ.coerce_date(F.col(c), c, True, 2024).cast("date")
     return rows.select("m", to("mes").alias("by_month"), to("year").alias("by_year"), to("quarter").alias("by_quarter"), to("week").alias("by_week")).distinct()
 
@@ -192,13 +193,16 @@ def _(spark, table):
     return typ.parse_dates(rows, 2024).select("event_id", F.to_date("fecha").alias("day"))
 
 
-@query("t08_date_columns")
+@query("t08_date_columns", "SELECT 'o_orderdate' AS \"column\" UNION ALL SELECT 'fecha_texto' FROM orders GROUP BY ALL HAVING count(o_orderdate) > 0")
 def _(spark, table):
     found = typ.date_columns(table("orders").withColumn("fecha_texto", F.col("o_orderdate").cast("string")))
     return spark.createDataFrame([(c,) for c in found], "column string")
 
 
-@query("t09_semantic_types")
+_KIND = "SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) < 0.2 * count({c}) THEN 'categorica' ELSE 'texto' END AS kind FROM orders"
+
+
+@query("t09_semantic_types", "SELECT 'o_orderkey' AS \"column\", 'numero' AS kind UNION ALL SELECT 'o_custkey', 'numero' UNION ALL SELECT 'o_totalprice', 'numero' UNION ALL SELECT 'o_orderdate', 'fecha' UNION ALL " + " UNION ALL ".join(_KIND.format(c=c) for c in ("o_orderstatus", "o_orderpriority")))
 def _(spark, table):
     return spark.createDataFrame(list(typ.detect_types(table("orders")).items()), "column string, kind string")
 
@@ -333,6 +337,30 @@ def _(spark, table):
     return filters.systematic_sample(table("orders"), "o_orderkey", 100).select("o_orderkey")
 
 
+@query("p18_every_kth", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i % greatest(1, ceil(n / 500.0)::BIGINT) = 0")
+def _(spark, table):
+    return filters.every_kth(table("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500)
+
+
+@query("p13_dates_first", "SELECT * FROM (VALUES (0, 'o_orderdate'), (1, 'o_orderkey'), (2, 'o_custkey'), (3, 'o_orderstatus'), (4, 'o_totalprice'), (5, 'o_orderpriority')) AS t(position, \"column\")")
+def _(spark, table):
+    return spark.createDataFrame(list(enumerate(sorting.dates_first(table("orders")).columns)), "position int, column string")
+
+
+@query("p19_column_roles", "SELECT * FROM (VALUES ('date', 'order_date'), ('region', 'region'), ('kpi', 'sales'), ('market', 'market'), ('investment', NULL), ('channel', 'channel')) AS t(role, \"column\")")
+def _(spark, table):
+    rows = table("orders").select(F.col("o_orderpriority").alias("channel"), F.col("o_totalprice").alias("sales"), F.col("o_orderdate").alias("order_date"), F.col("o_custkey").alias("region"), F.col("o_orderstatus").alias("market"))
+    return spark.createDataFrame(list(filters.suggest_roles(rows).items()), "role string, column string")
+
+
+@query("t04_suspicious_columns", "SELECT 'code' AS \"column\", 1.0::DOUBLE AS share UNION ALL SELECT 'mixed', round(count(*) FILTER (p_partkey % 5 <> 0) / count(*)::DOUBLE, 6) FROM part")
+def _(spark, table):
+    """Text that is mostly numbers but would lose something as numbers."""
+    key = F.col("p_partkey").cast("string")
+    rows = table("part").select(F.lpad(key, 12, "0").alias("code"), F.when(F.col("p_partkey") % 5 == 0, "none given").otherwise(key).alias("mixed"), "p_name", key.alias("plain"))
+    return rounded(spark.createDataFrame(list(typ.suspicious(rows).items()), "column string, share double"), 6, "share")
+
+
 @query("p18_seeded_sample")
 def _(spark, table):
     return filters.seeded_sample(table("orders"), "o_orderkey", 50).select("o_orderkey")
@@ -363,9 +391,9 @@ def _(spark, table):
     return combine.merge([counts("customer", "c_nationkey"), counts("supplier", "s_nationkey"), third], ["k"], "outer")
 
 
-@query("j01_inner_chain", "SELECT o_orderkey, o_totalprice, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
+@query("j01_inner_chain", "SELECT o_orderkey, o_totalprice, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def _(spark, table):
-    lines = table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    lines = table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
     return combine.merge([table("orders").select("o_orderkey", "o_totalprice"), lines], ["o_orderkey"])
 
 
@@ -635,9 +663,9 @@ def _(spark, table):
     return profile.distinct_estimate(table("lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
-@query("f11_descriptive_report", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS nulls, round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_pct, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3, max({c})::DOUBLE AS max FROM orders" for c in ("o_totalprice",)))
+@query("f11_descriptive_report", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS nulls, round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_pct, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3, max({c})::DOUBLE AS max FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
 def _(spark, table):
-    return rounded(profile.describe(table("orders"), ["o_totalprice"]), 4, "null_pct", "mean", "std", "q1", "median", "q3")
+    return rounded(profile.describe(table("orders")), 4, "null_pct", "mean", "std", "q1", "median", "q3")
 
 
 @query("f11_descriptive_text", """SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique", arg_min(value, (-n, value)) AS top, max(n) AS freq FROM (SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY ALL) GROUP BY 1""")
@@ -651,12 +679,12 @@ def _(spark, table):
     return profile.mapping_coverage(filters.map_codes(table("customer"), "c_nationkey", mapping, "destination"), "destination")
 
 
-@query("f13_column_kinds")
+@query("f13_column_kinds", "SELECT CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'fecha' WHEN data_type = 'VARCHAR' THEN 'categorica' ELSE 'numero' END AS kind, count(*) AS columns FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1")
 def _(spark, table):
     return profile.column_kinds(table("lineitem"))
 
 
-@query("f14_filterable_columns")
+@query("f14_filterable_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM lineitem HAVING count(DISTINCT {c}) BETWEEN 2 AND {n}" for c, n in (("l_orderkey", 200), ("l_partkey", 200), ("l_suppkey", 200), ("l_linenumber", 200), ("l_quantity", 200), ("l_extendedprice", 200), ("l_discount", 200), ("l_tax", 200), ("l_returnflag", 500), ("l_linestatus", 500))))
 def _(spark, table):
     return profile.filterable(table("lineitem")).select("column")
 
