@@ -143,15 +143,20 @@ def _licenses_sql() -> str:
     """Every phrase looked for at every word."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     phrases = sorted({p for t in licenses.TEMPLATES for p in t.phrases})
-    places = ", ".join(f"[i FOR i IN range(len(ws) - {len(p.split()) - 1}) IF ws[i + 1] = {quoted(p.split()[0])} AND ws[i + 1:i + {len(p.split())}] = [{', '.join(map(quoted, p.split()))}]] AS p{k}" for k, p in enumerate(phrases))
-    share = {t.label: "(" + " + ".join(f"(len(p{phrases.index(p)}) > 0)::INT" for p in t.phrases) + f") / {len(t.phrases)}.0" for t in licenses.TEMPLATES}
-    labels = lambda some: "coalesce(array_to_string(list_sort([x FOR x IN [" + ", ".join(f"CASE WHEN {share[t.label]} = 1 THEN {quoted(t.label)} END" for t in some) + "] IF x IS NOT NULL]), ','), '')"
+    stands = {p: "(" + " AND ".join(f"w{k} = {quoted(w)}" for k, w in enumerate(p.split())) + ")" for p in phrases}
+    following = ", ".join(f"lead(w0, {k}) OVER o AS w{k}" for k in range(1, max(len(p.split()) for p in phrases)))
+    counts = ", ".join(f"count(*) FILTER ({stands[p]}) AS p{k}" for k, p in enumerate(phrases))
     base = [t for t in licenses.TEMPLATES if t.base]
-    starts = "flatten([" + ", ".join(f"p{phrases.index(p)}" for t in base for p in t.phrases) + "])"
+    any_base = " OR ".join(stands[p] for t in base for p in t.phrases)
+    share = {t.label: "(" + " + ".join(f"(coalesce(p{phrases.index(p)}, 0) > 0)::INT" for p in t.phrases) + f") / {len(t.phrases)}.0" for t in licenses.TEMPLATES}
+    labels = lambda some: "coalesce(array_to_string(list_sort([x FOR x IN [" + ", ".join(f"CASE WHEN {share[t.label]} = 1 THEN {quoted(t.label)} END" for t in some) + "] IF x IS NOT NULL]), ','), '')"
+    n_base = " + ".join(f"coalesce(p{phrases.index(p)}, 0)" for t in base for p in t.phrases)
     return f"""
-WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents), f AS (SELECT doc_id, len(ws) AS n, {places} FROM d)
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len({starts}) AS BIGINT) AS n_base, CAST(list_min({starts}) AS BIGINT) AS first_word, CAST(list_max({starts}) AS BIGINT) AS last_word,
-       {labels(base)} AS base_labels, {labels(licenses.TEMPLATES)} AS labels, CAST(greatest({", ".join(share.values())}) AS DOUBLE) AS score FROM f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w0, unnest(range(len(ws))) AS i FROM d),
+     l AS (SELECT *, {following} FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     c AS (SELECT doc_id, {counts}, min(i) FILTER ({any_base}) AS first_word, max(i) FILTER ({any_base}) AS last_word FROM l GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({n_base} AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       {labels(base)} AS base_labels, {labels(licenses.TEMPLATES)} AS labels, CAST(greatest({", ".join(share.values())}) AS DOUBLE) AS score FROM d LEFT JOIN c USING (doc_id)"""
 
 
 def _secrets_sql() -> str:
