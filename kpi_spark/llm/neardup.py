@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from kpi_spark.llm import bloom
 from kpi_spark.llm import kernels as K
-from kpi_spark.llm.components import components
+from kpi_spark.llm.components import components, merged
 from kpi_spark.llm.store import Tables
 
 #: Chance to miss a link at the threshold by all bands; standard deviations below it at which the bits still let a pair through.
@@ -172,8 +172,8 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets' similarity is at least ``share`` percent."""
-    ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids")
+    """The pairs (a, b, and the components p and q of the two) whose full sets' similarity is at least ``share`` percent; a pair may come twice."""
+    ids = tables.put(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{label}-ids", rows=2 * pairs.count())
     sets = tables.put(_sets(docs, ids, shingle), f"{label}-sets", BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +186,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, table
                     both.sort(kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                     keep[k] = 100 * common >= share * (len(x) + len(y) - common) > 0
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "p", "q"]).filter(pa.array(keep))
 
     side = lambda key, name: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name))
-    joined = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
-    out = tables.put(joined.mapInArrow(run, "a long, b long").distinct(), f"{label}-links", BATCH)
+    joined = pairs.select("a", "b", "p", "q").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    out = tables.put(joined.mapInArrow(run, "a long, b long, p long, q long"), f"{label}-links", BATCH)
     tables.drop(f"{label}-sets", f"{label}-ids")
     return out
 
@@ -224,45 +224,45 @@ def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int, schem
     x, y = (sketch.select(F.col("node").alias(k), *bits).alias(k) for k in "ab")
     close = spokes.join(x, "a").join(y, "b").select("a", "b", scheme.agreeing("a", "b").alias("agreeing")).where(F.col("agreeing") >= enough)
     close = tables.put(close, "close")
+    n = close.count()
     # each end's best partner is enough to bring most of a group together
     ends = close.union(close.select("b", "a", "agreeing")).groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
-    tried = tables.put(ends.select(*pair("a", "b")).distinct(), "tried-0")
-    links = _verified(tried, docs, shingle, percent, tables, "round-0")
-    found = tables.put(components(links, tables, "cc-0"), "components-0")
+    tried = tables.put(ends.select(*pair("a", "b")).distinct(), "tried-0", rows=2 * n)
+    links = _verified(tried.withColumn("p", F.col("a")).withColumn("q", F.col("b")), docs, shingle, percent, tables, "round-0")
+    found = tables.put(components(links, tables, "cc-0", 2 * n), "components-0", rows=4 * n)
     # then the best pair of each member and each other component
     place = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
     apart = close.join(place("a"), "a", "left").join(place("b"), "b", "left").select("a", "b", "agreeing", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
-    ends = apart.union(apart.select("b", "a", "agreeing", "of_b", "of_a")).groupBy("a", "of_b").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
-    more = tables.put(ends.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "more-0")
-    tried = tried.union(more)
-    links = links.union(_verified(more, docs, shingle, percent, tables, "round-0b"))
-    k = 0
+    ends = apart.union(apart.select("b", "a", "agreeing", "of_b", "of_a")).groupBy("a", "of_a", "of_b").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
+    between = lambda p, q: (F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))
+    more = tables.put(ends.select(*pair("a", "b"), *between("of_a", "of_b")).distinct().join(tried, ["a", "b"], "left_anti"), "more-0", rows=2 * n)
+    tried = tried.union(more.select("a", "b"))
+    found = merged(found, _verified(more, docs, shingle, percent, tables, "round-0b"), tables, "cc-0b")
+    k, size = 0, members.count()
     while True:
-        found = tables.put(components(links, tables, f"cc-0b-{k}"), f"components-0b-{k}")
         k += 1
-        placed = tables.put(members.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), f"placed-{k}")
+        placed = tables.put(members.select("key", "band", "node").join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), f"placed-{k}", rows=size)
         # the component of most members of a bucket is compared with the others only
         sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         shared = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"))
         open_keys = shared.where("parts > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("deal"))
-        open_ = tables.put(placed.join(tables.put(open_keys, f"main-{k}"), "key").join(sketch, "node"), f"open-{k}")
+        open_ = tables.put(placed.join(tables.put(open_keys, f"main-{k}", rows=size), "key").join(sketch, "node"), f"open-{k}")
         x = open_.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")).alias("x")
         y = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).alias("y")
         across = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
         pairs = x.join(y, across & (scheme.agreeing("x", "y") >= enough) & first).select(
-            *pair("x.node", "y.node"), F.least("x.component", "y.component").alias("p"), F.greatest("x.component", "y.component").alias("q"), scheme.agreeing("x", "y").alias("agreeing")
+            *pair("x.node", "y.node"), *between("x.component", "y.component"), scheme.agreeing("x", "y").alias("agreeing")
         )
         pairs = tables.put(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"left-{k}")
         rows = pairs.count()
         if not rows:
             break
         if best := rows > MANY:
-            pairs = tables.put(pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")).select("a", "b"), f"best-{k}")
-        links = links.union(_verified(pairs, docs, shingle, percent, tables, f"round-{k}"))
+            pairs = tables.put(pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")), f"best-{k}", rows=rows)
+        found = merged(found, _verified(pairs, docs, shingle, percent, tables, f"round-{k}"), tables, f"cc-{k}")
         tables.drop(f"placed-{k}", f"main-{k}", f"open-{k}")
         if not best:  # every pair across components has been tried
-            found = tables.put(components(links, tables, f"cc-{k}"), f"components-{k}")
             break
         tried = tables.put(tried.select("a", "b").union(pairs.select("a", "b")), f"tried-{k}")
     labels = tables.put(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "labels")

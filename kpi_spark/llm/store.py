@@ -15,6 +15,13 @@ from contextlib import contextmanager, nullcontext
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Narrow rows (a few longs each) that one task works on before a further one is worth its start.
+PER_TASK = 50_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than about so many narrow rows are worth; many rows stay as they are dealt."""
+    return df.coalesce(rows // PER_TASK + 1)
 
 
 def folder(spark: SparkSession) -> str:
@@ -47,8 +54,13 @@ class Tables:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.names = spark, f"{folder(spark)}/tables/{label}-{uuid.uuid4().hex[:12]}", set()
 
-    def put(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-        """Writes ``df`` and returns what was written.  batch: rows that go to Python at once, where the session's number is too many."""
+    def put(self, df: DataFrame, name: str, batch: int | None = None, rows: int | None = None) -> DataFrame:
+        """Writes ``df`` and returns what was written.
+
+        batch: rows that go to Python at once, where the session's number is too many.
+        rows: how many there are at most, where they are narrow and this is known.
+        """
+        df = df if rows is None else few_tasks(df, rows)
         path = f"{self.root}/{name}"
         with small_batches(self.spark, batch) if batch else nullcontext():
             df.write.mode("overwrite").parquet(path)

@@ -118,6 +118,18 @@ def test_components(spark):
     assert components.components(df.limit(0), Tables(spark, "t")).count() == 0
 
 
+def test_merged_components(spark):
+    """Components joined by links between them are those of all links together; unknown nodes are components of their own."""
+    tables = Tables(spark, "t")
+    first, more = [(1, 2), (3, 4), (5, 6), (20, 21)], [(1, 3), (3, 5), (7, 8), (5, 9), (1, 3)]
+    found = components.components(spark.createDataFrame(first, "a long, b long"), tables)
+    joined = components.merged(found, spark.createDataFrame(more, "p long, q long"), tables, "more")
+    whole = components.components(spark.createDataFrame(first + more, "a long, b long"), tables, "whole")
+    assert sorted(map(tuple, joined.select("node", "component").collect())) == sorted(map(tuple, whole.select("node", "component").collect()))
+    none = spark.createDataFrame([], "p long, q long")
+    assert components.merged(found, none, tables, "none").count() == 8
+
+
 def test_bloom_has_no_false_negatives(spark):
     import numpy as np
 
