@@ -12,15 +12,16 @@ it belongs to; :func:`dedup` keeps one document of each group.
    counts of the packed bits, can reach the threshold the best ones of each member are
    verified on the full sets (64-bit hashes of all shingles, from another pass that a
    Bloom filter of the ids narrows).  The verified links' components follow.
-3. What hubs leave apart: in buckets that still hold several components, members are
-   compared across components (bits only, inside the join, each pair in the first bucket
+3. What hubs leave apart: members of buckets that still hold several components get a
+   longer sketch (2048 slots), and are compared across components (bits only, inside the
+   join, the longer ones where the first let a pair through, each pair in the first bucket
    that it shares) and verified like those.  Pairs inside a component are never
    formed, and no link between different texts is given up.  A bucket of very many open
    members is shared out by member in parts of ``PART``.  Where very many pairs are
    open, the best one of each member and other component goes first.
 
 Bands are as many as leave a link at the threshold unseen with a chance under ``MISS``;
-bits reject one with about 3e-6.
+bits reject one with about 3e-6, the longer ones with as much again.
 
 Defined results: texts that are null or have no words have an empty set and are linked
 with nothing; a null id belongs to no group (component null) and stays in
@@ -32,7 +33,7 @@ other columns pass through :func:`dedup` untouched.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,17 +58,22 @@ PART = 2000
 
 @dataclass(frozen=True)
 class Scheme:
-    """Sketches of ``slots`` minima: ``bits`` bits of each (mixed) one from bit ``shift`` on, and bands of ``rows`` of them."""
+    """Sketches of ``slots`` minima: ``bits`` bits of each (mixed) one from bit ``shift`` on, and bands of ``rows`` of them.
+
+    seed: of the permutations.  label: what the columns' names begin with.
+    """
 
     slots: int
     bits: int
     rows: int
     shift: int = 0
+    seed: int = 1
+    label: str = "s"
 
     @property
     def names(self) -> list[str]:
         """The columns of the packed bits."""
-        return [f"s{i}" for i in range(self.slots * self.bits // 64)]
+        return [f"{self.label}{i}" for i in range(self.slots * self.bits // 64)]
 
     def bands(self, threshold: float) -> int:
         return min(self.slots // self.rows, math.ceil(math.log(MISS) / math.log(1 - threshold**self.rows)))
@@ -111,6 +117,8 @@ class Scheme:
 
 #: b-bit MinHash: two bits of each of 512 minima, bands of six.
 B_BIT = Scheme(512, 2, 6)
+#: Bits of more minima, for members of buckets that hubs leave apart; they have no bands.
+LONGER = Scheme(2048, 2, 6, seed=2, label="m")
 
 
 def row_sets(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +142,16 @@ def digests(values: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
+def _digests(values: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    """The two digests of each row's set."""
+    return [pa.array(digests(values, begin, s).view(np.int64)) for s in (0, 0x5BD1E995)]
+
+
 def _sketches(docs: DataFrame, shingle: int, bands: int, scheme: Scheme) -> DataFrame:
     schema = "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in scheme.names) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permutations = K.Permutations(scheme.slots)
+        permutations = K.Permutations(scheme.slots, scheme.seed)
         for batch in batches:
             buf, off = K.text_buffer(batch.column("text"))
             for i, j in K.pieces(off):
@@ -147,16 +160,17 @@ def _sketches(docs: DataFrame, shingle: int, bands: int, scheme: Scheme) -> Data
                 bits, keys = scheme.packed(scheme.lanes(minima)).view(np.int64), scheme.keys(minima, bands).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(begin)), *(pa.array(digests(values, begin, s).view(np.int64)) for s in (0, 0x5BD1E995)), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), lists],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(begin)), *_digests(values, begin), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), lists],
                     ["doc_id", "n_shingles", "d1", "d2", *scheme.names, "bands"],
                 )
 
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles: binary, sorted 64-bit hashes) of the documents whose id may be among ``ids``."""
+def _of_some(docs: DataFrame, ids: DataFrame, shingle: int, schema: str, made: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """doc_id and what is made of the shingle sets (hashes, first of each row) of the documents whose id may be among ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom.build(F.col("node"), ids))
+    names = ["doc_id", *(column.split()[0] for column in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +178,29 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             batch = batch.take(pa.array(wanted))
             buf, off = K.text_buffer(batch.column("text"))
             for i, j in K.pieces(off):
-                values, begin = row_sets(*K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], K.NONSPACE), shingle)
-                out = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(values)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), out], ["doc_id", "shingles"])
+                out = made(*row_sets(*K.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], K.NONSPACE), shingle))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *out], names)
+
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"doc_id long, {schema}")
 
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, shingles binary")
+
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingles: binary, sorted 64-bit hashes) of the documents whose id may be among ``ids``."""
+
+    def made(values: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+        return [pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((begin * 8).astype(np.int32)), pa.py_buffer(values)])]
+
+    return _of_some(docs, ids, shingle, "shingles binary", made)
+
+
+def _longer(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, d1, d2: digests of the set, the bits of ``LONGER``) of the documents whose id may be among ``ids``."""
+
+    def made(values: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+        bits = LONGER.packed(LONGER.lanes(K.Permutations(LONGER.slots, LONGER.seed).minima(values, begin))).view(np.int64)
+        return [*_digests(values, begin), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)]
+
+    return _of_some(docs, ids, shingle, "d1 long, d2 long, " + ", ".join(f"{s} long" for s in LONGER.names), made)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, tables: Tables, label: str) -> DataFrame:
@@ -246,12 +278,19 @@ def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int, schem
         sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         shared = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"))
         open_keys = shared.where("parts > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("deal"))
-        open_ = tables.put(placed.join(tables.put(open_keys, f"main-{k}", rows=size), "key").join(sketch, "node"), f"open-{k}")
+        waiting = tables.put(placed.join(tables.put(open_keys, f"main-{k}", rows=size), "key"), f"waiting-{k}", rows=size)
+        if waiting.isEmpty():
+            break
+        if k == 1:  # later rounds' open buckets are among these
+            apart = tables.put(waiting.select("node").distinct(), "apart", rows=size)
+            bits_of = tables.put(_longer(docs, apart, shingle), "longer", BATCH).dropDuplicates(["doc_id", "d1", "d2"])
+            both = tables.put(reps.join(bits_of, ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("node"), "bands", *bits, *LONGER.names), "both")
+        open_ = tables.put(waiting.join(both, "node"), f"open-{k}")
         x = open_.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")).alias("x")
         y = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).alias("y")
         across = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
-        pairs = x.join(y, across & (scheme.agreeing("x", "y") >= enough) & first).select(
+        pairs = x.join(y, across & (scheme.agreeing("x", "y") >= enough) & (LONGER.agreeing("x", "y") >= LONGER.least(threshold)) & first).select(
             *pair("x.node", "y.node"), *between("x.component", "y.component"), scheme.agreeing("x", "y").alias("agreeing")
         )
         pairs = tables.put(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"left-{k}")
@@ -261,7 +300,7 @@ def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int, schem
         if best := rows > MANY:
             pairs = tables.put(pairs.groupBy("a", "p", "q").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")), f"best-{k}", rows=rows)
         found = merged(found, _verified(pairs, docs, shingle, percent, tables, f"round-{k}"), tables, f"cc-{k}")
-        tables.drop(f"placed-{k}", f"main-{k}", f"open-{k}")
+        tables.drop(f"placed-{k}", f"main-{k}", f"waiting-{k}", f"open-{k}")
         if not best:  # every pair across components has been tried
             break
         tried = tables.put(tried.select("a", "b").union(pairs.select("a", "b")), f"tried-{k}")
