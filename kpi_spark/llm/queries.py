@@ -12,11 +12,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpi_spark.llm import bpe, chat, decontam, fingerprints, licenses, neardup, pii, quality, secrets, urls
+from kpi_spark.llm import bpe, chat, decontam, fingerprints, licenses, neardup, packing, pii, quality, secrets, spelling, trie, urls
 from kpi_spark.llm.store import Tables
 
 #: Name of the rank file of the byte-level encoder.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The ranks of byte_bpe_50k.json, for packing.
+PACKED_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +122,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, secrets.BASE), F.sha2(_digest(base).cast("binary"), 256).alias("base_sha256"), _digest(F.col("secrets")).alias("spans"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a sequence of 2048 tokens."""
+    tables = Tables(spark, "op11")
+    parts = tables.put(packing.pieces(documents(spark, sf_dir), rank_lines(PACKED_VOCABULARY)), "pieces")
+    return packing.pack(parts, tables).drop("row", "certified")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations' prefixes."""
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), Tables(spark, "op12"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, its more frequent form at one edit and that chain's end."""
+    return spelling.group(documents(spark, sf_dir), Tables(spark, "op13"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licenses": op2_licenses,
@@ -131,6 +150,9 @@ QUERIES = {
     "op8_bbit_near_dedup": op8_bbit_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_secrets": op10_secrets,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
