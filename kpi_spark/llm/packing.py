@@ -11,8 +11,8 @@ than a sequence; :func:`pack` puts the pieces into as few sequences as it can.
    Fekete and Schepers, each with all its parameters) give a lower bound of a partition's
    number of sequences from its counts of lengths.  A partition that meets its bound is certified.
 3. Partitions with a gap hand over the pieces of all sequences that aren't full, certified ones those
-   of their emptiest sequence.  These are dealt anew, to fewer partitions, and packed again.  A new
-   packing counts if it is shorter than what was handed over; else the old one
+   of sequences with more than ``SLACK`` of their room free and of their emptiest one (what one partition
+   has too much of, another may lack).  These are dealt anew and packed again.  A new packing counts if it is shorter than what was handed over; else the old one
    stays and the rounds end.  They also end with a single partition, or when the bound
    of all pieces together is met, at the latest after ``ROUNDS``.
 
@@ -38,8 +38,8 @@ from kpi_spark.llm import bpe
 from kpi_spark.llm import kernels as K
 from kpi_spark.llm.store import Tables
 
-#: Ids of a sequence, the id behind each document, pieces of a partition, and rounds at most.
-CAPACITY, END, PART, ROUNDS = 2048, 0, 200_000, 6
+#: Ids of a sequence, the id behind each document, pieces of a partition, rounds at most, and the share of a certified sequence that may stay free.
+CAPACITY, END, PART, ROUNDS, SLACK = 2048, 0, 200_000, 6, 1 / 16
 #: Largest parameter of the rounding family.
 STEPS = 100
 
@@ -168,7 +168,7 @@ def _packed(pool: DataFrame, n: int, number: int, capacity: int, part: int) -> t
         lengths = table["length"].to_numpy()
         own, offset, free = best_fit(lengths, capacity)
         certified = len(free) == lower_bound(np.bincount(lengths, minlength=capacity + 1))
-        given = np.arange(len(free)) == np.argmax(free) if certified else free > 0
+        given = (free > SLACK * capacity) | (np.arange(len(free)) == np.argmax(free)) if certified else free > 0
         base = number << 56 | table["part"][0].as_py() << 28
         more = [pa.array(base + own), pa.array(offset), pa.array(np.full(len(own), certified)), pa.array(given[own]), pa.array(offset == 0)]
         return pa.table(table.drop_columns("part").columns + more, names=[f.split()[0] for f in schema.split(", ")])

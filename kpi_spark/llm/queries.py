@@ -160,6 +160,9 @@ _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _NONSPACE = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
+#: CRC-32 of a list of bytes, a bit at a time.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"
+
 
 def _licenses_sql() -> str:
     """Every phrase looked for at every word."""
@@ -212,6 +215,32 @@ SELECT page_id, host, path, {case(str)} END AS rule, {case(lambda r: r.verdict)}
 
 
 ORACLE: dict[str, str] = {
+    "op12_prefix_trie": f"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+            [coalesce(role, ''), coalesce(text, '')] AS x, length(coalesce(text, '')) AS n_chars FROM conversations WHERE conv_id IS NOT NULL),
+     s AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_CRC.format(bytes="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)")} % 6 AS h FROM t GROUP BY conv_id),
+     c AS (SELECT s.conv_id, s.base, s.n, s.h, least(s.h, coalesce(b.n, 0)) AS head FROM s LEFT JOIN s AS b ON b.conv_id = s.base),
+     r AS (SELECT c.conv_id, t.p, t.x, t.n_chars FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.head UNION ALL SELECT c.conv_id, t.p - c.h + c.head, t.x, t.n_chars FROM c JOIN t USING (conv_id) WHERE t.p > c.h),
+     k AS (SELECT conv_id, p AS depth, md5(CAST(list(x) OVER o AS VARCHAR)) AS k, n_chars FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+     m AS (SELECT conv_id, depth, k, n_chars, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM k UNION ALL SELECT conv_id, 0, 'root', 0, NULL FROM s),
+     n AS (SELECT k, depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(n_chars) AS saved FROM m GROUP BY k, depth),
+     v AS (SELECT n.*, (SELECT count(*) FROM n AS y WHERE y.parent = n.k) AS n_children FROM n),
+     u AS (SELECT m.k, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM v JOIN m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.k),
+     e AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(k, depth) AS k FROM m GROUP BY conv_id) GROUP BY k)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN u USING (k) LEFT JOIN e USING (k) LEFT JOIN n AS a ON a.k = v.parent""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+     d AS (SELECT w, count(*) AS n, {_CRC.format(bytes="flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))")} AS h FROM w GROUP BY doc_id, w),
+     t AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM d),
+     v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     i AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+     x AS (SELECT DISTINCT i.word, i.n, v.word AS other, v.n AS m FROM i JOIN v ON v.word = i.rest),
+     p AS (SELECT * FROM x UNION ALL SELECT other, m, word, n FROM x UNION ALL SELECT a.word, a.n, b.word, b.n FROM i AS a JOIN i AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+     f AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other COLLATE C) AS form, max(m) AS form_n FROM p GROUP BY word, n),
+     l AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word)),
+     r AS (SELECT word, word AS root FROM l UNION ALL SELECT r.word, l.form FROM r JOIN l ON l.word = r.root WHERE l.form IS NOT NULL)
+SELECT l.word, form, root, n, n_near, form_n FROM l JOIN (SELECT word, arg_min(root, k) AS root FROM (SELECT r.word, root, form IS NOT NULL AS k FROM r JOIN l ON l.word = r.root) GROUP BY word) USING (word)""",
     "op2_licenses": _licenses_sql(),
     "op9_url_filter": _urls_sql(),
     "op10_secrets": _secrets_sql(),
