@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,32 @@ CAPACITY, END, PART, ROUNDS, SLACK = 2048, 0, 200_000, 6, 1 / 16
 #: Largest parameter of the rounding family.
 STEPS = 100
 
+#: Bytes of a pre-token up to which the library merges it (its time grows with the square), longer ones go through the rank queue.
+SHORT = 256
+_ENCODERS: dict[int, bpe.Encoder] = {}
+
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Encoder(bpe.Encoder):
+    """The batch encoder, whose new pre-tokens are merged by a library."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__(ranks)
+        self.library = tiktoken.Encoding("pre-tokens", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        return self.library._encode_single_piece(piece) if len(piece) <= SHORT else super().encode_piece(piece)
+
+
+def _encoder(key: int, rank_lines: str) -> _Encoder:
+    """One per Python worker and vocabulary, so that its cache outlives a task."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = _Encoder(bpe.load_ranks(rank_lines))
+    return _ENCODERS[key]
+
+
 def _cut(ids: np.ndarray, begin: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
     """(row, piece, start, length, crc32) of the pieces of rows whose ids stand one behind the other."""
     size = np.diff(begin)
@@ -69,7 +93,7 @@ def pieces(docs: DataFrame, rank_lines: str, capacity: int = CAPACITY, end: int
     key = hash(rank_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe._ENCODERS.get(key) or bpe._encoder(key, bpe.load_ranks(shared.value))
+        encoder = _encoder(key, shared.value)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             buf, off = K.text_buffer(batch.column(1))
