@@ -196,10 +196,10 @@ def every_kth(df: DataFrame, key: str, most: int) -> DataFrame:
 
     Rows of one key stay in one range of the count that finds the places.
     """
-    counts = value_counts(df, key)
-    total = counts.agg(F.sum("n").alias("_rows"))
-    numbered = df.withColumn("_among", F.row_number().over(Window.partitionBy(key).orderBy(*(c for c, t in df.dtypes if c != key and not t.startswith("map")))))
-    placed = numbered.join(counts.select(F.col("value").alias("_value"), F.col("before").alias("_before")), F.col(key).cast("double") == F.col("_value")).crossJoin(F.broadcast(total))
+    rest = [c for c, t in df.dtypes if not t.startswith("map")]
+    numbered = df.withColumn("_among", F.row_number().over(Window.partitionBy(key).orderBy(*rest)))
+    counts = value_counts(df, key).select(F.col("value").alias("_value"), F.col("before").alias("_before"), F.col("total").alias("_rows"))
+    placed = numbered.join(counts, F.col(key) == F.col("_value"))  # in the key's own type
     place = F.col("_before") + F.col("_among") - 1
     return placed.where(place % F.greatest(F.lit(1), F.ceil(F.col("_rows") / most)) == 0).select(*df.columns)
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,13 +180,66 @@ def fit(df: DataFrame, xs: Sequence[str], y: str, model: str = "ols", alpha: flo
 
 
 def _huber(df: DataFrame, xs: tuple[str, ...], y: str, epsilon: float = 1.35) -> Fit:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
     rows = df.dropna(subset=[*xs, y])
-    ready = VectorAssembler(inputCols=list(xs), outputCol="_features").transform(rows)
-    done = LinearRegression(featuresCol="_features", labelCol=y, loss="huber", epsilon=epsilon, maxIter=100).fit(ready)
-    return Fit(xs, y, float(done.intercept), tuple(map(float, done.coefficients)), Stats.of(gram(rows, xs, y).first()["g"]), "huber")
+    made = fit_huber_groups(rows.withColumn("_all", F.lit(0)), xs, y, ["_all"], epsilon).first()
+    return Fit(xs, y, float(made["intercept"]), tuple(map(float, made["coefs"])), Stats.of(gram(rows, xs, y).first()["g"]), "huber")
+
+
+def fit_huber_groups(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str], epsilon: float = 1.35, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(by, n, intercept, coefs, sigma) of Huber's regression with its scale, of all groups at once.
+
+    Each step is one job for all groups: rows within epsilon * sigma of the last prediction weigh 1, others
+    epsilon * sigma / distance; a weighted Gram matrix a group gives the next coefficients, and the rows' distances the
+    next sigma.  Steps end when no group's model moves any more.
+    """
+    from kpi_spark.sources.scratch import scratch_path
+
+    xs, given, spark = list(xs), list(by), df.sparkSession
+    by = [f"_by{i}" for i in range(len(given))]  # names of theirs could be those of statistics
+
+    def kept(table: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "huber")
+        table.write.parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
+
+    rows = kept(df.dropna(subset=[*xs, y]).select(*(F.col(c).alias(k) for c, k in zip(given, by, strict=True)), *(F.col(c).cast("double").alias(c) for c in [*xs, y])))
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*by).dtypes)
+    schema = f"{kinds}n double, intercept double, coefs array<double>, sigma double, moved double"
+
+    def start(frames):
+        for frame in frames:
+            made = []
+            for g in frame["g"]:
+                s = Stats.of(g)
+                a, b = solve(s)
+                rss = s.cross[-1, -1] - 2 * b @ s.cross[:-1, -1] + b @ s.cross[:-1, :-1] @ b
+                made.append((s.n, a, list(map(float, b)), float(np.sqrt(max(rss, 0) / s.n)), np.inf))
+            yield frame[by].assign(**{c: [m[i] for m in made] for i, c in enumerate(("n", "intercept", "coefs", "sigma", "moved"))})
+
+    def step(frames):
+        for frame in frames:
+            made = []
+            for r in frame.itertuples(index=False):
+                s, old = Stats.of(r.g), np.array(r.coefs, dtype=float)
+                a, b = solve(s)
+                sigma = float(np.sqrt(max(r.inner, 0) / max(r.rows - epsilon**2 * r.outer, 1e-3 * r.rows)))
+                unit = max(sigma, 1e-12 * float(np.abs(s.mean[-1]) + np.sqrt(max(s.cross[-1, -1] / s.n, 0))), 1e-300)
+                moved = max(float(np.abs((b - old) * s.scale).max(initial=0)), abs(a + s.mean[:-1] @ b - r.intercept - s.mean[:-1] @ old), abs(sigma - r.sigma)) / unit
+                made.append((float(r.rows), a, list(map(float, b)), sigma, moved if sigma > unit * 1e-6 else 0.0))
+            yield frame[by].assign(**{c: [m[i] for m in made] for i, c in enumerate(("n", "intercept", "coefs", "sigma", "moved"))})
+
+    models = kept(gram(rows, xs, y, by).mapInPandas(start, schema))
+    for _ in range(steps):
+        far = F.abs(F.col(y) - predicted_by(xs))
+        inside = far <= epsilon * F.col("sigma")
+        joined = rows.join(models.drop("n", "moved"), by).withColumns({"_w": F.when(inside, 1.0).otherwise(epsilon * F.col("sigma") / far), "_far": far, "_in": inside})
+        stats = joined.groupBy(*by).agg(
+            *products(xs, y, F.col("_w")), F.coalesce(F.sum(F.when(F.col("_in"), F.col("_far") * F.col("_far"))), F.lit(0.0)).alias("inner"), F.count_if(~F.col("_in")).alias("outer"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("intercept", "coefs", "sigma"))
+        )
+        models = kept(stats.mapInPandas(step, schema))
+        if (models.agg(F.max("moved")).first()[0] or 0) < tolerance:
+            break
+    return models.drop("moved").withColumnsRenamed(dict(zip(by, given, strict=True)))
 
 
 def trees(df: DataFrame, xs: Sequence[str], y: str, model: str, trees_: int = 300, seed: int = 42):
@@ -226,23 +280,40 @@ def predicted_by(xs: Sequence[str]) -> Column:
 
 
 def bootstrap(df: DataFrame, xs: Sequence[str], y: str, key: str, model: str = "ols", replicates: int = 300, level: float = 0.95) -> DataFrame:
-    """(term, low, median, high, se): Poisson(1) weights by a hash of each row's key and the replicate, so results don't depend on how rows are dealt."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(42)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, mass, cum = F.lit(0.0), np.exp(-1.0), 0.0
-    for k in range(9):
-        cum += mass
-        weight = weight + (u > float(cum)).cast("double")
-        mass /= k + 1
-    rows = df.dropna(subset=[*xs, y]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight)
-    stats = rows.groupBy("rep").agg(*products(xs, y, F.col("_w")))
-    names = ["intercept", *xs]
+    """(term, low, median, high, se): Poisson(1) weights by a hash of each row's key and the replicate, so results don't depend on how rows are dealt.
+
+    Weights are drawn inside the tasks: a partition's rows become one set of sufficient statistics a
+    replicate, by a product of weights and cross products, and only these are shuffled.
+    """
+    names, columns = ["intercept", *xs], [*xs, y]
+    upper = np.triu_indices(len(columns))
+    mass = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 9)]))  # of up to 8
+
+    def drawn(batches):
+        size, total = 1 + len(columns) + len(upper[0]), None
+        for batch in batches:
+            h = batch.column("_h").to_numpy(zero_copy_only=False).view(np.uint64)
+            z = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            cells = np.column_stack([np.ones(len(z)), z, z[:, upper[0]] * z[:, upper[1]]])
+            for i in range(0, len(z), 4096):
+                u = _mixed(h[i : i + 4096, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                weight = np.searchsorted(mass, (u >> np.uint64(11)) / float(1 << 53), "right").astype(float)
+                total = (np.zeros((replicates, size)) if total is None else total) + weight.T @ cells[i : i + 4096]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["rep", "g"])
+
+    rows = df.dropna(subset=[*xs, y]).select(F.xxhash64(F.col(key), F.lit(42)).alias("_h"), *(F.col(c).cast("double").alias(c) for c in columns))
+    parts = rows.mapInArrow(drawn, "rep int, g array<double>")
+    n = 1 + len(columns) + len(upper[0])
+    stats = parts.groupBy("rep").agg(F.array(*(F.sum(F.get("g", F.lit(i))) for i in range(n))).alias("g"))
 
     def run(frames):
         for frame in frames:
             out = []
             for rep, g in zip(frame["rep"], frame["g"], strict=True):
-                a, b = solve(Stats.of(g), model)
-                out += [(rep, t, float(v)) for t, v in zip(names, (a, *b), strict=True)]
+                if g[0] > 0:
+                    a, b = solve(Stats.of(g), model)
+                    out += [(rep, t, float(v)) for t, v in zip(names, (a, *b), strict=True)]
             yield pd.DataFrame(out, columns=["rep", "term", "coef"])
 
     solved = stats.mapInPandas(run, "rep int, term string, coef double")
@@ -250,6 +321,13 @@ def bootstrap(df: DataFrame, xs: Sequence[str], y: str, key: str, model: str = "
     return solved.groupBy("term").agg(q((1 - level) / 2).alias("low"), q(0.5).alias("median"), q((1 + level) / 2).alias("high"), F.stddev_samp("coef").alias("se"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 # -- metrics -----------------------------------------------------------------------------
 
 
@@ -332,33 +410,18 @@ def out_of_sample(scored: DataFrame, y: str, predicted: str, baseline: str, by:
 def validated(folds: DataFrame, xs: Sequence[str], y: str, by: Sequence[str], model: str = "ols", alpha: float | None = None) -> DataFrame:
     """Test rows of each fold with ``predicted`` by a model of its train rows and ``baseline``, their mean.
 
-    Linear models of all folds are solved in one job; Huber's and the trees are Spark ML's, a fit after another (at most 5 folds).
+    All folds of a model are fitted by the same jobs: linear ones from one Gram matrix a fold, Huber's by steps over all
+    folds, the trees a task a fold (see :mod:`kpi_spark.operators.trees`).
     """
     by = list(by)
-    if model in LINEAR:
-        train = folds.where("not test")
-        models = fit_groups(train, xs, y, by, model, alpha)
-        means = train.groupBy(*by).agg(F.avg(y).alias("baseline"))
-        return folds.where("test").join(F.broadcast(models.join(means, by)), by).withColumn("predicted", predicted_by(xs))
-    parts = []
-    for row in folds.select(*by).distinct().collect():  # a few folds
-        mine = folds
-        for c in by:
-            mine = mine.where(F.col(c) == row[c])
-        train, test = mine.where("not test"), mine.where("test")
-        if model == "huber":
-            scored = test.withColumn("predicted", _huber(train, tuple(xs), y).predicted)
-        else:
-            from pyspark.ml.feature import VectorAssembler
-
-            done = trees(train, xs, y, model, 100).setPredictionCol("predicted")
-            scored = done.transform(VectorAssembler(inputCols=list(xs), outputCol="_features").transform(test)).drop("_features")
-        mean = train.agg(F.avg(y).alias("baseline"))
-        parts.append(scored.crossJoin(F.broadcast(mean)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if model not in (*LINEAR, "huber"):
+        from kpi_spark.operators import trees as series_trees
+
+        return series_trees.validated(folds, xs, y, by, model)
+    train = folds.where("not test")
+    models = fit_huber_groups(train, xs, y, by).drop("sigma") if model == "huber" else fit_groups(train, xs, y, by, model, alpha)
+    means = train.groupBy(*by).agg(F.avg(y).alias("baseline"))
+    return folds.where("test").join(models.join(means, by), by).withColumn("predicted", predicted_by(xs)).drop("n", "intercept", "coefs")
 
 
 def compare_models(folds: DataFrame, xs: Sequence[str], y: str, models: Sequence[str] = ("ols", "ridge", "elastic_net", "huber", "random_forest", "gradient_boosting")) -> DataFrame:

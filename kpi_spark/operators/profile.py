@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpi_spark.functions.typing import detect_types, numeric_columns, text_columns
 from kpi_spark.operators.filters import any_null
-from kpi_spark.operators.ranking import quantiles
+from kpi_spark.operators.ranking import quantile_table
 
 
 def per_column(df: DataFrame, columns: Iterable[str], **measures) -> DataFrame:
@@ -100,8 +99,8 @@ def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
         min=lambda c: F.min(d(c)),
         max=lambda c: F.max(d(c)),
     )
-    each = [quantiles(df, c, (0.25, 0.5, 0.75)).agg(F.lit(c).alias("column"), *(F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))) for c in columns]
-    joined = plain.join(F.broadcast(reduce(DataFrame.unionByName, each)), "column")
+    quartiles = quantile_table(df, columns, (0.25, 0.5, 0.75)).select("column", *(F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))))
+    joined = plain.join(F.broadcast(quartiles), "column", "left")  # a row a column
     return joined.select("column", "count", "nulls", "null_pct", "mean", "std", "min", "q1", "median", "q3", "max")
 
 

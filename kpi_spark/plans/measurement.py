@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpi_spark.operators import causal, corr, its, linear, periods, preparation
+from kpi_spark.operators import causal, corr, its, linear, periods, preparation, trees
 from kpi_spark.plans.base import query, rounded, two
 from kpi_spark.sources.scratch import scratch_path
 from kpi_spark.sources.writers import materialise
@@ -101,7 +101,7 @@ def _(spark, table):
 
 @query("m13_gradient_boosting")
 def _(spark, table):
-    return linear.importances(_months(table), ["x1", "x2"], "y", "gradient_boosting", 10)
+    return trees.importances(_months(table), ["x1", "x2"], "y", trees=300)
 
 
 @query("m15_bootstrap")
@@ -193,7 +193,7 @@ def _(spark, table):
 @query("m22_model_comparison")
 def _(spark, table):
     folds = periods.expanding_folds(_months(table), [], "period", 2)
-    compared = materialise(linear.compare_models(folds, ["x1", "x2"], "y", ("ols", "ridge", "lasso", "elastic_net", "bayesian_ridge", "huber")), scratch_path(spark, "compared"))
+    compared = materialise(linear.compare_models(folds, ["x1", "x2"], "y"), scratch_path(spark, "compared"))
     return compared.withColumn("chosen", F.col("model") == linear.choose_model(compared))
 
 

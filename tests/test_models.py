@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpi_spark.functions import distributions as dist
-from kpi_spark.operators import causal, corr, geo, its, linear, periods, registry, response, sorting
+from kpi_spark.operators import causal, corr, geo, its, linear, periods, registry, response, sorting, trees
 
 
 def rows(df):
@@ -194,3 +194,73 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("weekly").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("weekly")) == [(date(2024, 1, 1), 2.0), (date(2024, 1, 8), 1.0)]
+
+
+def test_huber_of_groups_is_that_of_each(spark):
+    """All groups at once; each like a fit of its own, and like the minimum of the loss."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    r = np.random.default_rng(8)
+    data = []
+    for g in (None, "a", "b"):
+        for _ in range(60):
+            x1, x2 = r.normal(size=2)
+            data.append((g, float(x1), float(x2), float(3 + 2 * x1 - x2 + r.normal() + (40 if r.random() < 0.1 else 0))))
+    df = spark.createDataFrame(data, "g string, x1 double, x2 double, y double").where("g is not null")
+    made = {m["g"]: m for m in linear.fit_huber_groups(df, ["x1", "x2"], "y", ["g"]).collect()}
+    for g in "ab":
+        ready = VectorAssembler(inputCols=["x1", "x2"], outputCol="f").transform(df.where(F.col("g") == g))
+        done = LinearRegression(featuresCol="f", labelCol="y", loss="huber", epsilon=1.35, maxIter=300, tol=1e-12).fit(ready)
+        assert [made[g]["intercept"], *made[g]["coefs"], made[g]["sigma"]] == pytest.approx([done.intercept, *done.coefficients, done.scale], rel=1e-4)
+    exact = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, y double")
+    line = linear.fit(exact, ["x"], "y", "huber")
+    assert (line.intercept, *line.coefs) == pytest.approx((1, 2))
+
+
+def test_bootstrap_is_that_of_weighted_fits(spark):
+    r = np.random.default_rng(3)
+    x, k = r.normal(size=300), np.arange(300)
+    y = 1 + 2 * x + r.normal(size=300)
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, a, b in zip(k, x, y)], "k int, x double, y double")
+    out = {m["term"]: m for m in linear.bootstrap(df, ["x"], "y", "k", replicates=400).collect()}
+    s = np.sqrt(np.sum((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2) / 298)
+    assert out["x"]["se"] == pytest.approx(s / np.sqrt(np.sum((x - x.mean()) ** 2)), rel=0.15)
+    assert out["x"]["median"] == pytest.approx(np.polyfit(x, y, 1)[0], abs=0.02)
+    spread = {m["term"]: m for m in linear.bootstrap(df.repartition(7), ["x"], "y", "k", replicates=400).collect()}
+    assert all(spread[t][c] == pytest.approx(out[t][c], rel=1e-9) for t in out for c in ("low", "median", "high", "se"))
+    assert linear.bootstrap(df.limit(0), ["x"], "y", "k", replicates=10).count() == 0
+
+
+def brute_split(x, y):
+    """The best first cut by trying all."""
+    best = min(((((y[x <= c] - y[x <= c].mean()) ** 2).sum() + ((y[x > c] - y[x > c].mean()) ** 2).sum(), c) for c in np.unique(x)[:-1]), key=lambda t: t[0])
+    return best[1]
+
+
+def test_trees(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(50, 2))
+    y = np.where(x[:, 0] > 0.3, 5.0, -1.0) + 0.1 * r.normal(size=50)
+    one = trees.Tree(trees.coded(x, trees.cuts(x)), y, np.ones(50), 1)
+    right = x[:, 0] > brute_split(x[:, 0], y)
+    assert one.predict(trees.coded(x, trees.cuts(x))) == pytest.approx(np.where(right, y[right].mean(), y[~right].mean()))
+    z = r.uniform(-2, 2, (400, 2))
+    t = np.sin(2 * z[:, 0]) + (z[:, 1] > 0) * z[:, 0]
+    for model in ("random_forest", "gradient_boosting"):
+        made = trees.Ensemble(z[:300], t[:300], model, 300, 42)
+        assert 1 - np.mean((made.predict(z[300:]) - t[300:]) ** 2) / np.var(t[300:]) > 0.85
+        assert made.importances.sum() == pytest.approx(1) and made.importances[0] > made.importances[1]
+    constant = trees.Ensemble(np.ones((5, 1)), np.full(5, 3.0), "gradient_boosting", 10, 1)
+    assert constant.predict(np.zeros((2, 1))) == pytest.approx([3, 3]) and constant.importances.sum() == 0
+    df = spark.createDataFrame([(i % 2, float(a), float(b), float(c), i % 5 == 0) for i, (a, b, c) in enumerate(zip(z[:, 0], z[:, 1], t))], "fold int, x1 double, x2 double, y double, test boolean")
+    scored = linear.validated(df, ["x1", "x2"], "y", ["fold"], "gradient_boosting").collect()
+    assert len(scored) == 80 and np.corrcoef([s["y"] for s in scored], [s["predicted"] for s in scored])[0, 1] > 0.9
+    alone = trees.Ensemble(*(np.array([[row[c] for c in cols] for row in df.where("fold = 0 and not test").collect()]).squeeze() for cols in (("x1", "x2"), ("y",))), "gradient_boosting", 100, 42)
+    mine = next(s for s in scored if s["fold"] == 0)
+    assert mine["predicted"] == pytest.approx(alone.predict(np.array([[mine["x1"], mine["x2"]]]))[0])
+    told = {(m["fold"], m["term"]): m["importance"] for m in trees.importances(df, ["x1", "x2"], "y", ["fold"], trees=20).collect()}
+    assert len(told) == 4 and told[0, "x1"] + told[0, "x2"] == pytest.approx(1)
+    compared = linear.compare_models(df, ["x1", "x2"], "y").collect()
+    assert [c["model"] for c in sorted(compared, key=lambda c: c["complexity"])] == ["ols", "ridge", "elastic_net", "huber", "random_forest", "gradient_boosting"]
+    assert min(compared, key=lambda c: c["rmse"])["model"] in ("random_forest", "gradient_boosting")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpi_spark.functions import typing as typ
-from kpi_spark.operators import corr, filters, linear, periods, preparation, profile, ranking
+from kpi_spark.operators import corr, filters, geo, linear, periods, preparation, profile, ranking
 from kpi_spark.sources import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +119,65 @@ def test_scratch_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_path(Session, "x")
+
+
+BIG = 1 << 53
+
+
+def test_ranks_and_places_beyond_doubles(spark):
+    keys = [BIG + i for i in range(6)] + [BIG + 1, 3, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r["k"]: r["rank"] for r in ranking.with_average_rank(df, "k", "rank").collect()}
+    assert got == {3: 1, BIG: 2, BIG + 1: 3.5, BIG + 2: 5, BIG + 3: 6, BIG + 4: 7, BIG + 5: 8, None: None}
+    some = spark.createDataFrame([(BIG + i,) for i in range(6)], "k long")  # no column but the key
+    assert sorted(r["k"] - BIG for r in filters.every_kth(some, "k", 3).collect()) == [0, 2, 4]
+    exact = spark.createDataFrame([("9007199254740993.10",), ("9007199254740993.11",)], "t string").select(F.col("t").cast("decimal(20,2)").alias("d"))
+    assert sorted(r["rank"] for r in ranking.with_average_rank(exact, "d", "rank").collect()) == [1, 2]
+
+
+def test_quantiles_of_all_columns_and_groups(spark):
+    r = np.random.default_rng(4)
+    n = 3000
+    group = [None if g == 3 else f"g{g}" for g in np.where(r.random(n) < 0.6, 0, r.integers(1, 5, n))]  # one holds most rows
+    x, y = r.integers(0, 20, n), r.normal(size=n)
+    y[::17] = np.nan
+    data = [(g, int(a), None if i % 11 == 0 else float(b)) for i, (g, a, b) in enumerate(zip(group, x, y))]
+    df = spark.createDataFrame(data, "g string, x int, y double").repartition(5)
+    shares = (0.0, 0.1, 0.5, 0.75, 1.0)
+    got = {(r["g"], r["column"]): (r["count"], r["q"]) for r in ranking.quantile_table(df, ["x", "y"], shares, ["g"]).collect()}
+    for g in set(group):
+        for k, c in ((1, "x"), (2, "y")):
+            values = [d[k] for d in data if d[0] == g and d[k] is not None and d[k] == d[k]]
+            assert got[g, c][0] == len(values) and got[g, c][1] == pytest.approx(list(np.quantile(values, shares)), abs=1e-12)
+    assert len(got) == 2 * len(set(group))
+    assert ranking.quantile_table(df.limit(0), ["x", "y"], shares, ["g"]).count() == 0
+    assert ranking.quantile_table(df.select(F.lit(None).cast("double").alias("z")), ["z"], shares).count() == 0
+
+
+def test_design_search_by_the_gram_matrix(spark):
+    """Every design's figures are those of its two series."""
+    r = np.random.default_rng(2)
+    days, names = 40, [f"p{i:02d}" for i in range(13)]
+    trend = r.normal(size=days).cumsum() + 20
+    series = {p: np.abs(trend * (i + 1) + r.normal(size=days) * 3) for i, p in enumerate(names)}
+    rows_ = [(d, p, float(v[d])) for p, v in series.items() for d in range(days) if (d, p) != (3, "p05")]
+    series["p05"][3] = 0.0  # a missing day counts as 0
+    panel = spark.createDataFrame(rows_, "date int, location string, conversions double")
+    places = geo.eligible(panel, ["p02"])
+    free = {"most_share": 1.0, "least_r2": -1.0, "slope_tolerance": 1e9}
+    found = geo.candidates(panel, places, n=1000, **free).collect()
+    assert sorted(x["design"] for x in found) == list(range(1, 1001)) and [x["r2"] for x in found] == sorted((x["r2"] for x in found), reverse=True)
+    volume = {p: v.sum() for p, v in series.items()}
+    for x in found[::7]:
+        t, c = sum(series[p] for p in x["treatment"]), sum(series[p] for p in x["control"])
+        assert sorted(x["treatment"] + x["control"]) == names and "p02" in x["control"]
+        slope = np.cov(t, c)[0, 1] / np.var(c, ddof=1)
+        assert (x["r2"], x["slope"], x["share"]) == pytest.approx((np.corrcoef(t, c)[0, 1] ** 2, slope * c.sum() / t.sum(), sum(volume[p] for p in x["treatment"]) / sum(volume.values())))
+    limits = {"most_share": sorted(x["share"] for x in found)[700], "least_r2": found[700]["r2"] - 1e-9, "slope_tolerance": 0.5}
+    again = geo.candidates(panel.repartition(3), places, n=1000, **limits).collect()
+    expected = {x["design"] for x in found if x["share"] <= limits["most_share"] and x["r2"] >= limits["least_r2"] and abs(x["slope"] - 1) <= 0.5}
+    assert {x["design"] for x in again} == expected and 0 < len(expected) < 1000
+    many = geo.candidates(panel, places, one_in=4, least_r2=0.1, slope_tolerance=1.0)
+    assert 0 < many.count() <= 100_000 and many.agg(F.max("share")).first()[0] <= 0.3
+    with pytest.raises(ValueError, match="places"):
+        geo.candidates(spark.range(3000).selectExpr("1 as date", "cast(id as string) as location", "1.0 as conversions"), spark.range(3000).selectExpr("cast(id as string) as location", "1.0 as volume", "false as fixed"))
