@@ -33,9 +33,9 @@ def _block(hashed: Column, blocks: int) -> Column:
     return F.shiftrightunsigned(hashed, 24).bitwiseAND(F.lit(blocks - 1)).cast("int")
 
 
-def build(keys: Column, df: DataFrame, most: int = MOST) -> np.ndarray:
-    """The filter's blocks (int64) over the non-null values of ``keys`` in ``df``."""
-    hashed = df.where(keys.isNotNull()).select(F.xxhash64(keys).alias("h"))
+def build(keys: Column, df: DataFrame, most: int = MOST, hashed: bool = False) -> np.ndarray:
+    """The filter's blocks (int64) over the non-null values of ``keys`` in ``df``; hashed: they are 64-bit hashes themselves."""
+    hashed = df.where(keys.isNotNull()).select((keys if hashed else F.xxhash64(keys)).alias("h"))
     blocks = blocks_for(hashed.count(), most)
     filled = hashed.groupBy(_block(F.col("h"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("h"))).alias("bits"))
     out = np.zeros(blocks, dtype=np.int64)
@@ -45,7 +45,7 @@ def build(keys: Column, df: DataFrame, most: int = MOST) -> np.ndarray:
 
 
 def maybe(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each key (by its xxhash64) may be in the filter."""
+    """Whether each key (by its hash) may be in the filter."""
     h = hashes.view(np.uint64)
     one, low = np.uint64(1), np.uint64(63)
     mask = (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
