@@ -60,9 +60,9 @@ def lower_table(is_word) -> np.ndarray:
 
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``: digits, a-z and everything beyond ASCII.
 ALNUM = lower_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
-#: Words ``[^\x20\x09-\x0D]+``: whatever white space separates.  Byte 0 is a word byte, written as 1.
+#: Words ``[^\x20\x09-\x0D]+``: whatever white space separates.  Byte 0 is a word byte, written as that of "A", which lower-casing leaves unused.
 NONSPACE = lower_table(lambda b: b != 32 and not 9 <= b <= 13)
-NONSPACE[0] = 1
+NONSPACE[0] = 65
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,9 +11,11 @@ Plain spans come from the text itself by four patterns.  For disguised ones a ch
 transducers rewrites the text and keeps, edit by edit, which source characters the
 result came from: look-alike letters and digits of other scripts become
 ASCII and invisible characters go; spelled digits in runs or next to digits become digits;
-"at" and "dot", bracketed or (each by itself) between the parts of an address, become @ and
-full stops.  The patterns run over the result and their spans are mapped back to the
-source.  A disguised span is added where it doesn't overlap a plain one.
+"at", "dot" and the signs themselves in brackets, and the words (each by itself) between the parts of an
+address, become @ and full stops.  The patterns run over the result and their spans are mapped back to the
+source.  A disguised span is added where it doesn't overlap a plain one, or holds those that it overlaps
+and disguised characters beside them: of an address with one look-alike letter, the plain
+pattern may have found a part.
 
 Where a spoken "at" is an address's only disguise, as in "john at example.com", the host
 has to end in letters of one case, and the word before it must not be one that ordinary
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,6 +111,8 @@ def _characters() -> dict[str, str]:
 
 _CHARACTERS = _characters()
 _DISGUISED = re.compile("[" + "".join(map(re.escape, sorted(_CHARACTERS))) + "]")
+# what shows that characters beside a plain span are part of it
+_WRITTEN = re.compile("[" + "".join(map(re.escape, sorted(_CHARACTERS))) + r"]|[\[({<]\x20?(?:at|dot|[@.])\x20?[\])}>]", re.IGNORECASE)
 _NAME = "|".join(SPELLED)
 _NUMBERS = re.compile(rf"(?i)(?<![^\W_])(?:{_NAME})(?:[\x20,.-]{{1,2}}(?:{_NAME}))*(?![^\W_])")
 # whether a text has a run of names, or one with a digit before or behind it
@@ -117,7 +121,8 @@ _ONE_NAME = re.compile(f"(?i){_NAME}")
 _GAP = re.compile(r"[\x20,.-]{1,2}")
 _DIGIT_BEFORE = re.compile(r"[0-9]([\x20,.-]{1,2})\Z")
 _DIGIT_BEHIND = re.compile(r"([\x20,.-]{1,2})[0-9]")
-_BRACKETED = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot)\x20?[\])}>]\x20?")
+_BRACKETED = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot|[@.])\x20?[\])}>]\x20?")
+_SPOKEN_IP = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:(?:\x20dot\x20|\.)[0-9]{1,3}){3}(?![0-9])")
 _OPENING = "[({<"
 _SPOKEN = re.compile(
     r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}(?:\x20dot\x20[A-Za-z0-9._%+-]{1,64}){0,3})(\x20at\x20|@)"
@@ -200,8 +205,9 @@ def _address(n: Normalised, m: re.Match[str]) -> bool:
 
 
 def _signs(n: Normalised) -> None:
-    sign = {"at": "@", "dot": "."}
+    sign = {"at": "@", "dot": ".", "@": "@", ".": "."}
     n.rewrite([(m.start(), m.end(), sign[m[1].lower()]) for m in _BRACKETED.finditer(n.text)])
+    n.rewrite([(d.start(), d.end(), ".") for m in _SPOKEN_IP.finditer(n.text) for d in _DOT.finditer(n.text, *m.span())])
     edits = []
     for m in _SPOKEN.finditer(n.text):
         if _address(n, m):
@@ -216,7 +222,7 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     odd = not text.isascii() and _DISGUISED.search(text)
     low = text.lower()
     bracketed = any(b in text for b in _OPENING) and _BRACKETED.search(text)
-    spoken = bracketed or ((" at " in low or " dot " in low) and _SPOKEN.search(text))
+    spoken = bracketed or ((" at " in low or " dot " in low) and (_SPOKEN.search(text) or _SPOKEN_IP.search(text)))
     if not (odd or spoken or _SPELLED.search(text)):
         return []
     n = Normalised(text)
@@ -239,10 +245,10 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
             starts.append(a)
             ends.append(b)
     for k, a, b in disguised_spans(text):
-        free = bisect_right(ends, a)
-        if a < b and (free == len(starts) or starts[free] >= b):
+        first, behind = bisect_right(ends, a), bisect_left(starts, b)  # the stretches it overlaps
+        if a < b and (first == behind or a <= starts[first] and ends[behind - 1] <= b and _WRITTEN.search(text[a : starts[first]] + text[ends[behind - 1] : b])):
             out.append((k, a, b, False))
-    return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
+    return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], -s[2]))
 
 
 def marked(text: str, found: list[tuple[str, int, int, bool]]) -> str:
@@ -262,7 +268,7 @@ _HINTS = (
     r"[0-9](?:[\x20-]?[0-9]){15}",
     r"\+[0-9]",
     "[" + "".join(map(re.escape, sorted(_CHARACTERS))) + "]",
-    r"(?i:[\[({<]\x20?(?:at|dot)\x20?[\])}>])",
+    r"(?i:[\[({<]\x20?(?:at|dot|[@.])\x20?[\])}>])",
     r"(?i:\x20at\x20[A-Za-z0-9-]+(?:\.|\x20dot\x20)[A-Za-z0-9-]|\x20dot\x20)",
     rf"(?i:(?:{_NAME})[\x20,.-]{{1,2}}(?:[0-9]|{_NAME})|[0-9][\x20,.-]{{1,2}}(?:{_NAME}))",
 )

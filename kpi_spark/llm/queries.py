@@ -186,17 +186,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({n_base} AS BIGINT) AS n
 
 def _secrets_sql() -> str:
     """Every pattern over every text; offsets by running sums of lengths."""
-    caseless = lambda p: re.sub(r"\(\?i:(\([^)]*\))\)", lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]), p)
+    plain = lambda p: re.sub(r"^\(\?<!\[(.*?)\]\)(.*)$", r"(?:^|[^\1])(\2)", p)  # noqa: E731  no lookbehind there: the sign before is matched, and the rest is the group
+    caseless = lambda p: re.sub(r"\(\?i:(\([^)]*\))\)", lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]), plain(p))
+    own = lambda r: 1 if "(?<!" in r.pattern else 0
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     parts = " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS rank, {quoted(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(t, {quoted(caseless(r.pattern))}) AS m, regexp_extract_all(t, {quoted(caseless(r.pattern))}, {r.group}) AS v, regexp_split_to_array(t, {quoted(caseless(r.pattern))}) AS b FROM d" for k, r in enumerate(secrets.RULES)
+        f"SELECT doc_id, {k} AS rank, {quoted(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(t, {quoted(caseless(r.pattern))}) AS m, regexp_extract_all(t, {quoted(caseless(r.pattern))}, {own(r)}) AS o, regexp_extract_all(t, {quoted(caseless(r.pattern))}, {r.group or own(r)}) AS v, regexp_split_to_array(t, {quoted(caseless(r.pattern))}) AS b FROM d" for k, r in enumerate(secrets.RULES)
     )
     text = "kind || ':' || a || ':' || e"
     kinds = ", ".join(f"CAST(coalesce(count(*) FILTER (kind = '{k}'), 0) AS BIGINT) AS n_{k}" for k in secrets.BASE)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT * FROM ({parts}) WHERE len(m) > 0),
-     u AS (SELECT doc_id, rank, kind, least, unnest(range(len(m))) AS i, length(unnest(m)) AS m, length(unnest(v)) AS v, length(unnest(b[1:len(m)])) AS b FROM p),
-     s AS (SELECT *, CAST(sum(b + m) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS e FROM u), g AS (SELECT *, e - m AS a FROM s WHERE v >= least)
+     u AS (SELECT doc_id, rank, kind, least, unnest(range(len(m))) AS i, length(unnest(m)) AS m, length(unnest(o)) AS o, length(unnest(v)) AS v, length(unnest(b[1:len(m)])) AS b FROM p),
+     s AS (SELECT *, CAST(sum(b + m) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS e FROM u), g AS (SELECT *, e - o AS a FROM s WHERE v >= least)
 SELECT d.doc_id, {kinds}, sha256(coalesce(string_agg({text}, ',' ORDER BY a, rank) FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY a, rank), '') AS spans
 FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id"""
 

@@ -227,3 +227,13 @@ def test_pipeline_stages(spark):
             assert sorted(q["doc_id"] for q in kept.collect()) == sorted(i for i, v in brute_groups(rows_, 5, 80).items() if v[2])
     assert kept.where("not round_trip").count() == 0 and 0 < kept.count() < docs.count()
     assert kept.agg(F.sum("n_tokens")).first()[0] == kept.agg(F.sum(F.size("ids"))).first()[0]
+
+
+def test_control_characters_are_parts_of_words(spark):
+    """U+0000, U+0001 and A (lower-cased to a) are three different letters."""
+    texts = ["a\x00 b c d", "a\x01 b c d", "aA b c d", "aa b c d", "a\x00 b c d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in neardup.groups(df, Tables(spark, "t"), 3, 85).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 2, 4: 0}
+    prints = {r["doc_id"]: r["fingerprint"] for r in Q.fingerprints.fingerprints(df.selectExpr("doc_id", "concat(text, ' e f g') as text")).collect()}
+    assert len({prints[i] for i in range(4)}) == 3 and prints[0] == prints[4] and prints[2] == prints[3]

@@ -284,6 +284,35 @@ def test_disguised_spans(text, kind, found):
     assert [(k, text[a:b], plain) for k, a, b, plain in pii.spans(text)] == [(kind, found, False)]
 
 
+LOOKS = {"a": "а", "c": "с", "e": "е", "i": "і", "j": "ј", "m": "м", "n": "ν", "o": "о", "p": "р", "x": "х", "l": "ӏ", "k": "к", "r": "ｒ", "g": "ｇ", "f": "ｆ"}
+
+
+@pytest.mark.parametrize("at", range(len("jane.kim@mail.example.com")))
+def test_a_look_alike_anywhere(at):
+    """The whole address is found and nothing of it left, wherever the one look-alike stands; the base spans stay."""
+    address = "jane.kim@mail.example.com"
+    disguised = address[:at] + LOOKS.get(address[at], {"@": "＠", ".": "．"}.get(address[at])) + address[at + 1 :]
+    text = f"to: {disguised} ; later"
+    found = pii.spans(text)
+    assert ("email", 4, 4 + len(address), False) in found
+    assert [s[:3] for s in found if s[3]] == sorted(brute_pii(text), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+    assert pii.marked(text, found) == "to: [EMAIL] ; later"
+
+
+@pytest.mark.parametrize(
+    ("found", "kind"), [("jane@example[.]com", "email"), ("jane@example(.)co[.]uk", "email"), ("jane[@]example.com", "email"), ("jane @example[.]com".replace(" ", ""), "email"), ("192[.]168[.]1[.]1", "ip"), ("192 dot 168 dot 1 dot 1", "ip"), ("192.168 dot 1[.]1", "ip")]
+)
+def test_defanged(found, kind):
+    text = f"see {found}; later"
+    assert [s[:3] for s in pii.spans(text)] == [(kind, 4, 4 + len(found))]
+    assert pii.marked(text, pii.spans(text)) == f"see [{kind.upper()}]; later"
+
+
+@pytest.mark.parametrize("text", ["call +1 555 123 4567. One of us", "ask john@example.com dot points follow", "a (.) b [@] c", "300 dot 1 dot 1 dot 1"])
+def test_speech_beside_plain_spans_stays(text):
+    assert all(s[3] for s in pii.spans(text))
+
+
 @pytest.mark.parametrize("sign", ["[at]", "(at)", "{at}", "<at>", "[ at ]", "( at )", "{ AT }", "< At >", " (at) ", " <at> ", " ( at ) "])
 def test_every_bracket_without_other_hints(sign):
     found = f"john{sign}example.com"
@@ -529,3 +558,24 @@ def test_repeated_and_missing_ids(spark):
     for per_range in (1000, 1):
         out = fingerprints.with_edits(df, per_range=per_range).collect()
         assert sorted((str(r["doc_id"]), r["n_chars"]) for r in out) == [("1", 3), ("1", 3), ("2", 1), ("None", 1)]
+
+
+def test_beginnings_of_rules_over_and_over(spark):
+    """500 KB of what each rule begins with take seconds, not the square of it."""
+    import time
+
+    beginnings = ["eyJ", "eyJa-", "eyJaaaaaaaaaa.", "AKIA", "abc", "-----BEGIN ", "ghp_", "xoxb-", "AIza", "sk_live_", "password ", "token=\"", "secret:   "]
+    texts = [b * (500_000 // len(b)) + " .eyJ AKIA ghp_ PRIVATE KEY----- xoxb- sk_live_ password" for b in beginnings]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    secrets.scan(df, Tables(spark, "t")).selectExpr("sum(size(secrets))").collect()
+    assert time.time() - began < 60
+
+
+def test_tokens_of_three_parts_start_with_their_run(spark):
+    three = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + ".c_c"
+    texts = [three, f"x {three} {three}.{three}", "z" + three, f"({three})", "eyJ" + three]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = next(r for r in secrets.RULES if r.kind == "jwt")
+    out = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "jwt"] for r in secrets.scan(df, Tables(spark, "t")).collect()}
+    assert out == {i: [m.span() for m in re.finditer(rule.pattern, t)] for i, t in enumerate(texts)} and out[2] == [] and out[4] == [(0, len(texts[4]))]
