@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kpi_spark.functions import distributions as dist
@@ -185,7 +185,7 @@ def _huber(df: DataFrame, xs: tuple[str, ...], y: str, epsilon: float = 1.35) ->
     return Fit(xs, y, float(made["intercept"]), tuple(map(float, made["coefs"])), Stats.of(gram(rows, xs, y).first()["g"]), "huber")
 
 
-def fit_huber_groups(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str], epsilon: float = 1.35, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
+def fit_huber_groups(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str], epsilon: float = 1.35, steps: int = 200, tolerance: float = 1e-8) -> DataFrame:
     """(by, n, intercept, coefs, sigma) of Huber's regression with its scale, of all groups at once.
 
     Each step is one job for all groups: rows within epsilon * sigma of the last prediction weigh 1, others
@@ -202,6 +202,11 @@ def fit_huber_groups(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]
         table.write.parquet(path)
         return spark.read.schema(table.schema).parquet(path)
 
+    def stepped(table: DataFrame) -> tuple[DataFrame, float]:
+        """The models of a step, written, and how far the farthest of them moved."""
+        seen = Observation()
+        return kept(table.observe(seen, F.max("moved").alias("most"))), seen.get["most"] or 0.0
+
     rows = kept(df.dropna(subset=[*xs, y]).select(*(F.col(c).alias(k) for c, k in zip(given, by, strict=True)), *(F.col(c).cast("double").alias(c) for c in [*xs, y])))
     kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*by).dtypes)
     schema = f"{kinds}n double, intercept double, coefs array<double>, sigma double, moved double"
@@ -236,8 +241,8 @@ def fit_huber_groups(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]
         stats = joined.groupBy(*by).agg(
             *products(xs, y, F.col("_w")), F.coalesce(F.sum(F.when(F.col("_in"), F.col("_far") * F.col("_far"))), F.lit(0.0)).alias("inner"), F.count_if(~F.col("_in")).alias("outer"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("intercept", "coefs", "sigma"))
         )
-        models = kept(stats.mapInPandas(step, schema))
-        if (models.agg(F.max("moved")).first()[0] or 0) < tolerance:
+        models, most = stepped(stats.mapInPandas(step, schema))
+        if most < tolerance:
             break
     return models.drop("moved").withColumnsRenamed(dict(zip(by, given, strict=True)))
 
@@ -381,15 +386,17 @@ def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return joined.select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("low"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("high"), F.coalesce("_n", F.lit(0)).alias("n"))
 
 
-def with_normal_quantile(df: DataFrame, share: str, name: str) -> DataFrame:
-    """``df`` with the standard normal quantile of a share between 0 and 1."""
-    from statistics import NormalDist
+def residual_quantiles(scored: DataFrame, column: str = "residual") -> DataFrame:
+    """(column, p, normal): every value in order beside its plotting position (i - 0.5) / n and the normal quantile of that.
 
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return p.map(NormalDist().inv_cdf, na_action="ignore")
+    Places come from the ranged counts of :mod:`kpi_spark.operators.ranking`; equal values take neighbouring places.
+    """
+    from kpi_spark.operators.ranking import value_counts
 
-    return df.withColumn(name, quantile(share))
+    counts = value_counts(scored, column)
+    placed = counts.select(F.col("value").alias(column), F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("_i"), "total")
+    p = (F.col("_i") - 0.5) / F.col("total")
+    return placed.select(column, p.alias("p"), dist.normal_quantile(p).alias("normal"))
 
 
 def out_of_sample(scored: DataFrame, y: str, predicted: str, baseline: str, by: Sequence[str] = ()) -> DataFrame:

@@ -94,6 +94,23 @@ for _name, _model in (("m07_ridge", "ridge"), ("m08_lasso", "lasso"), ("m09_elas
     _regularised(_name, _model)
 
 
+def _shrunk(name, model, one, two):
+    @query(
+        name,
+        f"""WITH s AS (SELECT avg(x1) AS mx, avg(y) AS my, stddev_pop(x1) AS sx, covar_pop(x1, y) / stddev_pop(x1) AS r FROM ({_MONTHS})), b AS (SELECT *, sign(r) * greatest(abs(r) - {one}, 0) / (1 + {two}) / sx AS b FROM s)
+            SELECT 'intercept' AS term, round(my - b * mx, 2) AS coef FROM b UNION ALL SELECT 'x1', round(b, 4) FROM b""",
+    )
+    def _(spark, table):
+        """One standardised predictor: soft thresholding."""
+        months = _months(table)
+        made = linear.fit(months, ["x1"], "y", model).coef_table(months)
+        return made.withColumn("coef", F.when(F.col("term") == "intercept", F.round("coef", 2)).otherwise(F.round("coef", 4)))
+
+
+_shrunk("m08_lasso_one", "lasso", 0.01, 0.0)
+_shrunk("m09_elastic_net_one", "elastic_net", 0.005, 0.005)
+
+
 @query("m12_random_forest")
 def _(spark, table):
     return linear.importances(_months(table), ["x1", "x2"], "y", "random_forest", 300)
@@ -152,13 +169,35 @@ def _(spark, table):
     return linear.histogram(linear.fit(months, ["x1"], "y").augmented(months), "residual").select("bin", "n")
 
 
+@query("w14_residual_positions", f"{_OLS} SELECT round(y - f, 3) AS residual, round((row_number() OVER (ORDER BY y - f) - 0.5) / count(*) OVER (), 9) AS p FROM s")
+def _(spark, table):
+    months = _months(table)
+    made = linear.residual_quantiles(linear.fit(months, ["x1"], "y").augmented(months))
+    return rounded(rounded(made.select("residual", "p"), 3, "residual"), 9, "p")
+
+
 @query("w14_residual_quantiles")
 def _(spark, table):
     """Residuals in order beside their plotting positions and the normal quantiles of these."""
     months = _months(table)
-    scored = linear.fit(months, ["x1"], "y").augmented(months).select("residual")
-    placed = periods.numbered(scored, [], "residual")
-    return linear.with_normal_quantile(placed.select("residual", ((F.col("i") + 0.5) / F.col("n")).alias("p")), "p", "normal")
+    return linear.residual_quantiles(linear.fit(months, ["x1"], "y").augmented(months))
+
+
+_TWO = f"""WITH m AS ({_MONTHS}), s AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) * var_pop(x1) AS s11, count(*) * var_pop(x2) AS s22, count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y, count(*) * var_pop(y) AS syy FROM m),
+        d AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+        v AS (SELECT *, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS s2 FROM d)"""
+
+
+@query(
+    "m19_coefficients",
+    f"""{_TWO}, t AS (SELECT 'intercept' AS term, my - b1 * m1 - b2 * m2 AS coef, sqrt(s2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) AS se FROM v UNION ALL SELECT 'x1', b1, sqrt(s2 * s22 / det) FROM v UNION ALL SELECT 'x2', b2, sqrt(s2 * s11 / det) FROM v)
+        SELECT term, round(coef, 2) AS coef, round(se, 2) AS se, round(coef / se, 5) AS t FROM t""",
+)
+def _(spark, table):
+    """Two predictors, by the closed form of their normal equations."""
+    months = _months(table)
+    made = linear.fit(months, ["x1", "x2"], "y").coef_table(months).select("term", "coef", "se", "t")
+    return rounded(rounded(made, 2, "coef", "se"), 5, "t")
 
 
 @query("m19_coef_table")

@@ -331,8 +331,8 @@ def _(spark, table):
 @query("g07_design_search")
 def _(spark, table):
     panel = geo.panel(table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("place", F.col("c_nationkey").cast("string")), "o_orderdate", "place", "o_totalprice")
-    monthly = panel.groupBy(F.trunc("date", "month").alias("date"), "location").agg(F.sum("conversions").alias("conversions"))
-    return geo.candidates(monthly, geo.eligible(monthly), n=100_000, one_in=4)
+    quarters = panel.groupBy(F.trunc("date", "quarter").alias("date"), "location").agg(F.sum("conversions").alias("conversions"))
+    return geo.candidates(quarters, geo.eligible(quarters), n=100_000, one_in=4)
 
 
 @query("w13_cumulative_effect", f"SELECT channel, support, date, round(sum(value) OVER w, 2) AS total, round(1.959963984540054 * sqrt(sum(investment) OVER w), 2) AS half_width FROM ({_SUPPORT}) WINDOW w AS (PARTITION BY channel, support ORDER BY date)")

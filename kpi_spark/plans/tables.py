@@ -36,6 +36,34 @@ def _(spark, table):
     return sources.read_csv(spark, path, ",", strict=False, schema="s_suppkey long, s_acctbal double").select("s_suppkey", "s_acctbal")
 
 
+_ODD_SUPPLIERS = "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN 'x' || s_suppkey || ',oops' WHEN s_suppkey % 10 = 7 THEN s_suppkey || ',1,2,3' END AS line FROM supplier WHERE s_suppkey % 10 IN (3, 7)"
+
+
+def _odd_suppliers(spark, table):
+    """A file of suppliers in which some lines don't fit, and what was read of it."""
+    key = F.col("s_suppkey").cast("string")
+    line = F.when(F.col("s_suppkey") % 10 == 3, F.concat(F.lit("x"), key, F.lit(",oops"))).when(F.col("s_suppkey") % 10 == 7, F.concat(key, F.lit(",1,2,3"))).otherwise(F.concat_ws(",", key, F.col("s_acctbal").cast("string")))
+    path = scratch_path(spark, "odd")
+    spark.range(1).select(F.lit("s_suppkey,s_acctbal").alias("value")).unionByName(table("supplier").select(line.alias("value"))).coalesce(1).write.text(path)
+    return sources.read_csv_reported(spark, path, ",", schema="s_suppkey long, s_acctbal double")
+
+
+@query("s03_good_rows", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 10 NOT IN (3, 7)")
+def _(spark, table):
+    return _odd_suppliers(spark, table).rows
+
+
+@query("s03_bad_rows", f"SELECT line FROM ({_ODD_SUPPLIERS})")
+def _(spark, table):
+    """What the tolerant scan leaves out isn't lost."""
+    return _odd_suppliers(spark, table).bad
+
+
+@query("s04_findings", f"SELECT 'rows' AS finding, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 NOT IN (3, 7)) AS n UNION ALL SELECT 'bad rows', count(*) FROM ({_ODD_SUPPLIERS})")
+def _(spark, table):
+    return _odd_suppliers(spark, table).findings()
+
+
 @query("s04_split_csv_rows", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
 def _(spark, table):
     path = sources.write_csv(table("orders").select("o_orderkey", "o_totalprice"), scratch_path(spark, "split"), "gzip")
@@ -89,7 +117,13 @@ def _(spark, table):
 
 @query("s12_row_count", "SELECT count(*) AS n FROM lineitem")
 def _(spark, table):
-    return spark.createDataFrame([(sources.row_count(table("lineitem")),)], "n long")
+    """From the footers of the Parquet files."""
+    return sources.parquet_rows(spark, table.path("lineitem"))
+
+
+@query("s12_csv_row_count", "SELECT count(*) AS n FROM supplier")
+def _(spark, table):
+    return spark.createDataFrame([(sources.row_count(sources.read_csv(spark, sources.write_csv(table("supplier"), scratch_path(spark, "csv")), ",")),)], "n long")
 
 
 @query("k02_tsv_export", "SELECT p_partkey, p_brand, p_size FROM part")
@@ -347,9 +381,12 @@ def _(spark, table):
     return spark.createDataFrame(list(enumerate(sorting.dates_first(table("orders")).columns)), "position int, column string")
 
 
-@query("p19_column_roles", "SELECT * FROM (VALUES ('date', 'order_date'), ('region', 'region'), ('kpi', 'sales'), ('market', 'market'), ('investment', NULL), ('channel', 'channel')) AS t(role, \"column\")")
+@query("p19_column_roles", "SELECT * FROM (VALUES ('date', 'order_date'), ('region', 'zona'), ('kpi', 'total_gmv'), ('market', 'destination_country'), ('channel', 'canal'), ('support', NULL), ('investment', 'gasto')) AS t(role, \"column\")")
 def _(spark, table):
-    rows = table("orders").select(F.col("o_orderpriority").alias("channel"), F.col("o_totalprice").alias("sales"), F.col("o_orderdate").alias("order_date"), F.col("o_custkey").alias("region"), F.col("o_orderstatus").alias("market"))
+    """Words of each role; a text column named like a KPI isn't one."""
+    rows = table("orders").select(
+        F.col("o_orderpriority").alias("canal"), F.col("o_orderpriority").alias("sales_team"), F.col("o_totalprice").alias("total_gmv"), F.col("o_orderdate").alias("order_date"), F.col("o_custkey").alias("zona"), F.col("o_orderstatus").alias("destination_country"), F.col("o_totalprice").alias("gasto")
+    )
     return spark.createDataFrame(list(filters.suggest_roles(rows).items()), "role string, column string")
 
 

@@ -33,6 +33,47 @@ def read_csv(spark: SparkSession, path: str, sep: str = "auto", strict: bool = T
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+#: Encodings in the order in which they are tried, and the column that holds a line that doesn't fit.
+ENCODINGS = ("UTF-8", "windows-1252")
+_BAD = "_corrupt_line"
+
+
+@dataclass(frozen=True)
+class Reported:
+    """What a tolerant scan read, the lines (one column, ``line``) that it left out, and how it read the file."""
+
+    rows: DataFrame
+    bad: DataFrame
+    encoding: str
+    multiline: bool
+
+    def findings(self) -> DataFrame:
+        """(finding, n): rows read and left out."""
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("finding"), "n")
+        return count(self.rows, "rows").unionByName(count(self.bad, "bad rows"))
+
+
+def read_csv_reported(spark: SparkSession, path: str, sep: str = "auto", schema: str | None = None) -> Reported:
+    """A CSV scan with a header that reads all it can and returns the lines that it can't.
+
+    The plan follows from findings: lines that aren't UTF-8 call for
+    the next encoding; a first pass that finds lines with an odd number of quotes reads quoted line
+    breaks, which costs the splitting of files.  Each finding is one aggregate over the text.
+    """
+    sep = detect_separator(spark, path) if sep == "auto" else sep
+    lines = spark.read.text(path)
+    found = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("odd"), F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open")).first()
+    encoding, multiline = ENCODINGS[1 if found["odd"] else 0], found["open"] > 0
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", multiline).option("escape", '"').option("columnPruning", False)
+    if schema is None:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reader.option("inferSchema", True).csv(path).schema.fields)
+    df = reader.schema(f"{schema}, `{_BAD}` string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(path)
+    names = [c for c in df.columns if c != _BAD]
+    # nothing of the first column: a scan of the bad lines alone isn't allowed, and the filter of either part must not become one
+    line = F.concat(_BAD, F.substring(F.coalesce(F.col(names[0]).cast("string"), F.lit("")), 1, 0))
+    return Reported(df.where(line.isNull()).select(*names), df.where(line.isNotNull()).select(line.alias("line")), encoding, multiline)
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """Makes ``df`` known to :func:`sql` under ``name``."""
     df.createOrReplaceTempView(name)
@@ -54,6 +95,18 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
+def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(n): rows of a Parquet table, as its files' footers say; tasks read the footers, no column and no row group.
+
+    The count is pushed into the scan, in a session of its own whose settings allow it.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    n = own.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(n.first()["n"] or 0,)], "n long")  # without files nothing is counted
+
+
 @dataclass(frozen=True)
 class Opened:
     """A table that is open but not read: its rows' number, first rows and types."""
@@ -66,8 +119,9 @@ class Opened:
 
 def open_lazy(spark: SparkSession, path: str, preview: int = 200) -> Opened:
     """Opens a Parquet or delimited file."""
-    df = read_parquet(spark, path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
-    return Opened(df, row_count(df), df.limit(preview), dict(df.dtypes))
+    parquet = path.rstrip("/").endswith(".parquet")
+    df = read_parquet(spark, path) if parquet else read_csv(spark, path)
+    return Opened(df, parquet_rows(spark, path).first()["n"] if parquet else row_count(df), df.limit(preview), dict(df.dtypes))
 
 
 def load(spark: SparkSession, path: str, year: int) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kpi_spark import sources
+from kpi_spark.functions import distributions as dist
 from kpi_spark.functions import typing as typ
 from kpi_spark.operators import corr, filters, geo, linear, periods, preparation, profile, ranking
 from kpi_spark.sources import scratch
@@ -81,8 +83,49 @@ def test_histogram(spark):
 
 
 def test_normal_quantiles(spark):
-    out = linear.with_normal_quantile(numbers(spark, [0.5, 0.975, None]), "v", "q").orderBy("id").collect()
-    assert out[0]["q"] == pytest.approx(0) and out[1]["q"] == pytest.approx(1.959963985) and out[2]["q"] is None
+    from statistics import NormalDist
+
+    shares = [1e-300, 1e-20, 1e-9, 0.001, 0.02, 0.07499, 0.3, 0.5, 0.925001, 0.975, 1 - 1e-12]
+    out = numbers(spark, [*shares, 0.0, 1.0, None]).select("id", dist.normal_quantile(F.col("v")).alias("q")).orderBy("id").collect()
+    assert [r["q"] for r in out[: len(shares)]] == pytest.approx([NormalDist().inv_cdf(p) for p in shares], rel=1e-13, abs=1e-15)
+    assert [r["q"] for r in out[len(shares) :]] == [None] * 3
+    placed = linear.residual_quantiles(numbers(spark, [2.0, -1.0, 2.0, None]), "v").orderBy("p").collect()
+    assert [(r["v"], r["p"]) for r in placed] == [(-1.0, 0.5 / 3), (2.0, 0.5), (2.0, 2.5 / 3)] and placed[1]["normal"] == 0
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    """The count is pushed into the scan: no column and no row group is read."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(5000).repartition(3).write.parquet(path)
+    assert sources.parquet_rows(spark, path).first()["n"] == 5000
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = own.read.parquet(path).agg(F.count(F.lit(1)))._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    assert sources.parquet_rows(spark, str(tmp_path / "none")).first()["n"] == 0
+
+
+def test_reported_csv(spark, tmp_path):
+    """A second encoding, quoted line breaks, and lines that don't fit."""
+    (tmp_path / "a.csv").write_bytes('k;name\n1;año\n2;"two\nlines"\nx;bad\n3;plain;more\n4;"quo""ted"\n'.encode("windows-1252"))
+    out = sources.read_csv_reported(spark, str(tmp_path / "a.csv"), ";", "k long, name string")
+    assert (out.encoding, out.multiline) == ("windows-1252", True)
+    assert sorted((r["k"], r["name"]) for r in out.rows.collect()) == [(1, "año"), (2, "two\nlines"), (4, 'quo"ted')]
+    assert sorted(r["line"].strip() for r in out.bad.collect()) == ["3;plain;more", "x;bad"]
+    assert {r["finding"]: r["n"] for r in out.findings().collect()} == {"rows": 3, "bad rows": 2}
+    assert out.rows.count() == 3 and out.bad.count() == 2 and out.rows.select("name").count() == 3
+    (tmp_path / "b.csv").write_text("k,v\n1,2.5\n2,ñ\n")
+    plain = sources.read_csv_reported(spark, str(tmp_path / "b.csv"))
+    assert (plain.encoding, plain.multiline, plain.bad.count()) == ("UTF-8", False, 0) and [t for _, t in plain.rows.dtypes] == ["int", "string"]
+
+
+def test_roles(spark):
+    roles = lambda **columns: filters.suggest_roles(spark.createDataFrame([tuple(columns.values())], list(columns)))
+    assert roles(DMA="x", total_gmv=1.0, vendor="v", spend_eur=2.0, día_semana="d") == {"date": None, "region": "DMA", "kpi": "total_gmv", "market": None, "channel": None, "support": "vendor", "investment": "spend_eur"}
+    assert roles(sales="text", leads=3)["kpi"] == "leads" and roles(state="s", city="c")["region"] == "state"
 
 
 def test_causal_data(spark):
