@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from kpi_spark.functions.typing import numeric_columns
 from kpi_spark.operators.periods import average_rank
 from kpi_spark.operators.ranking import with_average_rank
+from kpi_spark.sources.scratch import scratch_path
+
+#: Distinct pairs of values of a range, and ranges of a column at most, in Kendall's tau.
+RANGE, RANGES = 500_000, 1000
 
 
 def pearson(x: str, y: str) -> Column:
@@ -49,7 +53,7 @@ def spread(df: DataFrame, columns: list[str], least: float = 1e-12) -> list[str]
 def by_method(df: DataFrame, columns: list[str], method: str = "pearson", by: list[str] = (), digits: int = 3) -> DataFrame:
     """Pearson, Spearman (average ranks) or Kendall (tau-b).
 
-    Kendall sorts one period-aggregated series in one task and counts inversions by merging, without pairs of rows.
+    Groups (``by``) are for Spearman only.
     """
     if method == "pearson":
         return pairs(df, columns, digits)
@@ -60,37 +64,64 @@ def by_method(df: DataFrame, columns: list[str], method: str = "pearson", by: li
                 whole = with_average_rank(whole, c, f"_r{i}")
             return pairs(whole.select(*(F.col(f"_r{i}").alias(c) for i, c in enumerate(columns))), columns, digits)
         return pairs(whole.select(*(average_rank(c, list(by)).alias(c) for c in columns)), columns, digits)
-    both = list(combinations(columns, 2))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(x, y, kendall(frame[x].to_numpy(float), frame[y].to_numpy(float))) for x, y in both], columns=["x", "y", "r"])
+    whole = df.dropna(subset=columns)
+    rows = [(x, y, kendall(whole, x, y)) for x, y in combinations(columns, 2)]  # a row a pair of columns
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double").withColumn("r", F.round("r", digits))
 
-    found = df.dropna(subset=columns).select(*columns).groupBy().applyInPandas(run, "x string, y string, r double")
-    return found.withColumn("r", F.round(F.nanvl("r", F.lit(None)), digits))
 
+def inversions(values: np.ndarray, weights: np.ndarray) -> int:
+    """The weight of all pairs, earlier times later, in which the earlier value is greater; by merging."""
+    if len(values) < 2:
+        return 0
+    half = len(values) // 2
+    below = inversions(values[:half], weights[:half]) + inversions(values[half:], weights[half:])
+    order = np.argsort(values[:half], kind="stable")
+    passed = np.concatenate(([0], np.cumsum(weights[:half][order])))
+    least = np.searchsorted(values[:half][order], values[half:], "right")
+    return below + sum((weights[half:].astype(object) * (passed[-1] - passed[least])).tolist())
 
-def kendall(x: np.ndarray, y: np.ndarray) -> float:
-    """tau-b of two columns; NaN where one of them is constant."""
 
-    def ties(values: np.ndarray) -> int:
-        n = np.unique(values, return_counts=True)[1].astype(np.int64)
-        return int((n * (n - 1) // 2).sum())
+def kendall(df: DataFrame, x: str, y: str, per_range: int = RANGE) -> float | None:
+    """tau-b of two numeric columns without nulls; None where one of them is constant.
 
-    def inversions(values: np.ndarray) -> int:
-        if len(values) < 2:
-            return 0
-        half = len(values) // 2
-        left, right = values[:half], values[half:]
-        below = inversions(left) + inversions(right)
-        return below + int((half - np.searchsorted(np.sort(left), right, "right")).sum())
-
-    n = len(x)
-    ranks = np.unique(y, return_inverse=True)[1]
-    order = np.lexsort((ranks, x))
-    pairs_ = n * (n - 1) // 2
-    both = ties(np.unique(x, return_inverse=True)[1].astype(np.int64) * (n + 1) + ranks)
-    scale = float(pairs_ - ties(x)) * float(pairs_ - ties(y))
-    return (pairs_ - ties(x) - ties(y) + both - 2 * inversions(ranks[order])) / scale**0.5 if scale > 0 else float("nan")
+    Distinct pairs of values are counted and cut into ranges of x and ranges of y (equal values stay together).  Discordant
+    pairs of rows that differ in both ranges come from the grid of the ranges' totals, which is bounded;
+    those in one range of y, and those in one range of x but not of y, are counted by merging, a task a range.
+    """
+    spark = df.sparkSession
+
+    def ranged(table: DataFrame, column: str, name: str, n: int) -> DataFrame:
+        path = scratch_path(spark, "kendall")
+        (table.repartitionByRange(n, column) if n > 1 else table.coalesce(1)).withColumn(name, F.spark_partition_id()).write.parquet(path)
+        return spark.read.parquet(path)
+
+    counts = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = ranged(counts, "x", "a", max(1, min(RANGES, df.count() // per_range)))
+    cells = ranged(counts, "y", "c", max(1, min(RANGES, counts.count() // per_range)))
+    tied = lambda *by: cells.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.sum((F.col("n").cast("decimal(19,0)") * (F.col("n") - 1))).alias("t"), F.sum(F.col("n")).alias("n")).first()
+    of_x, of_y, of_both = tied("x"), tied("y"), tied("x", "y")
+    n = of_x["n"] or 0
+    every, ties_x, ties_y, both = n * (n - 1) // 2, *(int(t["t"] or 0) // 2 for t in (of_x, of_y, of_both))
+
+    def within(part: str, value: str) -> int:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            order = np.lexsort((frame[value].to_numpy(), frame["x"].to_numpy()))
+            return pd.DataFrame({"k": [str(inversions(frame[value].to_numpy()[order], frame["n"].to_numpy()[order]))]})
+
+        several = cells.groupBy(part).agg(F.min("x").alias("_l"), F.max("x").alias("_h"), F.min(value).alias("_b"), F.max(value).alias("_t")).where("_l < _h and _b < _t").select(part)  # of one value alone there are no inversions
+        return sum(int(r["k"]) for r in cells.join(several, part, "left_semi").groupBy(part).applyInPandas(run, "k string").collect())  # a row a range
+
+    grid = cells.groupBy("a", "c").agg(F.sum("n").alias("n")).collect()  # RANGES x RANGES at most
+    table = np.zeros((max((r["a"] for r in grid), default=0) + 1, max((r["c"] for r in grid), default=0) + 1), dtype=object)
+    for r in grid:
+        table[r["a"], r["c"]] = r["n"]
+    earlier = np.zeros_like(table)
+    earlier[1:] = np.cumsum(table, axis=0)[:-1]  # of ranges of smaller x
+    greater = np.zeros_like(table)
+    greater[:, :-1] = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1][:, 1:]  # and of greater y
+    discordant = int((table * greater).sum()) + within("c", "y") + within("a", "c")
+    scale = float(every - ties_x) * float(every - ties_y)
+    return (every - ties_x - ties_y + both - 2 * discordant) / scale**0.5 if scale > 0 else None
 
 
 def with_target(df: DataFrame, target: str, columns: list[str]) -> DataFrame:

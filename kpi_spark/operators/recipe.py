@@ -2,13 +2,16 @@
 
 A recipe becomes ``select`` (casts), ``where``, and one ``groupBy().agg()`` with a
 conditional aggregate for each category, so flat and pivoted metrics share one shuffle.
-Only the discovery of pivot categories runs a job while the plan is built.
+Only the discovery of pivot categories and medians run jobs while the plan is built.  Medians
+come from ranged counts of all their cells together (:mod:`kpi_spark.operators.ranking`), so a group's
+values are spread over tasks, and are joined to the other aggregates by the row keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 from kpi_spark.functions.typing import NULL_LABEL, NUMERIC, filled, typed
 from kpi_spark.operators import filters as flt
 from kpi_spark.operators import sorting
+from kpi_spark.operators.ranking import quantile_table
 
 #: Most categories of a pivot and value columns of a table.
 CATEGORIES, VALUE_COLUMNS = 50, 500
@@ -40,14 +44,30 @@ def aggregate(kind: str, value: Column, order: str | None = None) -> Column:
     raise ValueError(f"unknown aggregate: {kind}")
 
 
+def aggregated(df: DataFrame, by: Sequence[str], cells: Sequence[tuple[str, str, Column]], order: str | None = None) -> DataFrame:
+    """(by, one column a cell): cells are (name, aggregate, value)."""
+    by, medians = list(by), [(name, value) for name, kind, value in cells if kind == "median"]
+    plain = [(aggregate(kind, value, order)).alias(name) for name, kind, value in cells if kind != "median"]
+    if not medians:
+        return df.groupBy(*by).agg(*plain)
+    keys, held = {c: f"_by{i}" for i, c in enumerate(by)}, {f"_m{i}": value.cast("double") for i, (_, value) in enumerate(medians)}
+    source = df.select(*(F.col(c).alias(k) for c, k in keys.items()), *(v.alias(m) for m, v in held.items()))
+    found = quantile_table(source, list(held), [0.5], list(keys.values()))
+    found = found.groupBy(*keys.values()).agg(*(F.max(F.when(F.col("column") == m, F.get("q", F.lit(0)))).alias(name) for m, (name, _) in zip(held, medians, strict=True)))
+    groups = df.groupBy(*by).agg(*plain) if plain else df.select(*by).distinct() if by else df.groupBy().agg(F.count(F.lit(1)).alias("_rows"))
+    same = [groups[c].eqNullSafe(found[k]) for c, k in keys.items()]
+    both = groups.join(found, reduce(lambda p, q: p & q, same), "left") if by else groups.crossJoin(F.broadcast(found))  # one row each
+    return both.select(*by, *(F.col(f"`{name}`") for name, _, _ in cells))
+
+
 def group(df: DataFrame, by: list[str], aggregates: Mapping[str, str], order: str | None = None) -> DataFrame:
     """Group-by with one aggregate a column, under the column's name."""
-    return df.groupBy(*by).agg(*(aggregate(k, F.col(c), order).alias(c) for c, k in aggregates.items()))
+    return aggregated(df, by, [(c, k, F.col(c)) for c, k in aggregates.items()], order)
 
 
 def totals(df: DataFrame, aggregates: Mapping[str, str], order: str | None = None) -> DataFrame:
     """(metric, value) over all rows."""
-    wide = df.agg(*(aggregate(k, F.col(c), order).cast("double").alias(c) for c, k in aggregates.items()))
+    wide = group(df, [], aggregates, order).select(*(F.col(c).cast("double").alias(c) for c in aggregates))
     return wide.unpivot([], list(aggregates), "metric", "value")
 
 
@@ -121,19 +141,18 @@ class TableRecipe:
             raise ValueError(f"the table has more than {VALUE_COLUMNS} value columns")
         key = pivot_key(list(self.columns)) if split else None
         src = src.withColumn("_key", key) if split else src
-        out = []
+        cells, additive = [], []
         for metric, kind, name in values:
             if (metric, kind, name) not in split:
-                out.append(aggregate(kind, F.col(metric), self.order_by).alias(name))
+                cells.append((name, kind, F.col(metric)))
                 continue
             for cat in cats:
-                cell = aggregate(kind, F.when(F.col("_key") == cat, F.col(metric)), self.order_by)
-                if kind in ADDITIVE:
-                    cell = F.coalesce(cell, F.lit(0))
-                out.append(cell.alias(f"{name} · {cat}" if len(split) > 1 else cat))
-        if not out:  # nothing to split by
+                cells.append((f"{name} · {cat}" if len(split) > 1 else cat, kind, F.when(F.col("_key") == cat, F.col(metric))))
+                additive += [cells[-1][0]] if kind in ADDITIVE else []
+        if not cells:  # nothing to split by
             return src.select(*self.rows).distinct()
-        table = src.groupBy(*self.rows).agg(*out)
+        table = aggregated(src, self.rows, cells, self.order_by)
+        table = table.select(*self.rows, *((F.coalesce(F.col(f"`{n}`"), F.lit(0)) if n in additive else F.col(f"`{n}`")).alias(n) for n, _, _ in cells))
         order = self.order or [(r, "asc") for r in self.rows]
         return sorting.sort(table, order) if order else table
 

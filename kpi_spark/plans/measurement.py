@@ -46,6 +46,17 @@ def _(spark, table):
     return corr.by_method(_months(table), ["x1", "y"], "kendall")
 
 
+@query(
+    "m02_kendall_lines",
+    """WITH c AS (SELECT l_quantity AS x, l_tax AS y, count(*)::HUGEINT AS n FROM lineitem GROUP BY ALL), t AS (SELECT sum(n) AS n FROM c),
+        p AS (SELECT sum(a.n * b.n * sign(b.y - a.y)) AS s FROM c AS a JOIN c AS b ON a.x < b.x), tx AS (SELECT sum(n * (n - 1)) / 2 AS t FROM (SELECT sum(n) AS n FROM c GROUP BY x)), ty AS (SELECT sum(n * (n - 1)) / 2 AS t FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+        SELECT 'l_quantity' AS x, 'l_tax' AS y, round(s / sqrt((t.n * (t.n - 1) / 2 - tx.t)::DOUBLE * (t.n * (t.n - 1) / 2 - ty.t)::DOUBLE), 6) AS r FROM p, t, tx, ty""",
+)
+def _(spark, table):
+    """Every line, with very many ties."""
+    return corr.by_method(table("lineitem"), ["l_quantity", "l_tax"], "kendall", digits=6)
+
+
 @query("m03_corr_with_target", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr({c}, l_extendedprice), 6) AS r FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
 def _(spark, table):
     return rounded(corr.with_target(table("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 6, "r")
@@ -268,6 +279,26 @@ def _(spark, table):
     return rounded(rounded(made.select("period", "predicted", "residual", "contribution_n", "event_effect"), 2, "predicted", "residual", "contribution_n"), 0, "event_effect")
 
 
+def _its_groups(table):
+    weekly = periods.aggregate(table("orders"), "o_orderdate", "W", ["o_totalprice"], ["o_orderpriority"])
+    return its.fit_groups(weekly.withColumn("event", (F.col("period") >= F.lit("2000-01-03").cast("date")).cast("int")), "period", "o_totalprice", "event", ["o_orderpriority"])
+
+
+_LINES_OF_GROUPS = """WITH w AS (SELECT o_orderpriority, date_trunc('week', o_orderdate)::DATE AS period, sum(o_totalprice) AS y FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY period) - 1 AS t FROM w), b AS (SELECT o_orderpriority, min(t) AS start FROM r WHERE period >= DATE '2000-01-03' GROUP BY 1),
+        c AS (SELECT o_orderpriority, max(start) AS start, regr_intercept(y, t) FILTER (t < start) AS a0, regr_slope(y, t) FILTER (t < start) AS b0, regr_intercept(y, t) FILTER (t >= start) AS a1, regr_slope(y, t) FILTER (t >= start) AS b1 FROM r JOIN b USING (o_orderpriority) GROUP BY 1)"""
+
+
+@query("m23_its_by_priority", f"{_LINES_OF_GROUPS} SELECT o_orderpriority, term, round(coef, 1) AS coef FROM (SELECT o_orderpriority, unnest(['const', 'trend', 'level_change', 'slope_change']) AS term, unnest([a0, b0, (a1 + b1 * start) - (a0 + b0 * start), b1 - b0]) AS coef FROM c)")
+def _(spark, table):
+    """One interrupted series a priority, all fitted at once."""
+    return rounded(_its_groups(table).coefficients().select("o_orderpriority", "term", "coef"), 1, "coef")
+
+
+@query("m23_its_effects_by_priority", f"{_LINES_OF_GROUPS} SELECT o_orderpriority, period, round((a1 + b1 * t) - (a0 + b0 * t), 0) AS effect, round(sum((a1 + b1 * t) - (a0 + b0 * t)) OVER (PARTITION BY o_orderpriority ORDER BY period), 0) AS cumulative FROM r JOIN c USING (o_orderpriority) WHERE t >= start")
+def _(spark, table):
+    return rounded(_its_groups(table).effects().select("o_orderpriority", "period", "effect", "cumulative"), 0, "effect", "cumulative")
+
+
 @query("m23_its_effects")
 def _(spark, table):
     return _its(table).effects()
@@ -322,9 +353,19 @@ def _(spark, table):
     return rounded(made.select("series", "n_test", "rmse", "baseline_rmse", "mae", "bias"), 3, "rmse", "baseline_rmse", "mae", "bias")
 
 
-@query("c05_control_scores")
+@query(
+    "c05_control_scores",
+    f"""{_BACKTEST}, m AS (SELECT series, sqrt(avg((y - f) ** 2)) AS rmse, sqrt(avg((y - my) ** 2)) AS baseline_rmse FROM z GROUP BY 1),
+        k2 AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY x) + (count(*) OVER (PARTITION BY series, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY series ORDER BY y) + (count(*) OVER (PARTITION BY series, y) - 1) / 2 AS ry FROM r),
+        sp AS (SELECT series, corr(rx, ry) AS spearman, stddev_pop(y) AS sy FROM k2 GROUP BY 1),
+        wd AS (SELECT *, greatest(6, n // 2) AS width FROM r), st AS (SELECT *, unnest(list_distinct([0, greatest(0, n - width), greatest(0, (n - width) // 2)])) AS start FROM wd),
+        co AS (SELECT series, start, corr(x, y) AS c FROM st WHERE i >= start AND i < start + width GROUP BY 1, 2), sb AS (SELECT series, avg(c) - stddev_pop(c) AS stability FROM co GROUP BY 1)
+        SELECT series, round(rmse, 3) AS rmse, round(baseline_rmse, 3) AS baseline_rmse, round(stability, 6) AS stability, round(spearman, 6) AS spearman,
+               round(rmse / sy + 0.10 * (1 - greatest(0, stability)) + 0.05 * greatest(0, 0.4 - abs(spearman)), 6) AS score FROM m JOIN sp USING (series) JOIN sb USING (series) WHERE rmse < baseline_rmse""",
+)
 def _(spark, table):
-    return causal.control_scores(_split(table).where("phase = 'pre'"))
+    made = causal.control_scores(_split(table).where("phase = 'pre'"))
+    return rounded(rounded(made, 3, "rmse", "baseline_rmse"), 6, "stability", "spearman", "score")
 
 
 @query("c06_combinations", "WITH s AS (SELECT DISTINCT o_orderpriority AS s FROM orders) SELECT [a.s] AS combo FROM s a UNION ALL SELECT [a.s, b.s] FROM s a JOIN s b ON a.s < b.s UNION ALL SELECT [a.s, b.s, c.s] FROM s a JOIN s b ON a.s < b.s JOIN s c ON b.s < c.s")
@@ -364,9 +405,9 @@ def _(spark, table):
     return causal.winners(tested).select("combo")
 
 
-def _analysis(table):
+def _analysis(table, most=2):
     long = _weeks(table).withColumn("kpi", F.lit("revenue"))
-    return causal.analyse(long, {"urgent": ["1-URGENT"], "high": ["2-HIGH"]}, _START, _END, most=2)
+    return causal.analyse(long, {"urgent": ["1-URGENT"], "high": ["2-HIGH"]}, _START, _END, most=most)
 
 
 def _result(name, key):
@@ -378,6 +419,40 @@ def _result(name, key):
 for _name, _key in (("c11_executive_table", "executive"), ("c12_fan_out_models", "models"), ("c12_fan_out_effects", "effects")):
     _result(_name, _key)
 
+# the same with one control a model, whose back-tests and counterfactuals have closed forms
+_FAN = f"""WITH w AS ({_WEEKS}), ys AS (SELECT CASE series WHEN '1-URGENT' THEN 'urgent' ELSE 'high' END AS target, period, value AS y FROM w WHERE series IN ('1-URGENT', '2-HIGH')),
+        s AS (SELECT target, series, period, value AS x, y, CASE WHEN period < DATE '{_START}' THEN 'pre' ELSE 'post' END AS phase FROM w JOIN ys USING (period) WHERE series NOT IN ('1-URGENT', '2-HIGH') AND period <= DATE '{_END}'),
+        r AS (SELECT target, series, x, y, row_number() OVER (PARTITION BY target, series ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY target, series) AS n FROM s WHERE phase = 'pre'),
+        k AS (SELECT *, least(n - 2, greatest(8, floor(n * 0.45)::BIGINT, floor(n * share)::BIGINT)) AS cut, greatest(2, floor(n * 0.1)::BIGINT) AS size FROM (SELECT *, unnest([0.55, 0.7, 0.82]) AS share FROM r)),
+        f AS (SELECT target, series, cut, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS cxy, count(*) AS m FROM k WHERE i < cut GROUP BY ALL),
+        z AS (SELECT k.target, k.series, y, my, my + (m * cxy / sx) / (m + 1e-3) / sx * (x - mx) AS f FROM k JOIN f ON k.target = f.target AND k.series = f.series AND k.cut = f.cut WHERE i >= k.cut AND i < k.cut + size),
+        models AS (SELECT target, series, sqrt(avg((y - f) ** 2)) AS rmse, sqrt(avg((y - my) ** 2)) AS baseline, avg(abs(y - f)) AS mae FROM z GROUP BY ALL HAVING sqrt(avg((y - f) ** 2)) < sqrt(avg((y - my) ** 2))),
+        g AS (SELECT target, series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)) AS se FROM s JOIN models USING (target, series) WHERE phase = 'pre' GROUP BY ALL),
+        effects AS (SELECT target, series, sum(y) AS actual, sum(y - a - b * x) AS effect, sum(y - a - b * x) / abs(sum(a + b * x)) * 100 AS effect_pct, sum(y - a - b * x) / (max(se) * sqrt(count(*))) AS z FROM s JOIN g USING (target, series) WHERE phase = 'post' GROUP BY ALL)"""
+
+
+@query("c12_single_models", f"{_FAN} SELECT 'revenue' AS kpi, target, [series] AS combo, round(rmse, 3) AS rmse, round(baseline, 3) AS baseline_rmse, round(mae, 3) AS mae, round((baseline - rmse) / baseline * 100, 6) AS improvement FROM models")
+def _(spark, table):
+    made = _analysis(table, 1)["models"].select("kpi", "target", "combo", "rmse", "baseline_rmse", "mae", "improvement")
+    return rounded(rounded(made, 3, "rmse", "baseline_rmse", "mae"), 6, "improvement")
+
+
+@query("c12_single_effects", f"{_FAN} SELECT 'revenue' AS kpi, target, [series] AS combo, round(actual, 2) AS actual, round(effect, 2) AS effect, round(effect_pct, 6) AS effect_pct, round(z, 6) AS z FROM effects")
+def _(spark, table):
+    made = _analysis(table, 1)["effects"].select("kpi", "target", "combo", "actual", "effect", "effect_pct", "z")
+    return rounded(rounded(made, 2, "actual", "effect"), 6, "effect_pct", "z")
+
+
+@query(
+    "c11_single_executive",
+    f"""{_FAN}, best AS (SELECT target, arg_min(series, (rmse, mae)) AS series FROM models GROUP BY 1)
+        SELECT 'revenue' AS kpi, target, round(effect, 2) AS effect, round(effect_pct, 6) AS effect_pct, series AS controls, CASE WHEN abs(z) >= 1.6448536269514722 THEN 'significant' ELSE 'not significant' END AS quality, NULL::VARCHAR AS discarded FROM best JOIN effects USING (target, series)""",
+)
+def _(spark, table):
+    """The winner of each target, chosen before the campaign."""
+    made = _analysis(table, 1)["executive"].select("kpi", "target", "effect", "effect_pct", "controls", "quality", "discarded")
+    return rounded(rounded(made, 2, "effect"), 6, "effect_pct")
+
 
 @query("c13_effect_distribution", f"{_EFFECT}, q AS (SELECT series, sum(e) / abs(sum(f)) * 100 AS pct FROM e GROUP BY 1) SELECT count(*) AS models, round(quantile_cont(pct, 0.25), 6) AS q1, round(quantile_cont(pct, 0.5), 6) AS median, round(quantile_cont(pct, 0.75), 6) AS q3 FROM q")
 def _(spark, table):

@@ -34,7 +34,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = "auto", strict: bool = T
 
 
 #: Encodings in the order in which they are tried, and the column that holds a line that doesn't fit.
-ENCODINGS = ("UTF-8", "windows-1252")
+ENCODINGS = ("UTF-8", "ISO-8859-1")
 _BAD = "_corrupt_line"
 
 

@@ -264,3 +264,23 @@ def test_trees(spark):
     compared = linear.compare_models(df, ["x1", "x2"], "y").collect()
     assert [c["model"] for c in sorted(compared, key=lambda c: c["complexity"])] == ["ols", "ridge", "elastic_net", "huber", "random_forest", "gradient_boosting"]
     assert min(compared, key=lambda c: c["rmse"])["model"] in ("random_forest", "gradient_boosting")
+
+
+def test_its_of_groups_is_that_of_each(spark):
+    r = np.random.default_rng(12)
+    data = []
+    for g, start, n in (("a", 20, 40), ("b", 10, 31), ("short", 5, 30), ("none", 99, 30)):
+        for i in range(n):
+            data.append((g, i, float(r.normal()), float(3 + 0.2 * i + (5 + 0.7 * (i - start) if i >= start else 0) + r.normal()), int(i >= start)))
+    df = spark.createDataFrame(data, "g string, t int, x double, y double, event int")
+    groups = its.fit_groups(df.repartition(4), "t", "y", "event", ["g"], ["x"])
+    told = groups.coefficients().toPandas()
+    assert set(told["g"]) == {"a", "b"}
+    effects = groups.effects().toPandas()
+    for g in "ab":
+        alone = its.fit(df.where(F.col("g") == g), "t", "y", "event", ["x"])
+        mine = told[told["g"] == g].drop(columns="g").set_index("term")
+        theirs = alone.coefficients().toPandas().set_index("term")
+        assert np.allclose(mine.loc[theirs.index].to_numpy(float), theirs.to_numpy(float), rtol=1e-8, atol=1e-10)
+        e, f = effects[effects["g"] == g].drop(columns="g").sort_values("period"), alone.effects().toPandas().sort_values("period")
+        assert np.allclose(e[f.columns].to_numpy(float), f.to_numpy(float), rtol=1e-8, atol=1e-8)

@@ -40,15 +40,23 @@ def test_description_of_a_column_without_values(spark):
     assert rows["x"]["median"] == 2.0 and rows["y"]["median"] is None and rows["y"]["nulls"] == 2
 
 
-def test_kendall():
-    r = np.random.default_rng(3)
-    for n in (2, 3, 40):
-        x, y = r.integers(0, 8, n), r.integers(0, 8, n)
-        s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i in range(n) for j in range(i)]
-        scale = (sum(abs(a) for a, _ in s) * sum(abs(b) for _, b in s)) ** 0.5
-        found = corr.kendall(x.astype(float), y.astype(float))
-        assert found == pytest.approx(sum(a * b for a, b in s) / scale) if scale else np.isnan(found)
-    assert corr.kendall(np.arange(100_000.0), np.arange(100_000.0)[::-1]) == -1.0
+@pytest.mark.parametrize(("n", "values", "per_range"), [(0, 3, 10), (2, 3, 10), (60, 8, 5), (300, 1000, 20), (300, 40, 1000), (200, 1, 10)])
+def test_kendall(spark, n, values, per_range):
+    """All pairs compared; many ranges, ties, and a value that a third of the rows have."""
+    r = np.random.default_rng(n + values)
+    x, y = r.integers(0, values, n), r.integers(0, values, n)
+    x[: n // 3] = values // 2
+    a, b = (np.sign(v[:, None].astype(int) - v[None, :].astype(int))[np.tril_indices(n, -1)] for v in (x, y))
+    scale = float(np.abs(a).sum() * np.abs(b).sum()) ** 0.5
+    df = spark.createDataFrame([(float(p), int(q)) for p, q in zip(x, y)], "x double, y long").repartition(3)
+    found = corr.kendall(df, "x", "y", per_range)
+    assert found == pytest.approx((a * b).sum() / scale) if scale else found is None
+
+
+def test_inversions():
+    r = np.random.default_rng(1)
+    values, weights = r.integers(0, 9, 200), r.integers(1, 5, 200)
+    assert corr.inversions(values, weights) == sum(int(weights[i] * weights[j]) for j in range(200) for i in range(j) if values[i] > values[j])
 
 
 def test_large_integers_are_told_apart_and_pushed_down(spark, tmp_path):
@@ -110,9 +118,9 @@ def test_counts_come_from_footers(spark, tmp_path):
 
 def test_reported_csv(spark, tmp_path):
     """A second encoding, quoted line breaks, and lines that don't fit."""
-    (tmp_path / "a.csv").write_bytes('k;name\n1;año\n2;"two\nlines"\nx;bad\n3;plain;more\n4;"quo""ted"\n'.encode("windows-1252"))
+    (tmp_path / "a.csv").write_bytes('k;name\n1;año\n2;"two\nlines"\nx;bad\n3;plain;more\n4;"quo""ted"\n'.encode("ISO-8859-1"))
     out = sources.read_csv_reported(spark, str(tmp_path / "a.csv"), ";", "k long, name string")
-    assert (out.encoding, out.multiline) == ("windows-1252", True)
+    assert (out.encoding, out.multiline) == ("ISO-8859-1", True)
     assert sorted((r["k"], r["name"]) for r in out.rows.collect()) == [(1, "año"), (2, "two\nlines"), (4, 'quo"ted')]
     assert sorted(r["line"].strip() for r in out.bad.collect()) == ["3;plain;more", "x;bad"]
     assert {r["finding"]: r["n"] for r in out.findings().collect()} == {"rows": 3, "bad rows": 2}

@@ -164,3 +164,23 @@ def test_kinds_follow_all_rows(spark):
     assert dict(typ.clean_numbers(numbers).dtypes) == {"a": "string", "importe": "double"}
     names = spark.range(0, 150_000, 1, 1).select(F.when(F.col("id") < 60_000, "same").otherwise(F.col("id").cast("string")).alias("name"))
     assert typ.detect_types(names) == {"name": "texto"}
+
+
+def test_medians_beside_other_aggregates(spark):
+    """Flat and pivoted medians, null keys, groups without values, no row keys."""
+    import statistics
+
+    data = [(None if i % 5 == 0 else f"r{i % 3}", f"c.{i % 2}", float(i * 7 % 23) if i % 4 else None, i) for i in range(90)] + [("empty", "c.0", None, 1)]
+    df = spark.createDataFrame(data, "r string, c string, v double, w long")
+    median = lambda rows_: statistics.median(rows_) if rows_ else None
+    made = TableRecipe(rows=("r",), columns=("c",), values=(("v", "median"), ("w", "sum"), ("w", "median")), pivoted=("v",)).to_df(df)
+    assert made.columns == ["r", "c.0", "c.1", "w", "w · median"]
+    out = {x["r"]: tuple(x)[1:] for x in made.collect()}
+    for r in {d[0] for d in data}:
+        mine = [d for d in data if d[0] == r]
+        cells = [median([d[2] for d in mine if d[1] == c and d[2] is not None]) for c in ("c.0", "c.1")]
+        assert out[r] == (*cells, sum(d[3] for d in mine), median([d[3] for d in mine]))
+    told = {x["metric"]: x["value"] for x in recipe.totals(df, {"v": "median", "w": "count"}).collect()}
+    assert told == {"v": median([d[2] for d in data if d[2] is not None]), "w": 91}
+    assert {x["c"]: x["w"] for x in recipe.group(df, ["c"], {"w": "median"}).collect()} == {c: median([d[3] for d in data if d[1] == c]) for c in ("c.0", "c.1")}
+    assert recipe.group(df.limit(0), ["c"], {"w": "median"}).count() == 0
