@@ -237,3 +237,13 @@ def test_control_characters_are_parts_of_words(spark):
     assert out == {0: 0, 1: 1, 2: 2, 3: 2, 4: 0}
     prints = {r["doc_id"]: r["fingerprint"] for r in Q.fingerprints.fingerprints(df.selectExpr("doc_id", "concat(text, ' e f g') as text")).collect()}
     assert len({prints[i] for i in range(4)}) == 3 and prints[0] == prints[4] and prints[2] == prints[3]
+
+
+def test_long_conversations_span_ranges(spark):
+    """3,000 turns, a prefix of them, and one that differs in its first turn."""
+    rows = [(1, t, "user", f"turn {t}") for t in range(3000)] + [(2, t, "user", f"turn {t}") for t in range(2990)] + [(3, t, "user", f"turn {t + (t == 0)}") for t in range(50)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    out = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.collapse(df, Tables(spark, "t")).collect()}
+    assert {c: n for c, (n, _) in out.items()} == {1: 3000, 3: 50}
+    assert out[1][1] == "".join(f"<|user|>\nturn {t}\n" for t in range(3000))
