@@ -700,6 +700,16 @@ def _(spark, table):
     return profile.distinct_estimate(table("lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
+@query("f10_merged_sketches", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS exact, true AS within FROM lineitem" for c in ("l_partkey", "l_suppkey", "l_returnflag")))
+def _(spark, table):
+    """Sketches of each month, stored and merged, beside the exact counts: within four standard errors."""
+    columns = ["l_partkey", "l_suppkey", "l_returnflag"]
+    stored = sources.materialise(profile.distinct_sketches(table("lineitem"), columns, F.trunc("l_shipdate", "month")), scratch_path(spark, "sketches"))
+    exact = profile.per_column(table("lineitem"), columns, exact=F.count_distinct)
+    joined = profile.merged_distinct(stored).join(exact, "column")
+    return joined.select("column", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 4 * 0.83 / 64 * F.col("exact")).alias("within"))
+
+
 @query("f11_descriptive_report", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS nulls, round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_pct, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3, max({c})::DOUBLE AS max FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
 def _(spark, table):
     return rounded(profile.describe(table("orders")), 4, "null_pct", "mean", "std", "q1", "median", "q3")

@@ -184,3 +184,14 @@ def test_medians_beside_other_aggregates(spark):
     assert told == {"v": median([d[2] for d in data if d[2] is not None]), "w": 91}
     assert {x["c"]: x["w"] for x in recipe.group(df, ["c"], {"w": "median"}).collect()} == {c: median([d[3] for d in data if d[1] == c]) for c in ("c.0", "c.1")}
     assert recipe.group(df.limit(0), ["c"], {"w": "median"}).count() == 0
+
+
+def test_sketches_of_parts_merge(spark):
+    """Parts that arrive later are added without the old rows; the union is the sketch of all rows."""
+    df = spark.range(20_000).selectExpr("id % 7000 as a", "cast(id % 11 as string) as b", "id % 4 as day")
+    old = profile.distinct_sketches(df.where("day < 3"), ["a", "b"], F.col("day"))
+    new = profile.distinct_sketches(df.where("day = 3"), ["a", "b"], F.col("day"))
+    merged = {x["column"]: x["distinct"] for x in profile.merged_distinct(old.unionByName(new)).collect()}
+    whole = {x["column"]: x["distinct"] for x in profile.merged_distinct(profile.distinct_sketches(df, ["a", "b"])).collect()}
+    assert merged == whole and merged["b"] == 11 and abs(merged["a"] - 7000) < 7000 * 4 * 0.83 / 64
+    assert old.count() == 6 and profile.merged_distinct(old.limit(0)).count() == 0
