@@ -17,7 +17,8 @@ it belongs to; :func:`dedup` keeps one document of each group.
    join, the longer ones where the first let a pair through, each pair in the first bucket
    that it shares) and verified like those.  Pairs inside a component are never
    formed, and no link between different texts is given up.  A bucket of very many open
-   members is shared out by member in parts of ``PART``.  Where very many pairs are
+   members is shared out to a grid of tasks, one for ``PART`` of them, so its rows are copied as
+   often as the grid has rows, and not as often as it has tasks.  Where very many pairs are
    open, the best one of each member and other component goes first.
 
 Bands are as many as leave a link at the threshold unseen with a chance under ``MISS``;
@@ -286,9 +287,13 @@ def _labelled(docs: DataFrame, tables: Tables, shingle: int, percent: int, schem
             bits_of = tables.put(_longer(docs, apart, shingle), "longer", BATCH).dropDuplicates(["doc_id", "d1", "d2"])
             both = tables.put(reps.join(bits_of, ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("node"), "bands", *bits, *LONGER.names), "both")
         open_ = tables.put(waiting.join(both, "node"), f"open-{k}")
-        x = open_.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")).alias("x")
-        y = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).alias("y")
-        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        # a grid of tasks: open members are cut one way, all members the other, so a row goes to a row or a column of it only
+        side = F.ceil(F.sqrt("deal")).cast("int")
+        own = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "node"), side).cast("int")
+        every = F.explode(F.sequence(F.lit(0), side - 1))
+        x = open_.where("component <> main").withColumn("row", own(1)).withColumn("column", every).alias("x")
+        y = open_.withColumn("column", own(2)).withColumn("row", every).alias("y")
+        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
         pairs = x.join(y, across & (scheme.agreeing("x", "y") >= enough) & (LONGER.agreeing("x", "y") >= LONGER.least(threshold)) & first).select(
             *pair("x.node", "y.node"), *between("x.component", "y.component"), scheme.agreeing("x", "y").alias("agreeing")
