@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from kpi_spark.llm import kernels as K
 
 #: Pre-tokens whose ids one Python worker remembers, and bytes of text worked on at once.
-CACHE, PIECE = 800_000, 1 << 19
+CACHE, PIECE = 300_000, 1 << 19
 
 # fixed values: the split pattern's contractions and Unicode's White_Space characters
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -327,6 +327,7 @@ def encode(df: DataFrame, rank_lines: str, text: str = "text", keep_text: bool =
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists], [*keep, "ids"])
+        pa.default_memory_pool().release_unused()  # the worker outlives the task
 
     return df.select(*given).mapInArrow(run, _replaced(df.select(*keep).schema, "ids", T.ArrayType(T.IntegerType())))
 
@@ -357,5 +358,6 @@ def decode(df: DataFrame, rank_lines: str, ids: str = "ids") -> DataFrame:
                 out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)])
                 rows = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [out], [*keep, "decoded"])
+        pa.default_memory_pool().release_unused()
 
     return df.select(*keep).mapInArrow(run, _replaced(df.schema, "decoded", T.BinaryType()))

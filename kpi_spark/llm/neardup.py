@@ -220,6 +220,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, share: int, table
                     common = int((both[1:] == both[:-1]).sum())
                     keep[k] = 100 * common >= share * (len(x) + len(y) - common) > 0
             yield batch.select(["a", "b", "p", "q"]).filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()  # the worker outlives the task
 
     side = lambda key, name: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name))
     joined = pairs.select("a", "b", "p", "q").join(side("a", "x"), "a").join(side("b", "y"), "b")
