@@ -37,10 +37,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    lines = rank_lines()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), lines)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "n_chars", "text"), rank_lines())
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return bpe.decode(ids, lines).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [

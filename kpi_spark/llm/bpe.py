@@ -1,7 +1,8 @@
 r"""Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 :func:`encode` adds an ``ids`` column (array of int) to a DataFrame, :func:`decode`
-turns such a column back into bytes.  Both are per-row: no shuffle, whole texts.
+turns such a column back into bytes, :func:`round_trip` does both in one pass.  All are
+per-row: no shuffle, whole texts.
 
 Each pre-token becomes a linked list of byte positions.  Adjacent pairs wait in
 buckets, one per merge rank; a two-level bitmap over the ranks finds the lowest
@@ -307,26 +308,56 @@ def _replaced(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType
     return T.StructType([f for f in schema.fields if f.name.lower() != name] + [T.StructField(name, kind)])
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The kept columns of batches and the ids of their texts."""
+    for batch in batches:
+        buf, off = K.text_buffer(batch.column(text))
+        for i, j in K.pieces(off, PIECE):
+            ids, begin = encode_rows(encoder, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists], [*keep, "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], ids: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The kept columns of batches and the bytes of their id lists."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    flat = np.frombuffer(b"".join(tokens), np.uint8)
+    size = np.array([len(t) for t in tokens], dtype=np.int64)
+    base = np.cumsum(size) - size
+    for batch in batches:
+        column = batch.column(ids)
+        for i in range(0, len(column), 256):
+            part = column.slice(i, 256)
+            count = np.array(part.value_lengths().fill_null(0), dtype=np.int64)
+            own = np.asarray(part.flatten(), dtype=np.int64)
+            n = size[own]
+            total = np.concatenate(([0], np.cumsum(n)))
+            data = flat[np.arange(total[-1]) - np.repeat(total[:-1] - base[own], n)]
+            begin = total[np.concatenate(([0], np.cumsum(count)))]
+            out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)])
+            rows = batch.slice(i, 256)
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [out], [*keep, "decoded"])
+
+
+def _others(df: DataFrame, *names: str) -> list[str]:
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def encode(df: DataFrame, rank_lines: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with ``ids``, the token ids of its text column.
 
     rank_lines: the text of a rank file (its size is fixed, some hundred KB, and it is broadcast).
     keep_text: whether the text column stays.
     """
-    shared = df.sparkSession.sparkContext.broadcast(rank_lines)
-    key = hash(rank_lines)
-    given = [c for c in df.columns if c.lower() != "ids"]
+    shared, key = df.sparkSession.sparkContext.broadcast(rank_lines), hash(rank_lines)
+    given = _others(df, "ids")
     keep = [c for c in given if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(key) or _encoder(key, load_ranks(shared.value))
-        for batch in batches:
-            buf, off = K.text_buffer(batch.column(text))
-            for i, j in K.pieces(off, PIECE):
-                ids, begin = encode_rows(encoder, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists], [*keep, "ids"])
+        yield from _encoded(batches, _ENCODERS.get(key) or _encoder(key, load_ranks(shared.value)), text, keep)
         pa.default_memory_pool().release_unused()  # the worker outlives the task
 
     return df.select(*given).mapInArrow(run, _replaced(df.select(*keep).schema, "ids", T.ArrayType(T.IntegerType())))
@@ -335,29 +366,25 @@ def encode(df: DataFrame, rank_lines: str, text: str = "text", keep_text: bool =
 def decode(df: DataFrame, rank_lines: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded`` (binary), the bytes that its id lists stand for."""
     shared = df.sparkSession.sparkContext.broadcast(rank_lines)
-    keep = [c for c in df.columns if c.lower() != "decoded"]
+    keep = _others(df, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(shared.value)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.array([len(t) for t in tokens], dtype=np.int64)
-        base = np.cumsum(size) - size
-        for batch in batches:
-            column = batch.column(ids)
-            for i in range(0, len(column), 256):
-                part = column.slice(i, 256)
-                count = np.array(part.value_lengths().fill_null(0), dtype=np.int64)
-                own = np.asarray(part.flatten(), dtype=np.int64)
-                n = size[own]
-                total = np.concatenate(([0], np.cumsum(n)))
-                data = flat[np.arange(total[-1]) - np.repeat(total[:-1] - base[own], n)]
-                begin = total[np.concatenate(([0], np.cumsum(count)))]
-                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)])
-                rows = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [out], [*keep, "decoded"])
+        yield from _decoded(batches, load_ranks(shared.value), ids, keep)
         pa.default_memory_pool().release_unused()
 
     return df.select(*keep).mapInArrow(run, _replaced(df.schema, "decoded", T.BinaryType()))
+
+
+def round_trip(df: DataFrame, rank_lines: str, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``df`` with ``ids`` as by :func:`encode` and ``decoded`` as by :func:`decode`, in one Python worker a task."""
+    shared, key = df.sparkSession.sparkContext.broadcast(rank_lines), hash(rank_lines)
+    given = _others(df, "ids", "decoded")
+    keep = [c for c in given if keep_text or c != text]
+    encoded = _replaced(df.select(*keep).schema, "ids", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _ENCODERS.get(key) or _encoder(key, load_ranks(shared.value))
+        yield from _decoded(_encoded(batches, encoder, text, keep), encoder.ranks, "ids", [*keep, "ids"])
+        pa.default_memory_pool().release_unused()
+
+    return df.select(*given).mapInArrow(run, _replaced(encoded, "decoded", T.BinaryType()))

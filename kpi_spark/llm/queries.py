@@ -32,9 +32,7 @@ def rank_lines(name: str = VOCABULARY) -> str:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
-    lines = rank_lines()
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), lines, keep_text=False)
-    return bpe.decode(ids, lines).select(
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), rank_lines(), keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

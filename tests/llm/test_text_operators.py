@@ -136,6 +136,8 @@ def test_encode_and_decode_frames(spark, reference):
     texts = some_texts()
     df = frame(spark, texts, ["ids", "decoded"])
     out = bpe.decode(bpe.encode(df, rank_lines()), rank_lines()).collect()
+    assert sorted(map(str, bpe.round_trip(df, rank_lines()).collect())) == sorted(map(str, out))
+    assert bpe.round_trip(df, rank_lines(), keep_text=False).columns == [*(c for c in df.columns if c not in ("text", "ids", "decoded")), "ids", "decoded"]
     for row in out:
         t = texts[row["doc_id"]] or ""
         assert row["ids"] == library.encode_ordinary(t) and bytes(row["decoded"]) == t.encode()
