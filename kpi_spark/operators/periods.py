@@ -31,21 +31,29 @@ def period(column: str, freq: str) -> Column:
 def aggregate(df: DataFrame, date: str, freq: str, values: Iterable[str], dims: Iterable[str] = (), fill_gaps: bool = False) -> DataFrame:
     """(period, dims, sums); rows without a date are left out; fill_gaps: periods without rows are 0."""
     dims, values = list(dims), list(values)
-    out = df.where(F.col(date).isNotNull()).groupBy(period(date, freq).alias("period"), *dims).agg(*(F.sum(v).alias(v) for v in values))
-    return fill(out, freq, values, dims) if fill_gaps else out
+    dated = df.where(F.col(date).isNotNull())
+    out = dated.groupBy(period(date, freq).alias("period"), *dims).agg(*(F.sum(v).alias(v) for v in values))
+    return fill(out, freq, values, dims, dated.select(period(date, freq).alias("period"))) if fill_gaps else out
 
 
-def fill(series: DataFrame, freq: str, values: Iterable[str], dims: Iterable[str] = ()) -> DataFrame:
-    """Every period from the first to the last one for every series; what is missing is 0."""
+def fill(series: DataFrame, freq: str, values: Iterable[str], dims: Iterable[str] = (), dates: DataFrame | None = None) -> DataFrame:
+    """Every period from the first to the last one for every series; what is missing is 0.
+
+    Each row gives its own period and the empty ones up to its series' next row (the first row also
+    those before it), so only the rows there are get shuffled, not series x periods.  dates: rows
+    with the same first and last period, where they cost less than a second pass over ``series``.
+    """
     dims, values = list(dims), list(values)
-    span = series.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null")
-    grid = span.select(F.explode(F.sequence("a", "b", F.expr(_STEP[freq]))).alias("period"))
-    if dims:
-        grid = series.select(*dims).distinct().crossJoin(F.broadcast(grid))  # series x periods, the size of the result
-    right = series.select(*(F.col(c).alias(f"_{c}") for c in ["period", *dims, *values]))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ["period", *dims]]
-    joined = grid.join(right, same, "left")
-    return joined.select("period", *dims, *(F.coalesce(F.col(f"_{v}"), F.lit(0)).alias(v) for v in values))
+    span = (series if dates is None else dates).agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null")
+    grid = span.select(F.sequence("a", "b", F.expr(_STEP[freq])).alias("_grid"))
+    places = grid.select(F.posexplode("_grid").alias("_place", "period"))
+    placed = series.join(F.broadcast(places), "period", "left").withColumn("_at", F.coalesce("_place", F.lit(-1)))  # -1: not in the grid
+    order = Window.partitionBy(*dims).orderBy("_at")
+    placed = placed.withColumns({"_before": F.lag("_at").over(order), "_next": F.lead("_at").over(order)})
+    first = F.when(F.col("_before").isNull(), 0).otherwise(F.greatest("_at", F.lit(0)))
+    last = F.greatest(F.col("_at"), F.coalesce("_next", F.size("_grid")) - 1)
+    cells = placed.crossJoin(F.broadcast(grid)).withColumn("_period", F.explode(F.slice("_grid", first + 1, last - first + 1)))
+    return cells.select(F.col("_period").alias("period"), *dims, *(F.coalesce(F.when(F.col("_period") == F.col("period"), F.col(v)), F.lit(0)).alias(v) for v in values))
 
 
 def series_name(dims: Iterable[str], label: str = NULL_LABEL) -> Column:
@@ -55,8 +63,9 @@ def series_name(dims: Iterable[str], label: str = NULL_LABEL) -> Column:
 
 def long_series(df: DataFrame, date: str, freq: str, value: str, dims: Iterable[str] = ()) -> DataFrame:
     """(period, series, value) with every period of every series."""
-    named = df.where(F.col(date).isNotNull()).groupBy(period(date, freq).alias("period"), series_name(dims).alias("series")).agg(F.sum(value).alias("value"))
-    return fill(named, freq, ["value"], ["series"])
+    dated = df.where(F.col(date).isNotNull())
+    named = dated.groupBy(period(date, freq).alias("period"), series_name(dims).alias("series")).agg(F.sum(value).alias("value"))
+    return fill(named, freq, ["value"], ["series"], dated.select(period(date, freq).alias("period")))
 
 
 def wide_series(series: DataFrame, names: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Ranks, quantiles, samples and filters that must not depend on one task or on doubles."""
 
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -232,3 +233,45 @@ def test_design_search_by_the_gram_matrix(spark):
     assert 0 < many.count() <= 100_000 and many.agg(F.max("share")).first()[0] <= 0.3
     with pytest.raises(ValueError, match="places"):
         geo.candidates(spark.range(3000).selectExpr("1 as date", "cast(id as string) as location", "1.0 as conversions"), spark.range(3000).selectExpr("cast(id as string) as location", "1.0 as volume", "false as fixed"))
+
+
+def shuffled_rows(spark, f):
+    """Rows that the jobs of ``f`` write to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    flags = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, flags, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    f()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_filled_gaps_are_not_shuffled(spark):
+    """Few rows in long series: shuffles grow with the rows, not with series x periods."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    start = date(2020, 1, 1)
+    data = [(start + timedelta(days=d), k, 1) for k in range(40) for d in (k, 1999 - k)]
+    found = []
+    n = shuffled_rows(spark, lambda: found.extend(periods.aggregate(own.createDataFrame(data, "day date, k int, v int"), "day", "D", ["v"], ["k"], fill_gaps=True).collect()))
+    assert len(found) == 40 * 2000 and sum(r["v"] for r in found) == 80 and len({(r["period"], r["k"]) for r in found}) == len(found)
+    assert 0 < n < 10 * len(data)
+
+
+@pytest.mark.parametrize("dims", [[], ["k"]])
+def test_filled_gaps(spark, dims):
+    """Repeated rows stay, null keys are a series, periods outside the grid are left out."""
+    week = lambda i: date(2024, 1, 1) + timedelta(days=7 * i)
+    data = [(week(4), "a", 1), (week(1), "b", 2), (week(1), "b", 3), (week(2), None, None), (week(0), None, 5), (None, "c", 6), (week(1) + timedelta(days=3), "c", 7), (week(5), "a", 8)]
+    got = periods.fill(spark.createDataFrame(data, "period date, k string, v int").select("period", *dims, "v"), "W", ["v"], dims)
+    want = []
+    for key in {k if dims else 0 for _, k, _ in data}:
+        for i in range(6):
+            held = [v or 0 for p, k, v in data if p == week(i) and (not dims or k == key)]
+            want += [(week(i), *([key] if dims else []), v) for v in held or [0]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert periods.fill(got.limit(0), "W", ["v"], dims).count() == 0
